@@ -29,8 +29,9 @@ MATCH = "array<struct<item_id: long, cosine: double, lcs: double, answer: double
 class Rules:
     window: int = 32  # tokens of a passage
     stride: int = 8
-    rank: int = 24
+    rank: int = 64
     cosine: float = 0.5  # of a candidate
+    mass: float = 0.5  # share of the part's length that a candidate has in its direction
     lcs: float = 0.7  # share of an item in common order that decides alone
     paraphrase: float = 0.5  # share that decides together with the answer
     answer: float = 0.75  # share of the item's rarest terms
@@ -52,7 +53,9 @@ class Index:
     vocabulary: dict[str, int]
     space: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), dtype=np.float32))  # term x rank, last row zero
     parts: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), dtype=np.float32))  # unit vectors of parts of items
+    lengths: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.float32))  # of parts before they were made unit vectors
     part_of: list[tuple[int, int]] = field(default_factory=list)  # item, first token
+    has: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), dtype=bool))  # item x term, last column false
     masks: list[dict[str, int]] = field(default_factory=list)
     answers: list[frozenset[str]] = field(default_factory=list)
 
@@ -158,12 +161,15 @@ def finish_index(index: Index, df: np.ndarray, z: np.ndarray, passages: int, ome
         right = right[:, : len(singular)]
     space = idf[:, None] * right / (singular + 1e-6 * singular.max(initial=1))
     index.space = np.concatenate((space, np.zeros((1, space.shape[1])))).astype(np.float32)
-    parts = []
+    parts, lengths = [], []
+    index.has = np.zeros((len(index.words), len(df) + 1), dtype=bool)
     for k, words in enumerate(index.words):
         n = index.numbers(words)
+        index.has[k, n] = True
         for at in range(0, max(1, len(n) - rules.window // 2), rules.window // 2):
             v = index.space[n[at : at + rules.window]].sum(axis=0)
-            parts.append(v / max(np.linalg.norm(v), 1e-12))
+            lengths.append(max(np.linalg.norm(v), 1e-12))
+            parts.append(v / lengths[-1])
             index.part_of.append((k, at))
         masks: dict[str, int] = {}
         for p, w in enumerate(words):
@@ -172,6 +178,7 @@ def finish_index(index: Index, df: np.ndarray, z: np.ndarray, passages: int, ome
         rare = sorted(masks, key=lambda w: (-idf[index.vocabulary[w]], w))
         index.answers.append(frozenset(rare[: max(2, len(rare) // 4)]))
     index.parts = np.array(parts, dtype=np.float32).reshape(len(parts), index.space.shape[1])
+    index.lengths = np.array(lengths, dtype=np.float32)
     return index
 
 
@@ -179,26 +186,45 @@ def search(index: Index, text: str | None, segment: int = 32_768) -> list[tuple[
     """(item_id, cosine, lcs, answer) of each item in a whole text, the best place of each."""
     words, rules = tokens(text), index.rules
     best: dict[int, tuple[float, float, float]] = {}
+    least = rules.mass * index.lengths.min()
     for base in range(0, len(words), segment):
-        some = words[base : base + segment + rules.window]
-        n = index.numbers(some)
-        ends = np.cumsum(index.space[n], axis=0, dtype=np.float64)
-        sums = np.concatenate((np.zeros((1, ends.shape[1])), ends))
-        starts = np.arange(0, max(1, len(some) - rules.window + rules.stride), rules.stride)
-        v = (sums[np.minimum(starts + rules.window, len(some))] - sums[starts]).astype(np.float32)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        cosines = v @ index.parts.T
-        for row, part in zip(*np.nonzero(cosines >= rules.cosine), strict=True):
+        n = index.numbers(words[base : base + segment + rules.window])
+        sums = np.zeros((len(n) + 1, index.space.shape[1]), dtype=np.float32 if len(n) < 1024 else np.float64)
+        np.cumsum(index.space[n], axis=0, out=sums[1:])
+        starts = np.arange(0, max(1, len(n) - rules.window + rules.stride), rules.stride)
+        v = (sums[np.minimum(starts + rules.window, len(n))] - sums[starts]).astype(np.float32)
+        size = np.sqrt(np.einsum("ij,ij->i", v, v))
+        # a passage shorter than the part it should hold can't have its mass
+        long = np.flatnonzero(size >= least)
+        if not len(long):
+            continue
+        along = v[long] @ index.parts.T
+        rows, parts = np.nonzero(along >= np.maximum(rules.cosine * size[long, None], rules.mass * index.lengths))
+        if not len(rows):
+            continue
+        near: dict[tuple[int, int], float] = {}
+        for row, part, x in zip(long[rows].tolist(), parts.tolist(), along[rows, parts].tolist(), strict=True):
             item, offset = index.part_of[part]
-            size = len(index.words[item])
-            start = base + int(starts[row]) - offset
-            near = words[max(0, start - rules.stride) : start + size + size // 4 + rules.stride]
-            share = lcs_length(index.masks[item], size, near) / size
+            place = (item, base + int(starts[row]) - offset)
+            near[place] = max(near.get(place, 0.0), x / float(size[row]))
+        bags: dict[int, np.ndarray] = {}
+        for (item, start), cosine in sorted(near.items()):
+            count = len(index.words[item])
+            a, b = max(0, start - rules.stride), min(len(words), start + count + count // 4 + rules.stride)
+            # no common subsequence is longer than the number of tokens there that the item has at all
+            if (bag := bags.get(item)) is None:
+                bag = bags[item] = np.concatenate(([0], np.cumsum(index.has[item][n])))
+            low, high = max(0, a - base), min(len(n), b - base)
+            outside = (b - a) - (high - low)
+            if bag[high] - bag[low] + outside < rules.paraphrase * count:
+                continue
+            some = words[a:b]
+            share = lcs_length(index.masks[item], count, some) / count
             if share < rules.paraphrase or (item in best and best[item][1] >= share):
                 continue
-            answer = len(index.answers[item].intersection(near)) / len(index.answers[item])
+            answer = len(index.answers[item].intersection(some)) / len(index.answers[item])
             if share >= rules.lcs or answer >= rules.answer:
-                best[item] = (float(cosines[row, part]), share, answer)
+                best[item] = (cosine, share, answer)
     return [(index.ids[k], *v) for k, v in sorted(best.items())]
 
 
