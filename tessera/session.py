@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def build(name: str = "tessera", master: str | None = None, partitions: int | None = None) -> SparkSession:
-    """A session in UTC with adaptive execution; partitions only sets the starting number, AQE merges small ones."""
+def build(name: str = "tessera", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
+    """A session in UTC with adaptive execution, which merges small partitions and splits skewed ones of joins."""
     b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
     if master:
         b = b.master(master)
-    if partitions:
-        b = b.config("spark.sql.shuffle.partitions", str(partitions))
-    return b.getOrCreate()
+    return b.config(map=conf or {}).getOrCreate()
+
+
+def local_session(cores: int, conf: dict[str, str] | None = None) -> SparkSession:
+    """For tests and timing on one machine."""
+    quiet = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g", "spark.sql.shuffle.partitions": str(cores)}
+    spark = build(master=f"local[{cores}]", conf=quiet | (conf or {}))
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
