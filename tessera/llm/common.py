@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
@@ -44,7 +52,7 @@ class Workspace:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def connected_components(edges: DataFrame, work: Workspace, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every node of ``edges`` (src, dst: long); component is the smallest id reachable.
 
     Alternates large-star and small-star steps until the edges are a set of stars.
@@ -52,6 +60,7 @@ def connected_components(edges: DataFrame, work: Workspace, max_rounds: int = 60
     step gathers the neighbours of a node. Self-loops and repeated or null edges are
     ignored; an empty input gives an empty result.
     """
+    work = Workspace(edges.sparkSession, "components")
     now = work.save(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(),
         "edges-0",

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 TOKEN = re.compile(r"\w+")
 MATCH = "array<struct<item_id: long, cosine: double, lcs: double, answer: double>>"
 
@@ -228,8 +230,8 @@ def search(index: Index, text: str | None, segment: int = 32_768) -> list[tuple[
     return [(index.ids[k], *v) for k, v in sorted(best.items())]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, slice_chars: int = 8_000_000) -> DataFrame:
-    """docs with ``matches``: the items found in each text, an empty array where there are none.
+def matches(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, slice_chars: int = 8_000_000, name: str = "matches") -> DataFrame:
+    """docs with a column ``name`` (one of that name is replaced): the items found in each text, an empty array where there are none.
 
     The benchmark is searched in slices of at most about ``slice_chars`` characters (by
     item_id), which bounds what the driver gathers and broadcasts; each adds two passes over the texts.
@@ -245,7 +247,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, s
         if index.ids:
             index = finish_index(index, *sketch(docs, index))
             found.append(_search_udf(docs.sparkSession.sparkContext.broadcast(index))("text"))
-    return docs.withColumn("matches", F.concat(*found) if found else F.array().cast(MATCH))
+    return docs.withColumn(name, F.concat(*found) if found else F.array().cast(MATCH))
 
 
 def _search_udf(shared):
@@ -264,4 +266,6 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return matches(docs, benchmark).where(F.size("matches") == 0).select(*docs.columns)
+    """Rows of docs whose text holds no item, with the columns of docs."""
+    name = spare(docs, "matches")
+    return matches(docs, benchmark, name=name).where(F.size(name) == 0).select(*docs.columns)

@@ -138,7 +138,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, crowded: int = 1
     found = rows.repartition(*where).sortWithinPartitions(*where).mapInPandas(scan, "id long, n long, root long")
     found = work.save(found, "found")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    linked = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")), work)
+    linked = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")))
     named = (
         classes.join(counts, "id", "left")
         .join(linked, "id", "left")

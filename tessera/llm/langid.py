@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 #: Each text is a vector of this many hashed counts: two- and three-byte n-grams of its lower-cased letters.
 FEATURES = 1 << 13
 
@@ -106,8 +107,8 @@ def fit(labelled: DataFrame, per_language: int = 1200, clusters: int = 3, rounds
     return Centroids(idf, langs, np.concatenate(centres), reject * float(np.median(np.concatenate(own))))
 
 
-def predict(docs: DataFrame, model: Centroids) -> DataFrame:
-    """docs with lang_pred, score and accepted. Whole texts are used; a null or letterless text is ``und`` and not accepted."""
+def predict(docs: DataFrame, model: Centroids, name: str = "found") -> DataFrame:
+    """docs with a column ``name`` (one of that name is replaced) of lang_pred, score and accepted. Whole texts are used; a null or letterless text is ``und`` and not accepted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x clusters x languages doubles
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
@@ -117,7 +118,7 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
             rows = [m.nearest(t) for t in texts]
             yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "accepted": [r[0] != "und" and r[2] >= m.floor for r in rows]})
 
-    return docs.withColumn("_found", of("text"))
+    return docs.withColumn(name, of("text"))
 
 
 def remainder(docs: DataFrame, by: int):
@@ -127,15 +128,13 @@ def remainder(docs: DataFrame, by: int):
 def digest(docs: DataFrame) -> DataFrame:
     """Learns from rows whose crc32(doc_id) mod 4 isn't 2 and predicts every row."""
     model = fit(docs.where(F.coalesce(remainder(docs, 4) != 2, F.lit(False))))
-    held = F.coalesce(remainder(docs, 4) == 2, F.lit(False)).alias("held_out")
-    return predict(docs, model).select("doc_id", held, "_found.lang_pred", "_found.score")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held, "found.lang_pred", "found.score")
 
 
 def keep_accepted(docs: DataFrame) -> DataFrame:
-    """Rows whose language is accepted."""
+    """Rows whose language is accepted, with the columns of docs."""
     model = fit(docs.where(F.coalesce(remainder(docs, 4) != 2, F.lit(False))))
-    return predict(docs, model).where("_found.accepted").select(*docs.columns)
-
+    name = spare(docs, "found")
+    return predict(docs, model, name).where(F.col(name)["accepted"]).select(*docs.columns)
 
-def crc32_of(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())

@@ -102,6 +102,8 @@ AT_MARK = re.compile(r"[\x20\t]*[(\[{<|*_-]+[\x20\t]*(?:at|@|arroba|arobase|ät)
 DOT_MARK = re.compile(r"[\x20\t]*[(\[{<|*_-]+[\x20\t]*(?:dot|punto|point|punkt|\.)[\x20\t]*[)\]}>|*_-]+[\x20\t]*", re.I)
 DOT_WORD = re.compile(r"(?<=[A-Za-z0-9])[\x20\t]+(?:dot|punkt|punto|point)[\x20\t]+(?=[A-Za-z0-9])", re.I)
 AT_WORD = re.compile(r"(?<=[A-Za-z0-9])[\x20\t]+(?:at|arroba|arobase)[\x20\t]+(?=[A-Za-z0-9-]+(?:[\x20\t]*\.[\x20\t]*[A-Za-z0-9-]+)+)", re.I)
+#: The last label of a disguised address: letters of one case. Figures or a capital there are prose ("at 3.5", "at home.He").
+TOP_LABEL = re.compile(r"\.(?:[a-z]{2,}|[A-Z]{2,})$")
 AROUND_AT = re.compile(r"[\x20\t]+@[\x20\t]*|@[\x20\t]+")
 #: What makes a second look worth its time.
 HINT = re.compile(rf"[\(\[{{<|*_-][\x20\t]*(?:at|@|arroba|arobase|ät|dot|punkt|punto|point|\.)[\x20\t]*[\)\]}}>|*_-]|[\x20\t]dot[\x20\t]|[\x20\t](?:punkt|punto|point)[\x20\t]|[\x20\t]@|@[\x20\t]|[\x20\t](?:at|arroba|arobase)[\x20\t]+[A-Za-z0-9-]+[\x20\t]*\.[\x20\t]*[A-Za-z0-9]|(?:{_any})[\x20\t,-]{{0,2}}(?:{_any}|[0-9])|[0-9][\x20\t,-]{{1,2}}(?:{_any})", re.I)
@@ -220,6 +222,8 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
                 span = (s + a, e + a)
                 at = bisect_left(base[kind], span)
                 near = base[kind][max(0, at - 1) : at + 1]
+                if kind == "email" and not TOP_LABEL.search(t.text[x:y]):
+                    continue
                 if all(e0 <= span[0] or s0 >= span[1] for s0, e0 in near) and span not in every[kind]:
                     every[kind].append(span)
     return base, {k: sorted(v) for k, v in every.items()}
@@ -240,7 +244,7 @@ def redact(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def annotate(docs: DataFrame) -> DataFrame:
-    """docs with ``found``: counts of plain spans by kind, base_sha256, spans and the redacted text. Null texts are empty."""
+    """docs with ``found`` (a column of that name is replaced): counts of plain spans by kind, base_sha256, spans and the redacted text. Null texts are empty."""
 
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -255,7 +259,7 @@ def annotate(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return annotate(docs).select("doc_id", "found.*")
+    return annotate(docs.select("doc_id", "text")).select("doc_id", "found.*")
 
 
 def masked(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components
+from .common import Workspace, connected_components, spare
 
 SEED = 42
 
@@ -98,7 +98,7 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int = 7, crowded: i
 
 
 def components(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links.
+    """(doc_id, fp, component_id, root): component_id is the smallest doc_id reachable over links, root the component's least fingerprint.
 
     Equal fingerprints are one class, whatever the number of copies; only classes
     are compared. Null and wordless texts have fingerprint zero and link like any
@@ -108,12 +108,12 @@ def components(docs: DataFrame, distance: int = 4) -> DataFrame:
     work = Workspace(docs.sparkSession, "simhash")
     prints = work.save(fingerprints(docs), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = connected_components(near_links(classes.select("fp"), distance), work)
+    linked = connected_components(near_links(classes.select("fp"), distance))
     roots = classes.join(linked, classes.fp == linked.id, "left").select("fp", F.coalesce("component", "fp").alias("root"), "first")
     roots = work.save(roots, "roots")
     firsts = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(firsts, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = roots.join(firsts, "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -124,11 +124,13 @@ def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
     """Rows of docs less all but the first (least doc_id) of each component.
 
     Rows that repeat a doc_id are one document, of which one row stays; rows without
-    a doc_id are dropped where another of their component has one, else kept.
+    a doc_id are dropped where another of their component has one, else one stays.
     """
     found = components(docs, distance)
     firsts = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    lone = found.where("component_id is null").select("fp").distinct()
-    rest = docs.where("doc_id is null").withColumn("_fp", _fingerprint_udf()("text"))
-    return named.unionByName(rest.join(lone, rest._fp == lone.fp, "left_semi").drop("_fp").select(*docs.columns))
+    mine, first = spare(docs, "fp"), spare(docs, "root")
+    # by the class of the component, so that one row stays of near copies too
+    lone = found.where("component_id is null").select(F.col("fp").alias(f"{mine}_"), F.col("root").alias(first)).distinct()
+    rest = docs.where("doc_id is null").withColumn(mine, _fingerprint_udf()("text"))
+    return named.unionByName(rest.join(lone, rest[mine] == lone[f"{mine}_"]).dropDuplicates([first]).select(*docs.columns))

@@ -1,7 +1,7 @@
 """Substring deduplication by hashing lines cut at sentence ends.
 
 A unit runs from where the last ended to the first sentence end or line break by which it has ``least_words`` words;
-a sentence without such an end also closes, after ``long_words`` words, at a word chosen
+a longer sentence also closes, from ``long_words`` words on, at a word chosen
 by its own hash. So the cuts depend on what is near, and a passage copied into the
 middle of a line has the same units after its first few words. Units are normalised
 (lower case, words only) and their 128-bit digests grouped over the whole table; the
@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, spare
 
 WORD = re.compile(r"\S+")
 
 
-def units(text: str, least_words: int = 5, long_words: int = 40) -> list[tuple[int, int, bytes]]:
+def units(text: str, least_words: int = 5, long_words: int = 8) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the units of a whole text; a rest of fewer words than the least is no unit."""
     out, at, digest = [], 0, xxhash.xxh3_128_digest
     words: list[str] = []
@@ -97,12 +97,14 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def deduplicated(docs: DataFrame, least_words: int = 5) -> DataFrame:
-    """docs with repeated units cut from ``text`` and ``removed`` array<struct<start, end>>, the cuts in source offsets; order of rows is free."""
+    """docs with repeated units cut from ``text`` and ``removed`` array<struct<start, end>>, the cuts in source offsets (a column of that name is replaced); order of rows is free."""
     found = repeats(docs, least_words).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None or not len(s) else cut(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    both = docs.join(found.withColumnRenamed("doc_id", "_id"), docs["doc_id"] == F.col("_id"), "left").drop("_id")
-    return both.withColumn("text", without("text", "removed"))
+    key, cuts = spare(docs, "first"), spare(docs, "cuts")
+    both = docs.join(found.select(F.col("doc_id").alias(key), F.col("removed").alias(cuts)), docs["doc_id"] == F.col(key), "left")
+    both = both.withColumn("text", without("text", cuts))
+    return both.select(*[c for c in docs.columns if c.lower() != "removed"], F.col(cuts).alias("removed"))
