@@ -289,6 +289,25 @@ def slow_lcs(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("text", [*ODD_TEXTS, "Größe «naïve» ¿qué? l’été — 3×4 ª º µ¼ x_y_ É", "tab\tand\x0bnew\nline\x1cfs"])
+def test_fast_tokens_are_the_pattern(text):
+    assert decontaminate.tokens(text) == [w.encode() for w in re.findall(r"\w+", (text or "").lower())]
+
+
+def test_sketch_sums_are_the_matrix(spark, medium):
+    items = spark.read.parquet(f"{medium}/benchmark.parquet").limit(9).collect()
+    texts = [r[1] for r in all_texts(spark, medium)[:60] if r[1]]
+    index = decontaminate.start_index(items, decontaminate.Rules(rank=5))
+    omega = np.random.default_rng(0).standard_normal((len(index.vocabulary), 5)).astype(np.float32)
+    sums = decontaminate.Sketch(index, omega)
+    for _, *batch in decontaminate.batches(index, texts, most=2000):
+        sums.add(*batch)
+    rows = [n[a : a + 32] for n in (index.numbers(decontaminate.tokens(t)) for t in texts) for a in range(0, len(n), 32)]
+    t = np.array([np.bincount(r, minlength=len(omega) + 1)[:-1] for r in rows], dtype=float)
+    assert sums.passages == len(rows) and (sums.df == (t > 0).sum(axis=0)).all()
+    assert np.allclose(sums.z, t.T @ (t @ omega), rtol=1e-3, atol=1e-2)
+
+
 def test_lcs_is_the_table():
     rng = np.random.default_rng(4)
     for _ in range(50):
@@ -303,7 +322,7 @@ def test_decontamination_query_finds_every_copy(spark, medium):
     """Brute force: every pair whose item stands in the text token by token is found; found pairs pass a full-table check."""
     items = {r.item_id: decontaminate.tokens(r.text) for r in spark.read.parquet(f"{medium}/benchmark.parquet").collect()}
     texts = {d: decontaminate.tokens(t) for d, t in all_texts(spark, medium)}
-    exact = {(d, k) for d, w in texts.items() for k, item in items.items() if len(item) >= 5 and f" {' '.join(item)} " in f" {' '.join(w)} "}
+    exact = {(d, k) for d, w in texts.items() for k, item in items.items() if len(item) >= 5 and b" %s " % b" ".join(item) in b" %s " % b" ".join(w)}
     got = {(r.doc_id, r.item_id) for r in queries.op3_decontamination(spark, medium).collect()}
     assert exact and exact <= got
     for d, k in got:
