@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,7 +63,7 @@ class Centroids:
         return lang, float(min(1.0, max(0.0, 0.5 + (cos[at] - other)))), float(cos[at])
 
 
-def fit(labelled: DataFrame, per_language: int = 1200, clusters: int = 3, rounds: int = 12, seed: int = 7, reject: float = 0.2) -> Centroids:
+def fit(labelled: DataFrame, per_language: int = 600, clusters: int = 3, rounds: int = 12, seed: int = 7, reject: float = 0.2) -> Centroids:
     """Spherical k-means per language over at most ``per_language`` texts of each (the bound on what is learnt from).
 
     labelled: doc_id, text, lang; rows of null text or lang are passed over. The sample
@@ -72,9 +73,9 @@ def fit(labelled: DataFrame, per_language: int = 1200, clusters: int = 3, rounds
     rows = labelled.where("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(1000).collect()}
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if (n := counts(t)) is None else n.astype(np.float32) for t in texts])
+        return pd.Series([None if (n := counts(t)) is None else zlib.compress(n.astype("<f4").tobytes(), 1) for t in texts], dtype=object)
 
     dice = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000))
     share = F.lit(0)
@@ -82,19 +83,20 @@ def fit(labelled: DataFrame, per_language: int = 1200, clusters: int = 3, rounds
         share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.1 * per_language / n) * 1_000_000))).otherwise(share)
     some = rows.where(dice < share).select("lang", "text", "doc_id")
     found = some.select("lang", vectors("text").alias("v")).where("v is not null").limit(2 * per_language * max(1, len(sizes))).collect()
-    found = sorted(((r.lang, np.array(r.v)) for r in found), key=lambda x: (x[0], x[1].tobytes()))
     if not found:
         return Centroids(np.ones(FEATURES), [], np.zeros((0, FEATURES)), 0.0)
-    raw = np.array([v for _, v in found])
-    idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 0.05
-    x = np.sqrt(raw) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    names = np.array([k for k, _ in found])
+    packed: dict[str, list[bytes]] = {}  # kept packed; one language at a time is laid out
+    for r in found:
+        packed.setdefault(r.lang, []).append(bytes(r.v))
+    raw = lambda v: np.frombuffer(zlib.decompress(v), dtype="<f4")
+    have = np.zeros(FEATURES)
+    for r in found:
+        have += raw(r.v) > 0
+    idf = np.log((1 + len(found)) / (1 + have)) + 0.05
     langs, centres, own = [], [], []
-    for lang in sorted(sizes):
-        mine = x[names == lang][: 2 * per_language]
-        if not len(mine):
-            continue
+    for lang, rows_of in sorted(packed.items()):
+        mine = np.sqrt(np.array([raw(v) for v in sorted(rows_of)[: 2 * per_language]])) * idf
+        mine /= np.maximum(np.linalg.norm(mine, axis=1, keepdims=True), 1e-12)
         k = min(clusters, len(mine))
         c = mine[np.random.default_rng(seed).choice(len(mine), k, replace=False)]
         for _ in range(rounds):
