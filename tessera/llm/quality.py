@@ -123,13 +123,15 @@ def chain_marginals(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np
     return both, pair, float(np.log(scale).sum() + top.sum() + shift * (n - 1))
 
 
-def fit(labelled: DataFrame, most: int = 3000, rounds: int = 60, rate: float = 0.15, decay: float = 1e-3, balance: float = 0.8) -> Crf:
-    """Learns from at most ``most`` labelled documents, half of each label where there are so many (the bound on what is learnt from).
+def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, rounds: int = 60, rate: float = 0.15, decay: float = 1e-3, balance: float = 0.8) -> Crf:
+    """Learns from about ``most`` labelled documents, half of each label where there are so many (never from over twice that, the bound on what is learnt from).
 
-    labelled: doc_id, text, quality (0 or 1); other rows are passed over. Every line
-    has its document's label. Documents count alike, however long.
+    labels: doc_id, quality (0 or 1; of several the least); other rows are passed over,
+    as are null and wordless texts. Every line has its document's label. Documents count
+    alike, however long. Labels are sampled first, by a hash of doc_id, so that only the
+    sampled documents' lines move.
     """
-    rows = labelled.where("text is not null and quality in (0, 1)")
+    rows = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sizes = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
 
     @F.pandas_udf("array<double>")
@@ -144,7 +146,9 @@ def fit(labelled: DataFrame, most: int = 3000, rounds: int = 60, rate: float = 0
     share = F.lit(0)
     for label, n in sizes.items():
         share = F.when(F.col("quality") == label, F.lit(int(min(1.0, most / 2 / n) * 1_000_000))).otherwise(share)
-    some = rows.where(dice < share).select("doc_id", "quality", flat("text").alias("x")).where(F.size("x") > 0).limit(2 * most).collect()
+    sample = rows.where(dice < share).select(F.col("doc_id").alias("_id"), "quality").limit(2 * most)  # as few rows as may be broadcast
+    texts = docs.where("text is not null").select("doc_id", "text")
+    some = texts.join(F.broadcast(sample), texts["doc_id"] == sample["_id"]).select("doc_id", "quality", flat("text").alias("x")).where(F.size("x") > 0).limit(4 * most).collect()
     docs = [(np.array(r.x).reshape(-1, N_OWN + 1)[:, :N_OWN], int(r.quality)) for r in sorted(some, key=lambda r: (r.doc_id, r.quality, r.x))]
     total = sum(sizes.values())
     default = sizes.get(1, 0) / total if total else 0.5
@@ -186,9 +190,7 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
 
 def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Learns from rows whose crc32(doc_id) mod 5 isn't 0 and scores every row."""
-    train = docs.where(F.coalesce(remainder(docs, 5) != 0, F.lit(False))).select("doc_id", "text")
-    known = labels.select(labels["doc_id"].alias("_id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["_id"])
-    model = fit(train.join(known, train["doc_id"] == known["_id"]).select("doc_id", "text", "quality"))
+    model = fit(docs, labels.where(F.coalesce(remainder(labels, 5) != 0, F.lit(False))))
     scored = score(docs.select("doc_id", "text"), model)
     held = F.coalesce(remainder(scored, 5) == 0, F.lit(False)).alias("held_out")
     return scored.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
