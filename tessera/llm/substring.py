@@ -81,6 +81,7 @@ def repeats(docs: DataFrame, least_words: int = 5) -> DataFrame:
     work = Workspace(docs.sparkSession, "substring")
     u = work.save(all_units(docs, least_words), "units")
     first = u.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = work.save(first, "first")  # so that the join below is of two plain tables, whose skewed keys Spark splits over tasks
     here = F.struct("doc_id", "start")
     return u.join(first, ["h1", "h2"]).where(here > F.col("f")).select("doc_id", "start", "end", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("first_start"))
 
