@@ -14,14 +14,17 @@ import gc
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def byte_letters() -> dict[str, int]:
@@ -191,7 +194,7 @@ def coder(path: str) -> TrieBpe:
     return _loaded[path]
 
 
-def bounded(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+def bounded(texts: Iterable[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Slices of texts of about so many characters, so that memory follows them and not the batch."""
     part, size = [], 0
     for t in texts:
@@ -205,16 +208,28 @@ def bounded(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with ``ids`` array<int>; a null text is empty."""
+    """docs with ``ids`` array<int> last (a column of that name is replaced); a null text is empty.
+
+    Rows go out in slices of about a million characters, so that memory follows these and not Arrow's batches of rows.
+    """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
+    rows = docs.select(*[c for c in docs.columns if c.lower() != "ids"])
+    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    names = [*rows.columns, "ids"]
+    at = [c.lower() for c in names].index("text")
 
-    @F.pandas_udf("array<int>")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for texts in parts:
-            yield pd.Series([ids for some in bounded([t or "" for t in texts]) for ids in c.encode_batch(some)])
-
-    return docs.withColumn("ids", of("text"))
+        for part in parts:
+            first = 0
+            for some in bounded((x.as_py() or "" for x in part.column(at))):
+                made = [np.array(ids, dtype=np.int32) for ids in c.encode_batch(some)]
+                offsets = np.concatenate(([0], np.cumsum([len(m) for m in made]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))
+                yield pa.RecordBatch.from_arrays([*part.slice(first, len(some)).columns, ids], names=names)
+                first += len(some)
+
+    return rows.mapInArrow(of, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
