@@ -29,6 +29,7 @@ from .common import Workspace
 END_ID = 2
 MASK_DELTA = 0xA282EAD8  # fixed value of the record format's checksum masking
 HEAD, FOOT = 12, 5
+LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 
 
 def masked(data: bytes) -> int:
@@ -65,32 +66,54 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 class WordEncoder:
     """Encodes texts through the tokenizers library, each distinct word once.
 
-    Its word pattern crosses no ASCII white space and drops it, so a text's ids are those of the runs between.
+    Its word pattern crosses no white space and drops it, so a text's ids are those of
+    the runs between. Words of letters alone are one word of the pattern each; they go
+    to the library many in a line, as the last token of a word is marked in the vocabulary.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.remember = remember
         self.split = re.compile("[^ \t\n\r\f\v]+").findall
-        self.odd = re.compile("[\x1c-\x1f]").search
+        self.odd = re.compile("[\x1c-\x1f]").search  # white space to Python but not to the library
+
+    def words(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.split(text)
+        text = text.lower()  # as the library does; there's nothing for it to compose in such a text
+        return self.split(text) if self.odd(text) else text.split()
+
+    def learn(self, words: list[str], line: int = 64) -> None:
+        """Adds the ids of distinct words to what is known."""
+        kind, width = f"<u{self.width}", self.width
+        single = [w for w in words if LATIN(w)]
+        other = [w for w in words if not LATIN(w)]
+        for some, step in ((single, line), (other, 1)):
+            for at in range(0, len(some), 20_000):
+                part = some[at : at + 20_000]
+                made = [e.ids for e in self.library.encode_batch_fast([" ".join(part[k : k + step]) for k in range(0, len(part), step)] if step > 1 else part, add_special_tokens=False)]
+                flat = np.fromiter(chain.from_iterable(made), dtype=kind)
+                ends = np.flatnonzero(self.ends[flat]) + 1 if step > 1 else np.cumsum(np.fromiter(map(len, made), dtype=np.int64, count=len(made)))
+                data, ends = flat.tobytes(), (ends * width).tolist()
+                self.known.update(zip(part, [data[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > self.remember:
             self.known.clear()
-        known, kind, width = self.known, f"<u{self.width}", self.width
+        known = self.known
         parts, new = [], set()
         for text in texts:
-            if text.isascii():
-                text = text.lower()  # as the library does with ASCII capitals
-                words = self.split(text) if self.odd(text) else text.split()
-            else:
-                words = self.split(text)
+            words = self.words(text)
             found = list(map(known.get, words))
             if None in found:
                 new.update(w for w, f in zip(words, found, strict=True) if f is None)
@@ -99,13 +122,7 @@ class WordEncoder:
         marked = [w for w in new if w[-1] in ",.!" and w[:-1].isalpha()]
         new.difference_update(marked)
         new.update(x for w in marked for x in (w[:-1], w[-1]) if x not in known)
-        fresh = list(new)
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at : at + 50_000]
-            made = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(made), dtype=kind).tobytes()
-            ends = (np.cumsum(np.fromiter(map(len, made), dtype=np.int64, count=len(made))) * width).tolist()
-            known.update(zip(some, [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
+        self.learn(list(new))
         known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
         for words, found in parts:
             yield b"".join(map(known.__getitem__, words) if None in found else found)
