@@ -35,7 +35,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class TrieBpe:
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, model = byte_letters(), spec["model"]
@@ -78,7 +78,7 @@ class TrieBpe:
         """
         pair = (left, right)
         if (known := self.apart.get(pair)) is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > 500_000:
                 self.apart.clear()
             known, never = True, (1 << 60, -1)
             a, b, m, n = self.spine(left, 1), self.spine(right, 0), 0, 0
