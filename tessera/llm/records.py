@@ -4,7 +4,7 @@ A record is, little-endian: payload length (8 bytes), masked CRC-32 of those 8 b
 (4), the payload, masked CRC-32 of the payload (4), and a line feed (1). A payload is
 doc_id (8, signed), a flag byte (0: null doc_id, 1: known), width of an id in bytes (1: 2 or 4) and the ids. Spark's
 own committer writes the shards, so a lost task leaves no partial file. The index, a
-Parquet table, gives doc_id, shard file, position, byte offset, length and number of tokens, for shuffled reads.
+Parquet table, gives doc_id, shard file, position, byte offset, length, number and checksum of tokens, for shuffled reads.
 """
 
 from __future__ import annotations
@@ -189,7 +189,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     return folder
 
 
-def write_index(spark: SparkSession, folder: str) -> None:
+def scan_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for every record, read back from the files in order with all checksums verified."""
+
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for shard, data in zip(part["path"], part["content"], strict=True):
@@ -197,47 +199,29 @@ def write_index(spark: SparkSession, folder: str) -> None:
                 while at < len(data):
                     payload, after = unframe(data, at)
                     doc_id, ids = unpack(payload)
-                    rows.append((doc_id, shard, len(rows), at, after - at, len(ids), start))
+                    rows.append((doc_id, shard, len(rows), at, after - at, len(ids), start, zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
                     at = after
-                out = pd.DataFrame(rows, columns=["doc_id", "file", "position", "offset", "bytes", "n_tokens", "local_start"])
+                out = pd.DataFrame(rows, columns=["doc_id", "file", "position", "offset", "bytes", "n_tokens", "local_start", "ids_crc32"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{folder}/shards")
-    kinds = "doc_id long, file string, position long, offset long, bytes long, n_tokens long, local_start long"
+    kinds = "doc_id long, file string, position long, offset long, bytes long, n_tokens long, local_start long, ids_crc32 long"
     shard = F.regexp_extract("file", r"shard=(\d+)", 1).cast("int")
-    files.select("path", "content").mapInPandas(scan, kinds).withColumn("shard", shard).write.parquet(f"{folder}/index")
+    return files.select("path", "content").mapInPandas(scan, kinds).withColumn("shard", shard)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, shard, position, local_start, ids_crc32, n_tokens) of every record, from the files with their checksums verified."""
-
-    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for shard, data in zip(part["path"], part["content"], strict=True):
-                at, rows, start = 0, [], 0
-                while at < len(data):
-                    payload, at = unframe(data, at)
-                    doc_id, ids = unpack(payload)
-                    rows.append((doc_id, shard, len(rows), start, zlib.crc32(ids.astype("<u4").tobytes()), len(ids)))
-                    start += len(ids)
-                out = pd.DataFrame(rows, columns=["doc_id", "file", "position", "local_start", "ids_crc32", "n_tokens"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{folder}/shards")
-    kinds = "doc_id long, file string, position long, local_start long, ids_crc32 long, n_tokens long"
-    return files.select("path", "content").mapInPandas(scan, kinds).withColumn("shard", F.regexp_extract("file", r"shard=(\d+)", 1).cast("int"))
+def write_index(spark: SparkSession, folder: str) -> None:
+    scan_files(spark, folder).write.parquet(f"{folder}/index")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Writes the files, reads them back and adds each document's global start."""
+    """Writes the files and, from their index, which is made by reading them back, gives each document's global start."""
     work = Workspace(docs.sparkSession, "records")
     folder = write(docs, work.path)
     index = docs.sparkSession.read.parquet(f"{folder}/index")
-    # one row a shard, so the window is as small as the list of files
+    # the index is what was read back from the files; one row a shard, so the window is as small as the list of files
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    back = read(docs.sparkSession, folder)
-    return back.join(F.broadcast(before), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return index.join(F.broadcast(before), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
