@@ -59,6 +59,10 @@ class TrieBpe:
         self.known: dict[str, tuple[int, ...]] = {}
         self.remember = remember
 
+    def forget(self) -> None:
+        """Drops what was remembered of words and pairs; the vocabulary stays."""
+        self.known, self.apart, self.spines = {}, {}, ({}, {})
+
     def merge(self, ids: list[int]) -> list[int]:
         """Plain BPE: apply the lowest-ranked merge, leftmost first, until none applies."""
         while len(ids) > 1:
@@ -228,6 +232,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))
                 yield pa.RecordBatch.from_arrays([*part.slice(first, len(some)).columns, ids], names=names)
                 first += len(some)
+        c.forget()  # Spark keeps the worker for tasks of other stages
 
     return rows.mapInArrow(of, schema)
 
