@@ -171,6 +171,61 @@ def test_substring_offsets_survive_odd_capitals():
     assert text[substring.units(text)[0][0] : substring.units(text)[0][1]].endswith("four.") or len(substring.units(text)) >= 1
 
 
+def lines_at(text):
+    """(words, start, end) of the lines of a text."""
+    for m in re.finditer(r"[^\n]+", text):
+        words = m[0].split()
+        if words:
+            start = m.start() + len(m[0]) - len(m[0].lstrip())
+            yield " ".join(w.lower() for w in words), start, start + len(m[0].strip())
+
+
+def test_substring_finds_every_repeated_line(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text")
+    gone = {(r.doc_id, r.start, r.end) for r in substring.repeats(docs).collect()}
+    seen, later = set(), []
+    for doc, text in sorted({(r.doc_id, r.text) for r in docs.collect() if r.text}):
+        for line, a, b in lines_at(text):
+            if len(line.split()) >= 8:
+                later += [(doc, a, b)] if line in seen else []
+                seen.add(line)
+    assert len(later) > 500 and [x for x in later if x not in gone] == []
+
+
+@pytest.mark.parametrize("ends", [0, 7])
+def test_substring_units_of_a_passage_are_common(ends):
+    """51 words between other words: units of both texts cover 20 of them at least, 38 on average; every seventh word may end a sentence."""
+    rng = np.random.default_rng(5)
+
+    def some(n):
+        return [f"w{rng.integers(3000)}" + ("." if ends and rng.integers(ends) == 0 else "") for _ in range(n)]
+
+    common = []
+    for _ in range(300):
+        passage = some(51)
+        covered = []
+        for _ in range(2):
+            before, after = some(int(rng.integers(60))), some(int(rng.integers(60)))
+            text = " ".join(before + passage + after)
+            low = len(" ".join([*before, ""])) if before else 0
+            high = low + len(" ".join(passage))
+            covered.append({(a - low, b - low) for a, b, _ in substring.units(text) if low <= a and b <= high})
+        held = set()
+        for a, b in covered[0] & covered[1]:
+            held |= set(range(len(" ".join(passage)[:a].split()), len(" ".join(passage)[:b].split())))
+        common.append(len(held))
+    assert min(common) >= 20 and np.mean(common) >= 38
+
+
+def test_substring_short_lines_still_make_units():
+    verse = "one two three\nfour five six\nseven eight nine\nten eleven twelve"
+    first, second = (f"{head}\n{verse}\n{tail}" for head, tail in (("alpha beta", "gamma"), ("some other words of a different length", "delta epsilon zeta")))
+    held = {d for _, _, d in substring.units(first)} & {d for _, _, d in substring.units(second)}
+    covered = {k for a, b, d in substring.units(second) if d in held for k in range(a, b)}
+    at = second.index(verse)
+    assert set(range(at, at + len(verse))) <= covered
+
+
 def test_fingerprint_is_stable_over_partitions(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     one = simhash.fingerprints(docs.coalesce(1)).agg(F.sum(F.col("fp").cast("decimal(38,0)"))).first()[0]
