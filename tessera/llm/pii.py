@@ -168,21 +168,15 @@ def deobfuscate(text: str) -> Tracked:
     return t
 
 
-#: Words that, standing alone, call for the closer look of HINT; one-letter-off everyday words are left to their neighbours.
-CUES = frozenset(SPELLED).difference(("un", "oh", "null")) | {"dot", "punkt", "punto", "point"}
-APART = str.maketrans(dict.fromkeys(",-+()[]{}<>:;_*|/.", " "))
-BRACKETED = re.compile(r"[(\[{<|*_-][\x20\t]*(?:at|@|arroba|arobase|ät|dot|punkt|punto|point|\.)[\x20\t]*[)\]}>|*_-]")
-AT_DOMAIN = re.compile(r"[\x20\t](?:at|arroba|arobase)[\x20\t]+[a-z0-9-]+[\x20\t]*\.[\x20\t]*[a-z0-9]")
+#: HINT for texts in lower case, which is several times as fast.
+LOW_HINT = re.compile(HINT.pattern)
 
 
 def cued(text: str) -> bool:
-    """Whether the text may hold disguised digits, at or dot signs; cheap, and never false where HINT finds one."""
-    low = text.lower()
-    if "@" in low and (" @" in low or "@ " in low or "\t@" in low or "@\t" in low):
-        return True
-    if not CUES.isdisjoint(low.translate(APART).split()):
-        return True
-    return BRACKETED.search(low) is not None or (" at " in low and AT_DOMAIN.search(low) is not None)
+    """Whether HINT finds anything: it is searched for in lower case, with the letters that only re.I takes for an i or s made such."""
+    if not text.isascii():
+        text = text.replace("İ", "i").replace("ı", "i").replace("ſ", "s")
+    return LOW_HINT.search(text.lower()) is not None
 
 
 def windows(text: str, reach: int = 120) -> list[tuple[int, int]]:

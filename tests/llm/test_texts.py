@@ -1,6 +1,7 @@
 """Chat, personal data, encoders, records, classifiers and decontamination against plain versions."""
 
 import hashlib
+import random
 import os
 import re
 import struct
@@ -130,6 +131,36 @@ def test_pii_leaves_prose_alone(text):
     assert pii.joined(pii.find(text)[1]) == ""
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("Escriba a maria.lopez arroba ejemplo.com hoy", "maria.lopez arroba ejemplo.com"),
+        ("envoyez jean.petit arobase exemple.fr merci", "jean.petit arobase exemple.fr"),
+        ("write bob\tat\texample.com now", "bob\tat\texample.com"),
+    ],
+)
+def test_pii_at_words_without_a_blank_at(text, found):
+    assert found in [text[a:b] for a, b in pii.find(text)[1]["email"]]
+
+
+def test_pii_first_look_misses_no_hint():
+    rng = random.Random(3)
+    ats, dots = ["at", "arroba", "arobase", "ät", "@", "AT", "Arroba"], ["dot", "punkt", "punto", "point", ".", "DOT"]
+    blanks, marks = [" ", "\t", "  ", ""], [("(", ")"), ("[", "]"), ("{", "}"), ("<", ">"), ("-", "-"), ("", "")]
+    words = [w for some in pii.DIGIT_WORDS.values() for w in some] + ["ſix", "fıve", "Dİx", "FÜNF", "Zéro"]
+    hints = 0
+    for _ in range(20000):
+        if rng.random() < 0.5:
+            (o, c), (p, q) = rng.choice(marks), rng.choice(marks)
+            text = "maria" + rng.choice(blanks) + o + rng.choice(ats) + c + rng.choice(blanks) + "ejemplo" + rng.choice(blanks) + p + rng.choice(dots) + q + rng.choice(blanks) + "com"
+        else:
+            text = rng.choice(["", "+49", "x", "4"]) + "".join(rng.choice([*words, "5", "15"]) + rng.choice(["", " ", ",", "-", "\t"]) for _ in range(rng.randint(1, 4)))
+        if pii.HINT.search(text):
+            hints += 1
+            assert pii.cued(text), text
+    assert hints > 10000
+
+
 def test_pii_masks(spark):
     docs = docs_of(spark, ["me@x.org and 10.0.0.1", None, "", "plain"])
     assert [r.text for r in pii.masked(docs).orderBy("doc_id").collect()] == ["[EMAIL] and [IP]", None, "", "plain"]
