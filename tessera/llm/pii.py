@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -202,7 +202,7 @@ def windows(text: str, reach: int = 120) -> list[tuple[int, int]]:
 
 
 def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """(plain spans, all spans) by kind, ascending; a disguised identifier that overlaps a plain one of its kind is left out."""
+    """(plain spans, all spans) by kind, ascending; a disguised identifier is left out where a plain one of its kind is or holds the same span; one that only overlaps is added to it."""
     base = plain(text)
     every = {k: list(v) for k, v in base.items()}
     for a, b in windows(text):
@@ -214,11 +214,10 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
                 # an identifier that a window's edge may cut is seen whole in no other window only if it is longer than the reach
                 s, e = t.span(x, y)
                 span = (s + a, e + a)
-                at = bisect_left(base[kind], span)
-                near = base[kind][max(0, at - 1) : at + 1]
+                at = bisect_right(base[kind], (span[0], len(text)))  # plain spans don't overlap: only the last that begins by then may hold it
                 if kind == "email" and not TOP_LABEL.search(t.text[x:y]):
                     continue
-                if all(e0 <= span[0] or s0 >= span[1] for s0, e0 in near) and span not in every[kind]:
+                if (not at or base[kind][at - 1][1] < span[1]) and span not in every[kind]:
                     every[kind].append(span)
     return base, {k: sorted(v) for k, v in every.items()}
 

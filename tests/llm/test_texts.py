@@ -1,8 +1,8 @@
 """Chat, personal data, encoders, records, classifiers and decontamination against plain versions."""
 
 import hashlib
-import random
 import os
+import random
 import re
 import struct
 import zlib
@@ -161,6 +161,23 @@ def test_pii_first_look_misses_no_hint():
     assert hints > 10000
 
 
+@pytest.mark.parametrize(
+    ("kind", "found"),
+    [("email", "jоhn.smith@example.com"), ("email", "john.smitоh@example.com"), ("email", "jоhn.smith@exаmple.com"), ("ip", "１92.168.1.1"), ("ip", "192.168.1.1１"), ("card", "４111 1111 1111 1111"), ("phone", "+49 30 123456７")],
+)
+def test_pii_disguise_around_a_plain_match(kind, found):
+    text = f"write {found}, please"
+    base, every = pii.find(text)
+    assert found in [text[a:b] for a, b in every[kind]]
+    assert all(s in every[k] for k in pii.KINDS for s in base[k])
+    assert pii.redact(text, every) == f"write [{kind.upper()}], please"
+
+
+def test_pii_plain_matches_beside_a_disguise_stay_single():
+    text = "write jane@example.com or bob at example dot com"
+    assert [text[a:b] for a, b in pii.find(text)[1]["email"]] == ["jane@example.com", "bob at example dot com"]
+
+
 def test_pii_masks(spark):
     docs = docs_of(spark, ["me@x.org and 10.0.0.1", None, "", "plain"])
     assert [r.text for r in pii.masked(docs).orderBy("doc_id").collect()] == ["[EMAIL] and [IP]", None, "", "plain"]
