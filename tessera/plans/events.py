@@ -91,28 +91,41 @@ def price_alerts(spark, d):
     return prices.alerts(prices.latest_state(_closes(spark, d)), now)
 
 
-def _news(spark, d):
-    e = table(spark, d, "events").where("event_id % 20 = 3")
+def _news(spark, d, which="event_id % 20 = 3"):
+    e = table(spark, d, "events").where(which)
     return e.select(F.col("event_id").alias("news_id"), F.concat(F.lit("T"), (F.col("user_id") % 40).cast("string")).alias("ticker"), F.col("ts").alias("published_at"), F.col("event_type").alias("doc_class"))
 
 
-def asof_reaction(spark, d):
-    r = prices.asof_reaction(_news(spark, d), _closes(spark, d))
+def asof_reaction(spark, d, *which):
+    r = prices.asof_reaction(_news(spark, d, *which), _closes(spark, d))
     return r.select("news_id", "ticker", "published_at", "anchor_ts", "close", *[F.round(f"ret_{n}", 6).alias(f"ret_{n}") for n in (1, 5, 20)])
 
 
-def reaction_summary(spark, d):
-    news = _news(spark, d)
+def reaction_summary(spark, d, *which):
+    news = _news(spark, d, *which)
     r = prices.asof_reaction(news, _closes(spark, d)).join(news.select("news_id", "doc_class"), "news_id")
     s = prices.reaction_summary(r, ["doc_class"])
     return s.select("doc_class", "n", *[F.round(c, 4).alias(c) for c in s.columns if c not in ("doc_class", "n")])
 
 
-def top_movers(spark, d):
-    r = prices.asof_reaction(_news(spark, d), _closes(spark, d)).where("ret_1 is not null")
+def top_movers(spark, d, *which):
+    r = prices.asof_reaction(_news(spark, d, *which), _closes(spark, d)).where("ret_1 is not null")
     return r.orderBy(F.abs("ret_1").desc(), "news_id").limit(20).select("news_id", "ticker", F.round("ret_1", 6).alias("ret_1"))
 
 
+def asof_reaction_all(spark, d):
+    """The same with every event an announcement."""
+    return asof_reaction(spark, d, "true")
+
+
+def reaction_summary_all(spark, d):
+    return reaction_summary(spark, d, "true")
+
+
+def top_movers_all(spark, d):
+    return top_movers(spark, d, "true")
+
+
 MESSAGES = ["request timed out", "file not found", "json parse error", "out of memory", "permission denied", "unexpected"]
 
 
@@ -181,4 +194,6 @@ SQL = {
     "last_turns": "select conv_id, turn, role, length(text) as n_chars from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 3",
     "conversation_counts": "select conv_id, count(*) as n_turns, count(*) filter (where role = 'user') as n_user, max(turn) as last_turn, arg_max(role, turn) as last_role from conversations group by 1",
 }
+# the queries named _all cover what the filters of their namesakes leave out
+SQL |= {f"{k}_all": SQL[k].replace(" where event_id % 20 = 3", "") for k in ("asof_reaction", "reaction_summary", "top_movers")}
 QUERIES = {k: globals()[k] for k in SQL}

@@ -93,13 +93,21 @@ def sentiment_windows(spark, d):
 AMOUNT = r"(\(?[0-9][0-9,]*\.?[0-9]*\)?) ?(thousand|million|billion|k|m|bn)?"
 
 
-def number_extract(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 5 = 0")
+def _amounts(o):
     line = F.concat(F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("("), F.format_number(F.round("o_totalprice"), 0), F.lit(")"))).otherwise(F.format_number(F.round("o_totalprice"), 0)), F.when(F.col("o_custkey") % 3 == 0, F.lit(" million")).when(F.col("o_custkey") % 3 == 1, F.lit(" k")).otherwise(F.lit("")))
     p = o.select("o_orderkey", F.regexp_extract(line, AMOUNT, 1).alias("raw"), F.regexp_extract(line, AMOUNT, 2).alias("suffix"))
     return p.select("o_orderkey", "raw", "suffix", numeric.scaled_number(F.col("raw"), F.col("suffix")).alias("value"))
 
 
+def number_extract(spark, d):
+    return _amounts(table(spark, d, "orders").where("o_orderkey % 5 = 0"))
+
+
+def number_extract_all(spark, d):
+    """The same of every order."""
+    return _amounts(table(spark, d, "orders"))
+
+
 def corpus_audit(spark, d):
     t = table(spark, d, "documents").withColumn("n", F.length("text"))
     return t.groupBy("lang").agg(F.count("*").alias("n_docs"), F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.95).alias("p95"), F.max("n").cast("long").alias("longest"), F.round(F.count_if(F.col("n") < 200) * 100.0 / F.count("*"), 4).alias("short_pct"))
@@ -194,6 +202,15 @@ def embedding_topk(spark, d):
     return t.select("query_id", "vec_id", "cosine", F.col("rank").cast("long").alias("rank"))
 
 
+def embedding_topk_all(spark, d):
+    """The nearest five of all rows, whatever their label, to each whose id is divisible by 50."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    j = q.join(e, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 5).alias("cosine"))
+    t = retrieval.top_k(j, "query_id", 5, F.desc("cosine"), F.col("vec_id"))
+    return t.select("query_id", "vec_id", "cosine", F.col("rank").cast("long").alias("rank"))
+
+
 def vector_norms(spark, d):
     e = table(spark, d, "embeddings")
     u = retrieval.unit(F.col("embedding"))
@@ -307,4 +324,7 @@ select ord, case when du then 'duplicate_url' when dx then 'duplicate_exact' whe
     "scorecard_matrix": f"with {_GOLD}, c as (select metric, count(*) as total_gold, count(*) filter (where outcome = 'tp') as tp, count(*) filter (where outcome in ('wrong_value', 'wrong_period', 'wrong_currency')) as fp, count(*) filter (where outcome = 'wrong_period') as wp, count(*) filter (where outcome = 'wrong_currency') as wc from oc group by 1), r as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as p, tp / total_gold as rc from c) select metric, total_gold, tp, fp, round(p, 6) as precision, round(rc, 6) as recall, round(case when p + rc > 0 then 2 * p * rc / (p + rc) else 0.0 end, 6) as f1, round(wp / total_gold, 6) as wrong_period_rate, round(wc / total_gold, 6) as wrong_currency_rate, p >= 0.97 and rc >= 0.90 and wp / total_gold <= 0.01 and wc / total_gold <= 0.01 as passed from r",
 }
 ROWS_ONLY = ("chunk_overlap", "position_cluster")
+# the queries named _all cover what the filters of their namesakes leave out
+SQL["number_extract_all"] = SQL["number_extract"].replace(" where o_orderkey % 5 = 0", "")
+SQL["embedding_topk_all"] = SQL["embedding_topk"].replace("a.label = b.label and ", "").replace("a.vec_id % 100 = 7", "a.vec_id % 50 = 0")
 QUERIES = {k: globals()[k] for k in (*SQL, *ROWS_ONLY)}
