@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,34 +26,33 @@ def spare(df: DataFrame, name: str) -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
-
-    Where spark.checkpoint.dir is unset, a local session (tests) gets a folder of
-    its own; any other session uses the warehouse, which is shared as well.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir as the cluster names it, or else one in the warehouse, which is shared as well."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
 class Workspace:
-    """Cuts lineage by writing tables below scratch_root and reading them back."""
+    """Cuts lineage by writing tables below scratch_root and reading them back.
+
+    What is written stays as long as the driver may read it: it is removed by ``drop``
+    or, as Hadoop's own exit hook does, when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
+    def _files(self, target: str, action: str, *more) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(target)
+        getattr(path.getFileSystem(self.spark._jsc.hadoopConfiguration()), action)(path, *more)
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         target = f"{self.path}/{name}"
         df.write.parquet(target)
+        self._files(self.path, "deleteOnExit")  # takes effect only for a folder that exists
         return self.spark.read.schema(df.schema).parquet(target)
 
     def drop(self, name: str) -> None:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self._files(f"{self.path}/{name}", "delete", True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

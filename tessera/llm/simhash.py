@@ -7,8 +7,9 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, connected_components, spare
@@ -62,39 +63,119 @@ def block_keys(blocks: int, distance: int) -> list[list[tuple[int, int]]]:
     return [list(c) for c in combinations(parts, blocks - distance)]
 
 
-def near_links(prints: DataFrame, distance: int = 4, blocks: int = 7, crowded: int = 64) -> DataFrame:
-    """Links (src, dst) whose components are those of all pairs of distinct ``fp`` within ``distance`` bits.
+def spanning(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
+    """Places (a, b) of verified links that connect exactly what all pairs within the distance connect, fewer than there are fingerprints.
+
+    First every fingerprint within the distance of a chosen one is linked to it; then
+    those of different clusters are compared, small clusters first, until one is left.
+    Pairs inside a cluster need no look, so copies of one text cost little.
+    """
+    n = len(fps)
+    bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n, bitorder="little").view(np.uint64)[0]
+    left = np.argsort(np.bitwise_count(fps ^ middle), kind="stable")
+    label = np.zeros(n, dtype=np.int64)
+    src, dst, count = [], [], 0
+    while len(left):
+        near = np.bitwise_count(fps[left] ^ fps[left[0]]) <= distance
+        ball = left[near]
+        label[ball] = count
+        src += ball[1:].tolist()
+        dst += [int(ball[0])] * (len(ball) - 1)
+        left = left[~near]
+        count += 1
+    root = np.arange(count)
+    order = np.argsort(np.bincount(label, minlength=count)[label], kind="stable")
+    for at in range(0, n if count > 1 else 0, 256):
+        while (root != root[root]).any():
+            root = root[root]
+        some, rest = order[at : at + 256], order[at:]
+        mine, others = root[label[some]], root[label[rest]]
+        if (others == others[0]).all():
+            break
+        a, b = np.nonzero((np.bitwise_count(fps[some][:, None] ^ fps[rest]) <= distance) & (mine[:, None] != others))
+        for k in np.unique(mine[a] * count + others[b], return_index=True)[1].tolist():
+            p, q = int(mine[a[k]]), int(others[b[k]])
+            while root[p] != p:
+                p = int(root[p])
+            while root[q] != q:
+                q = int(root[q])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                src.append(int(some[a[k]]))
+                dst.append(int(rest[b[k]]))
+    return src, dst
+
+
+def links_of(fps: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links, as places, of each group of fingerprints; groups stand one after another from ``starts``, which ends in the number of all."""
+    size = np.diff(starts)
+    first = starts[:-1]
+    src, dst = [], []
+    for k, a, b in ((2, 0, 1), (3, 0, 1), (3, 0, 2), (3, 1, 2)):
+        at = first[size == k]
+        near = at[np.bitwise_count(fps[at + a] ^ fps[at + b]) <= distance]
+        src.append(near + a)
+        dst.append(near + b)
+    for k in np.flatnonzero(size > 3).tolist():
+        a, b = spanning(fps[first[k] : first[k] + size[k]], distance)
+        src.append(np.array(a, dtype=np.int64) + first[k])
+        dst.append(np.array(b, dtype=np.int64) + first[k])
+    return np.concatenate(src), np.concatenate(dst)
+
+
+def block_count(prints: int, distance: int, together: int) -> int:
+    """The fewest blocks with which evenly spread fingerprints leave at most ``together`` to a key: more as the table grows."""
+    blocks = distance + 3
+    while prints >> 64 * (blocks - distance) // blocks > together and blocks < 16:
+        blocks += 1
+    return blocks
+
+
+def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None, together: int = 4096) -> DataFrame:
+    """Verified links (src, dst) whose components are those of all pairs of distinct ``fp`` within ``distance`` bits.
 
     Two such fingerprints agree on blocks - distance of the blocks, so they meet in the
-    join on that choice of blocks, where their Hamming distance is checked. A key
-    that more than ``crowded`` fingerprints share isn't paired up: fingerprints in
-    any such key link to midpoints instead (all values within half the distance
-    of them). Two of them share a midpoint exactly if they are within the distance,
-    so the rows stay in proportion to the fingerprints and no link is lost.
+    group of that choice of blocks, where their Hamming distance is checked. A group of
+    more than ``together`` is dealt out as pairs of parts of it, so every two of it still
+    meet and no task holds more than two parts. Only links that connect something leave
+    a task. Nothing is broadcast.
     """
-    if distance % 2:
-        raise ValueError("the distance must be even")
-    keys = block_keys(blocks, distance)
-    bits = lambda first, width: F.shiftrightunsigned("fp", first).bitwiseAND((1 << width) - 1)
+    blocks = blocks or block_count(prints.count(), distance, 64)
     coded = []
-    for n, parts in enumerate(keys):
+    for n, parts in enumerate(block_keys(blocks, distance)):
         code = F.lit(0).cast("long")
         for first, width in parts:
-            code = F.shiftleft(code, width).bitwiseOR(bits(first, width))
-        coded.append(code.bitwiseOR(F.lit(n << 56).cast("long")))
-    keyed = prints.select("fp", F.explode(F.array(*coded)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(shared, "key")
-    few = members.where(F.col("n") <= crowded).select("key", "fp")
-    left, right = few.select("key", F.col("fp").alias("src")), few.select("key", F.col("fp").alias("dst"))
-    pairs = left.join(right, "key").where(F.expr(f"src < dst and bit_count(src ^ dst) <= {distance}")).select("src", "dst")
-    crowd = members.where(F.col("n") > crowded).select("fp").distinct()
-    flips = [sum(1 << b for b in c) for k in range(distance // 2 + 1) for c in combinations(range(64), k)]
-    masks = F.expr(f"array({','.join(f'bigint({m - (1 << 64) if m >> 63 else m})' for m in flips)})")
-    mids = crowd.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("mid"))
-    least = mids.groupBy("mid").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).where("n > 1").drop("n")
-    via = mids.join(least, "mid").where("fp <> dst").select(F.col("fp").alias("src"), "dst")
-    return pairs.union(via).distinct()
+            code = F.shiftleft(code, width).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND((1 << width) - 1))
+        coded.append(F.struct(F.lit(n).alias("n"), code.alias("code")))
+    keyed = prints.select("fp", F.explode(F.array(*coded)).alias("k")).select("fp", "k.n", "k.code")
+    shared = keyed.groupBy("n", "code").agg(F.count("*").alias("m")).where("m > 1")
+    held = keyed.join(shared, ["n", "code"]).withColumn("g", F.ceil(F.col("m") / together).cast("int"))
+    mine = F.pmod(F.xxhash64("fp"), F.col("g").cast("long")).cast("int")
+    dealt = held.select("fp", "n", "code", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    dealt = dealt.select("fp", "n", "code", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    where = ["n", "code", "i", "j"]
+
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by group; the last group of a batch may go on in the next
+        rest = np.zeros((5, 0), dtype=np.int64)
+
+        def out(rows: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+            a, b = links_of(rows[0].view(np.uint64), starts, distance)
+            return pa.RecordBatch.from_arrays([pa.array(rows[0][a]), pa.array(rows[0][b])], names=["src", "dst"])
+
+        for part in parts:
+            rows = np.concatenate((rest, np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("fp", *where)])), axis=1)
+            new = np.flatnonzero((rows[1:, 1:] != rows[1:, :-1]).any(axis=0)) + 1
+            if len(new):
+                yield out(np.ascontiguousarray(rows[:, : new[-1]]), np.concatenate(([0], new)))
+                rest = rows[:, new[-1] :].copy()
+            else:
+                rest = rows
+        if rest.shape[1]:
+            yield out(np.ascontiguousarray(rest), np.array([0, rest.shape[1]]))
+
+    return dealt.repartition(*where).sortWithinPartitions(*where).mapInArrow(scan, "src long, dst long").distinct()
 
 
 def components(docs: DataFrame, distance: int = 4) -> DataFrame:
@@ -107,7 +188,7 @@ def components(docs: DataFrame, distance: int = 4) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "simhash")
     prints = work.save(fingerprints(docs), "prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = work.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     linked = connected_components(near_links(classes.select("fp"), distance))
     roots = classes.join(linked, classes.fp == linked.id, "left").select("fp", F.coalesce("component", "fp").alias("root"), "first")
     roots = work.save(roots, "roots")
@@ -117,20 +198,27 @@ def components(docs: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """The query's columns, a row for each row of ``components``; a null doc_id stays null."""
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
     """Rows of docs less all but the first (least doc_id) of each component.
 
-    Rows that repeat a doc_id are one document, of which one row stays; rows without
-    a doc_id are dropped where another of their component has one, else one stays.
+    Rows that repeat a doc_id and a component are one document, of which the row of the
+    least (fingerprint, text) stays. Rows without a doc_id are dropped where another of
+    their component has one, else one stays. An empty table gives none; other columns are kept.
     """
-    found = components(docs, distance)
-    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    mine, first = spare(docs, "fp"), spare(docs, "root")
-    # by the class of the component, so that one row stays of near copies too
-    lone = found.where("component_id is null").select(F.col("fp").alias(f"{mine}_"), F.col("root").alias(first)).distinct()
-    rest = docs.where("doc_id is null").withColumn(mine, _fingerprint_udf()("text"))
-    return named.unionByName(rest.join(lone, rest[mine] == lone[f"{mine}_"]).dropDuplicates([first]).select(*docs.columns))
+    work = Workspace(docs.sparkSession, "keep-one")
+    found = work.save(components(docs, distance), "found")
+    mine, first, rank, key = (spare(docs, c) for c in ("fp", "root", "rank", "key"))
+    lone = found.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(key), F.col("fp").alias(mine), F.col("root").alias(first)).distinct()
+    several = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.bool_or(F.expr("doc_id = component_id")).alias("stays")).where("stays")
+    # documents with one fingerprint need no second look at it
+    plain = docs.join(several.where("low = high").select(key), docs["doc_id"] == F.col(key))
+    named = plain.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy("text"))).where(F.col(rank) == 1).select(*docs.columns)
+    mixed = docs.join(several.where("low < high").select(key), docs["doc_id"] == F.col(key), "left_semi")
+    mixed = mixed.unionByName(docs.where("doc_id is null")).withColumn(mine, _fingerprint_udf()("text"))
+    mixed = mixed.join(lone, [mixed[mine] == lone[mine], mixed["doc_id"].eqNullSafe(lone[key])]).drop(lone[mine])
+    best = Window.partitionBy("doc_id", first).orderBy(mine, "text")
+    return named.unionByName(mixed.withColumn(rank, F.row_number().over(best)).where(F.col(rank) == 1).select(*docs.columns))

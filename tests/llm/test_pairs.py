@@ -63,13 +63,13 @@ def test_simhash_odd_texts(spark):
     assert sorted(tuple(r) for r in simhash.digest(simhash.components(docs)).collect()) == slow_components(rows)
 
 
-@pytest.mark.parametrize("crowded", [2, 64])
-def test_links_of_crowded_blocks(spark, crowded):
+@pytest.mark.parametrize(("together", "blocks"), [(3, 7), (64, 7), (4096, 7), (50, 8)])
+def test_links_of_crowded_blocks(spark, together, blocks):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 6, dtype=np.int64)
     prints = {int(b) ^ sum(1 << int(k) for k in rng.integers(0, 63, rng.integers(0, 9))) for b in base for _ in range(60)}
     prints = sorted(prints | {0, -1, 1, 3, 7, 15, 31, -(1 << 63)})
-    links = simhash.near_links(spark.createDataFrame([(p,) for p in prints], "fp long"), crowded=crowded).collect()
+    links = simhash.near_links(spark.createDataFrame([(p,) for p in prints], "fp long"), together=together, blocks=blocks).collect()
     at = {p: n for n, p in enumerate(prints)}
     a = np.array(prints, dtype=np.int64).view(np.uint64)
     near = [(i, int(j)) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 4) if i < j]
@@ -126,7 +126,7 @@ def test_embedding_odd_vectors_and_blocks(spark):
     kinds = "vec_id long, embedding array<double>, id long, v string, codes string, first long, w int"
     frame = spark.createDataFrame([(*r, 1, "x", "y", 2, 3) for r in rows], kinds)
     for crowded in (8, 1024):
-        assert sorted(tuple(r) for r in embedding.near_duplicates(frame, crowded=crowded).collect()) == slow_vectors(rows)
+        assert sorted(tuple(r) for r in embedding.near_duplicates(frame, together=together, blocks=blocks).collect()) == slow_vectors(rows)
     assert embedding.near_duplicates(frame.where("false")).count() == 0
 
 
