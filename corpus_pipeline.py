@@ -10,28 +10,34 @@ from tessera.llm.common import Workspace, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents whose language is recognised, with their columns.
+
+    Null, empty and letterless texts go. Repeated rows fare alike; a text's length has no
+    bound. Of an empty table nothing is learnt and nothing is left.
+    """
     return langid.keep_accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the least doc_id; null texts are one group, repeated rows one document."""
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, nor does any text if there is no benchmark row."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with identifiers masked."""
+    """Documents with identifiers masked in ``text``; null texts stay null, rows stay as many."""
     return pii.masked(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and their number."""
-    return bpe.encode(docs).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang and source where docs have them, n_tokens and ids of every row; a null text has no tokens."""
+    made = bpe.encode(docs)
+    known = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    return made.select(*known, F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
@@ -45,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written and read again."""
+    """Applies the stages to documents, each written and read again; what a stage read is removed once its own rows are written."""
     work = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = work.save(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return docs
