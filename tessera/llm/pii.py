@@ -96,7 +96,7 @@ _any = "|".join(sorted(SPELLED, key=len, reverse=True))
 GLYPHS = re.compile("[" + re.escape("".join(GLYPH)) + INVISIBLE + "]")
 NARROW_GLYPHS = [c for c in (*GLYPH, *INVISIBLE) if ord(c) < 256]
 #: At least three spelled digits, or spelled ones beside figures; dashes, blanks or nothing between.
-SPELLED_RUN = re.compile(rf"(?<![^\W\d_])(?:{_any})(?:[\x20\t,-]{{0,2}}(?:{_any}|[0-9])(?![^\W\d_])){{1,40}}|[0-9](?:[\x20\t,-]{{0,2}}(?:{_any})(?![^\W\d_])){{1,40}}", re.I)
+SPELLED_RUN = re.compile(rf"(?<![^\W\d_])(?:{_any})(?:[\x20\t,-]{{0,2}}(?:{_any}|[0-9])(?![^\W\d_]))+|[0-9](?:[\x20\t,-]{{0,2}}(?:{_any})(?![^\W\d_]))+", re.I)
 ONE = re.compile(rf"{_any}", re.I)
 AT_MARK = re.compile(r"[\x20\t]*[(\[{<|*_-]+[\x20\t]*(?:at|@|arroba|arobase|ät)[\x20\t]*[)\]}>|*_-]+[\x20\t]*", re.I)
 DOT_MARK = re.compile(r"[\x20\t]*[(\[{<|*_-]+[\x20\t]*(?:dot|punto|point|punkt|\.)[\x20\t]*[)\]}>|*_-]+[\x20\t]*", re.I)
@@ -106,7 +106,7 @@ AT_WORD = re.compile(r"(?<=[A-Za-z0-9])[\x20\t]+(?:at|arroba|arobase)[\x20\t]+(?
 TOP_LABEL = re.compile(r"\.(?:[a-z]{2,}|[A-Z]{2,})$")
 AROUND_AT = re.compile(r"[\x20\t]+@[\x20\t]*|@[\x20\t]+")
 #: What makes a second look worth its time.
-HINT = re.compile(rf"[\(\[{{<|*_-][\x20\t]*(?:at|@|arroba|arobase|ät|dot|punkt|punto|point|\.)[\x20\t]*[\)\]}}>|*_-]|[\x20\t]dot[\x20\t]|[\x20\t](?:punkt|punto|point)[\x20\t]|[\x20\t]@|@[\x20\t]|[\x20\t](?:at|arroba|arobase)[\x20\t]+[A-Za-z0-9-]+[\x20\t]*\.[\x20\t]*[A-Za-z0-9]|(?:{_any})[\x20\t,-]{{0,2}}(?:{_any}|[0-9])|[0-9][\x20\t,-]{{1,2}}(?:{_any})", re.I)
+HINT = re.compile(rf"[\(\[{{<|*_-][\x20\t]*(?:at|@|arroba|arobase|ät|dot|punkt|punto|point|\.)[\x20\t]*[\)\]}}>|*_-]|[\x20\t]dot[\x20\t]|[\x20\t](?:punkt|punto|point)[\x20\t]|[\x20\t]@|@[\x20\t]|[\x20\t](?:at|arroba|arobase)[\x20\t]+[A-Za-z0-9-]+[\x20\t]*\.[\x20\t]*[A-Za-z0-9]|(?:{_any})[\x20\t,-]{{0,2}}(?:{_any}|[0-9])|[0-9][\x20\t,-]{{0,2}}(?:{_any})", re.I)
 
 
 class Tracked:
@@ -179,8 +179,13 @@ def cued(text: str) -> bool:
     return LOW_HINT.search(text.lower()) is not None
 
 
-def windows(text: str, reach: int = 120) -> list[tuple[int, int]]:
-    """Parts of the text around hints of a disguise, joined where they touch."""
+#: A blank between two plain words, neither of them a word of a disguise, or a line break: nothing that is looked for crosses it.
+_said = "|".join(sorted({w for w in SPELLED if w.isascii()} | {"at", "dot", "punkt", "punto", "point", "arroba", "arobase"}))
+BOUNDARY = re.compile(rf"(?<=[\x20\n])(?!(?:{_said})\x20)[A-Za-z]+(?=\x20(?!(?:{_said})[\x20\n])[A-Za-z]+[\x20\n])|\n", re.I)
+
+
+def windows(text: str) -> list[tuple[int, int]]:
+    """Parts of the text around hints of a disguise, each out to the next boundary that no identifier or disguise can cross; ascending and apart."""
     marks = [m.span() for m in HINT.finditer(text)] if cued(text) else []
     if not text.isascii():
         try:
@@ -193,11 +198,26 @@ def windows(text: str, reach: int = 120) -> list[tuple[int, int]]:
             marks.sort()
     out: list[list[int]] = []
     for a, b in marks:
-        a, b = max(0, a - reach), min(len(text), b + reach)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+        if out and b <= out[-1][1]:
+            continue
+        # the last boundary that ends by a, looked for ever further back
+        start, reach = 0, 64
+        while (low := max(0, a - reach)) or reach == 64:
+            last = None
+            for m in BOUNDARY.finditer(text, low, a):
+                last = m
+            if last:
+                start = last.end()
+                break
+            if not low:
+                break
+            reach *= 4
+        after = BOUNDARY.search(text, b)
+        end = after.end() if after else len(text)
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
         else:
-            out.append([a, b])
+            out.append([start, end])
     return [(a, b) for a, b in out]
 
 
@@ -211,7 +231,6 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
             continue
         for kind, spans in plain(t.text).items():
             for x, y in spans:
-                # an identifier that a window's edge may cut is seen whole in no other window only if it is longer than the reach
                 s, e = t.span(x, y)
                 span = (s + a, e + a)
                 at = bisect_right(base[kind], (span[0], len(text)))  # plain spans don't overlap: only the last that begins by then may hold it
@@ -237,7 +256,11 @@ def redact(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def annotate(docs: DataFrame) -> DataFrame:
-    """docs with ``found`` (a column of that name is replaced): counts of plain spans by kind, base_sha256, spans and the redacted text. Null texts are empty."""
+    """docs with ``found`` (a column of that name is replaced): counts of plain spans by kind, base_sha256 and all spans.
+
+    Null texts are empty. Every row is looked at on its own, so repeated rows and ids give
+    repeated results; whole texts are read, whatever their length. An empty table gives none.
+    """
 
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -252,6 +275,7 @@ def annotate(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The query's columns, a row for each row of docs."""
     return annotate(docs.select("doc_id", "text")).select("doc_id", "found.*")
 
 

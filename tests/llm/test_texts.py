@@ -178,6 +178,43 @@ def test_pii_plain_matches_beside_a_disguise_stay_single():
     assert [text[a:b] for a, b in pii.find(text)[1]["email"]] == ["jane@example.com", "bob at example dot com"]
 
 
+def whole_text_spans(text):
+    """All spans by rewriting the whole text at once."""
+    base = pii.plain(text)
+    every = {k: set(v) for k, v in base.items()}
+    t = pii.deobfuscate(text)
+    for kind, spans in pii.plain(t.text).items() if t.text != text else ():
+        for x, y in spans:
+            s, e = t.span(x, y)
+            if (kind != "email" or pii.TOP_LABEL.search(t.text[x:y])) and not any(p <= s and e <= q for p, q in base[kind]):
+                every[kind].add((s, e))
+    return base, {k: sorted(v) for k, v in every.items()}
+
+
+def test_pii_windows_are_the_whole_text():
+    rng = random.Random(4)
+    parts = "foo bar The at dot (at) [dot] five four one nine oh a@b.co john.smith example.com com 4111 1111 +49 555 - jоhn é point arroba @ . , ( 1.2.3.4 \u200b — seven zwei".split() + ["\n", "  ", "\t"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(1, 40)))
+        assert pii.find(text) == whole_text_spans(text)
+
+
+def test_pii_long_runs_beside_a_hint():
+    assert pii.find("a" * 300 + " (at) example.org")[1]["email"] == [(0, 317)]
+    text = "7" * 60 + "4111111111111111" + " " + "x" * 102 + "(at) b (dot) com"
+    assert pii.find(text)[1]["card"] == []
+    spelled = "+" + " ".join(["one"] * 12)
+    assert pii.find("call " + spelled + " now")[1]["phone"] == whole_text_spans("call " + spelled + " now")[1]["phone"]
+
+
+def test_pii_repeated_long_and_clashing(spark):
+    long = "word " * 100_000 + "jоhn.smith@example.com"
+    docs = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (None, None, None)], "doc_id long, text string, found string")
+    got = pii.annotate(docs).collect()
+    assert len(got) == 3 and got[0].found == got[1].found and f"email:500000:{500000 + 22}" in got[0].found.spans.split(",")
+    assert pii.digest(docs.where("false")).count() == 0
+
+
 def test_pii_masks(spark):
     docs = docs_of(spark, ["me@x.org and 10.0.0.1", None, "", "plain"])
     assert [r.text for r in pii.masked(docs).orderBy("doc_id").collect()] == ["[EMAIL] and [IP]", None, "", "plain"]
