@@ -48,9 +48,13 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         target = f"{self.path}/{name}"
         df.write.parquet(target)
-        self._files(self.path, "deleteOnExit")  # takes effect only for a folder that exists
+        self.keep()
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def keep(self) -> None:
+        """Keeps what is in the folder until the driver ends; takes effect only once the folder exists."""
+        self._files(self.path, "deleteOnExit")
+
     def drop(self, name: str) -> None:
         self._files(f"{self.path}/{name}", "delete", True)
 

@@ -20,6 +20,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ from .common import Workspace
 END_ID = 2
 MASK_DELTA = 0xA282EAD8  # fixed value of the record format's checksum masking
 HEAD, FOOT = 12, 5
+INDEX = "doc_id long, file string, position long, offset long, bytes long, n_tokens long, local_start long, ids_crc32 long, shard long"
 LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 
 
@@ -140,52 +142,52 @@ def encoder(path: str) -> WordEncoder:
     return _loaded[path]
 
 
-def frames(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, record) of every row; a null text is empty and gives the end id alone."""
+def frames(docs: DataFrame, path: str, end_id: int, shard_chars: int) -> DataFrame:
+    """(part, piece, at, record) of every row, in the order in which rows of a partition come.
 
-    @F.pandas_udf("binary")
-    def of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    A new piece begins each time the partition's texts have filled ``shard_chars``
+    characters. A null text is empty and gives the end id alone.
+    """
+
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         tail = end_id.to_bytes(e.width, "little")
-        for keys, texts in parts:
-            ids = (x for some in bounded([t or "" for t in texts]) for x in e.encode_batch(some))
-            yield pd.Series([frame(pack(None if pd.isna(k) else int(k), x + tail, e.width)) for k, x in zip(keys, ids, strict=True)], dtype=object)
-
-    return docs.select("doc_id", of(F.col("doc_id").cast("string"), "text").alias("record"))
-
+        chars, at = 0, 0
+        for part in parts:
+            keys, first = part.column(0).to_pylist(), 0
+            for some in bounded(x.as_py() or "" for x in part.column(1)):
+                ids = e.encode_batch(some)
+                rows = [frame(pack(k, x + tail, e.width)) for k, x in zip(keys[first : first + len(some)], ids, strict=True)]
+                before = chars + np.cumsum([0, *map(len, some)])
+                chars = int(before[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((before[:-1] // shard_chars).astype(np.int32)), pa.array(np.arange(at, at + len(some))), pa.array(rows, type=pa.binary())], names=["piece", "at", "record"]
+                )
+                first, at = first + len(some), at + len(some)
 
-def shard_bounds(docs: DataFrame, shard_chars: int) -> list[int]:
-    """Ascending doc_ids at which shards begin, by an approximate quantile over all doc_ids."""
-    sizes = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
-    shards = max(1, -(-(sizes[1] or 0) // shard_chars))
-    if shards == 1:
-        return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [n / shards for n in range(1, shards)], 20 * shards)).first()[0]
-    return sorted({c for c in cuts or [] if c is not None})
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "piece int, at long, record binary")
+    return made.select(F.spark_partition_id().alias("part"), "piece", "at", "record")
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, shard_chars: int = 16_000_000) -> str:
-    """Writes every row of docs in ascending doc_id order (nulls first, equal ones by record) below folder.
+    """Writes every row of docs in ascending doc_id order (nulls first, equal ones by a hash of the text, then the text) below folder.
 
-    Shard number and position in the shard give the order. A shard holds about
-    ``shard_chars`` characters of text and is what one task reads back. The number of
-    shards grows with the table; only their bounds pass through the driver.
+    Rows are dealt by ranges of (doc_id, hash), so many ids or one very common one spread
+    alike; a range is sorted and encoded by one task, which cuts its output into shards of
+    about ``shard_chars`` characters of text, what one task reads back. Range, piece and
+    position give the order. Nothing of the table passes through the driver but its number
+    of characters. An empty table gives an empty index; other columns are passed over.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    bounds = shard_bounds(docs, shard_chars)
-    spark = docs.sparkSession
-    if bounds:
-        # the number of bounds that doc_id has reached
-        steps = F.expr(f"array({','.join(f'bigint({b})' for b in bounds)})")
-        number = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(steps, lambda b: b <= F.col("doc_id"))))
-    else:
-        number = F.lit(0)
-    made = frames(docs, path, end_id).withColumn("shard", number.cast("int"))
-    made = made.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "record")
-    # the record's own line feed is the writer's line separator
-    lines = made.select("shard", F.expr("cast(substring(record, 1, length(record) - 1) as string)").alias("value"))
-    lines.write.partitionBy("shard").option("compression", "none").option("lineSep", "\n").text(f"{folder}/shards")
-    write_index(spark, folder)
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-size // shard_chars))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    made = frames(dealt, path, end_id, shard_chars).sortWithinPartitions("part", "piece", "at")
+    # the record's own line feed is the writer's line separator; no cast changes a byte, or the checksums would tell on reading back
+    lines = made.select("part", "piece", F.expr("cast(substring(record, 1, length(record) - 1) as string)").alias("value"))
+    lines.write.partitionBy("part", "piece").option("compression", "none").option("lineSep", "\n").text(f"{folder}/shards")
+    write_index(docs.sparkSession, folder)
     return folder
 
 
@@ -207,21 +209,31 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
                 yield out
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{folder}/shards")
-    kinds = "doc_id long, file string, position long, offset long, bytes long, n_tokens long, local_start long, ids_crc32 long"
-    shard = F.regexp_extract("file", r"shard=(\d+)", 1).cast("int")
-    return files.select("path", "content").mapInPandas(scan, kinds).withColumn("shard", shard)
+    number = lambda name: F.regexp_extract("file", rf"/{name}=(\d+)", 1).cast("long")
+    return files.select("path", "content").mapInPandas(scan, INDEX.removesuffix(", shard long")).withColumn("shard", F.shiftleft(number("part"), 32) + number("piece"))
 
 
 def write_index(spark: SparkSession, folder: str) -> None:
     scan_files(spark, folder).write.parquet(f"{folder}/index")
 
 
+def starts(index: DataFrame, block: int = 4096) -> DataFrame:
+    """(shard, base): tokens of all shards before each. Sums run within blocks of shards, then over the blocks, so no task sees all shards."""
+    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    ranges = totals.groupBy(F.shiftright("shard", 32).alias("part")).agg(F.sum("n").alias("of_part"))
+    ranges = ranges.withColumn("block", F.floor(F.col("part") / block))
+    blocks = ranges.groupBy("block").agg(F.sum("of_part").alias("of_block"))
+    before_block = blocks.select("block", (F.sum("of_block").over(Window.orderBy("block")) - F.col("of_block")).alias("x"))  # a row for each ``block`` ranges
+    before_part = ranges.select("part", "block", (F.sum("of_part").over(Window.partitionBy("block").orderBy("part")) - F.col("of_part")).alias("y"))
+    pieces = totals.select("shard", F.shiftright("shard", 32).alias("part"), "n")
+    pieces = pieces.select("shard", "part", (F.sum("n").over(Window.partitionBy("part").orderBy("shard")) - F.col("n")).alias("z"))
+    return pieces.join(before_part, "part").join(before_block, "block").select("shard", (F.col("x") + F.col("y") + F.col("z")).alias("base"))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """Writes the files and, from their index, which is made by reading them back, gives each document's global start."""
     work = Workspace(docs.sparkSession, "records")
     folder = write(docs, work.path)
-    index = docs.sparkSession.read.parquet(f"{folder}/index")
-    # the index is what was read back from the files; one row a shard, so the window is as small as the list of files
-    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    return index.join(F.broadcast(before), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    work.keep()
+    index = docs.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
+    return index.join(starts(index), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
