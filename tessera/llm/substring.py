@@ -10,7 +10,9 @@ words has the same unit wherever it stands, and every shared passage of 51 words
 units (of 4,500 simulated ones 24 words at least, 41 on average); its first and last few
 words, before the first and after the last cut both texts share, are not removed. Units are normalised
 (lower case, words only) and their 128-bit digests grouped over the whole table; the
-occurrence of the least (doc_id, start) stays, all others are removed.
+occurrence of the least (doc_id, start) stays. Others are removed where, with the repeated
+units they overlap or follow on, they make up a run of ``least_run`` characters: a short
+sentence or line that happens to be found elsewhere is no copied passage and stays.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, spare
@@ -93,19 +95,27 @@ def all_units(docs: DataFrame, least_words: int) -> DataFrame:
     return known.mapInPandas(scan, "doc_id long, start long, end long, h1 long, h2 long")
 
 
-def repeats(docs: DataFrame, least_words: int = 5) -> DataFrame:
+def repeats(docs: DataFrame, least_words: int = 5, least_run: int = 100, gap: int = 4) -> DataFrame:
     """(doc_id, start, end, first_doc_id, first_start): every unit to remove, in code points of the source text.
 
-    Null and empty texts and rows without doc_id have no units. Rows that repeat a
-    doc_id and text are one occurrence. A unit that very many documents share is counted
-    before it is shuffled, and its occurrences are joined to the one row of its first.
+    Units at most ``gap`` characters apart make up a run. Null and empty texts and rows
+    without doc_id have no units. Rows that repeat a doc_id and text are one occurrence.
+    A unit that very many documents share is counted before it is shuffled, and its
+    occurrences are joined to the one row of its first; runs are made up within a document.
     """
     work = Workspace(docs.sparkSession, "substring")
     u = work.save(all_units(docs, least_words), "units")
     first = u.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = work.save(first, "first")  # so that the join below is of two plain tables, whose skewed keys Spark splits over tasks
     here = F.struct("doc_id", "start")
-    return u.join(first, ["h1", "h2"]).where(here > F.col("f")).select("doc_id", "start", "end", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("first_start"))
+    later = u.join(first, ["h1", "h2"]).where(here > F.col("f")).select("doc_id", "start", "end", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("first_start")).distinct()
+    in_text = Window.partitionBy("doc_id").orderBy("start", "end")
+    reached = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    apart = later.withColumn("apart", F.coalesce(F.col("start") > reached + gap, F.lit(True)).cast("int"))
+    run = Window.partitionBy("doc_id", "run")
+    runs = apart.withColumn("run", F.sum("apart").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
+    long = runs.withColumn("length", F.max("end").over(run) - F.min("start").over(run)).where(F.col("length") >= least_run)
+    return long.select("doc_id", "start", "end", "first_doc_id", "first_start")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -119,9 +129,9 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def deduplicated(docs: DataFrame, least_words: int = 5) -> DataFrame:
+def deduplicated(docs: DataFrame, least_words: int = 5, least_run: int = 100) -> DataFrame:
     """docs with repeated units cut from ``text`` and ``removed`` array<struct<start, end>>, the cuts in source offsets (a column of that name is replaced); order of rows is free."""
-    found = repeats(docs, least_words).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    found = repeats(docs, least_words, least_run).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:

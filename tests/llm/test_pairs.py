@@ -1,6 +1,7 @@
 """SimHash, embedding and substring duplicates against brute force."""
 
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -138,12 +139,58 @@ def test_components_of_chains_and_hubs(spark):
     assert common.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def slow_repeats(rows, least=5):
+def slow_units(text, least=5, far=8, window=14):
+    """Units by their definition, one cut against all others; the normalised words stand for their digest."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text) if len(text.lower()) != len(text) else text.lower()
+    at = [(m.start(), m.end()) for m in re.finditer(r"\S+", low)]
+    words = [low[a:b] for a, b in at]
+    n = len(words)
+    if n < least:
+        return []
+    bare = [w.strip(".,;:!?\"'()[]") for w in words]
+    breaks = sorted({0, n} | {k for k in range(1, n) if re.search("[\n\r]", low[at[k - 1][1] : at[k][0]])})
+    hard = set(breaks) | {k + 1 for k in range(n) if words[k][-1] in ".!?"}
+    cuts = set(hard)
+    for k in range(n - window + 1):
+        some = range(k + 1, k + window + 1)
+        if not hard & set(some):
+            least_hash = min(zlib.crc32(bare[j - 1].encode()) for j in some)
+            cuts.add(max(j for j in some if zlib.crc32(bare[j - 1].encode()) == least_hash))
+    cuts = sorted(cuts)
+    reaches = lambda i, j: j - i >= far or (j - i >= least and i in hard and j in hard)
+    pairs = {(i, j) for i, j in zip(breaks, breaks[1:], strict=False) if j - i >= least}
+    pairs |= {(i, min(to)) for i in cuts if (to := [j for j in cuts if reaches(i, j)])}
+    ends = {min(to) for i in cuts if (to := [j for j in cuts if reaches(i, j)])}
+    pairs |= {(max(of), j) for j in cuts if j not in ends and (of := [i for i in cuts if reaches(i, j)])}
+    return [(at[i][0], at[j - 1][1], " ".join(bare[i:j])) for i, j in sorted(pairs)]
+
+
+def slow_repeats(rows, least_run=100, gap=4, cutter=slow_units):
     seen = {}
     for doc, text in rows:
-        for a, b, d in substring.units(text or "", least):
+        for a, b, d in cutter(text or ""):
             seen.setdefault(d, set()).add((doc, a, b))
-    return sorted((*x, *min(v)[:2]) for v in seen.values() for x in v if x[:2] > min(v)[:2])
+    later = sorted({(*x, *min(v)[:2]) for v in seen.values() for x in v if x[:2] > min(v)[:2]})
+    runs, reached = [], (None, 0)
+    for x in later:
+        if x[0] != reached[0] or x[1] > reached[1] + gap:
+            runs.append([])
+            reached = (x[0], x[2])
+        runs[-1].append(x)
+        reached = (x[0], max(reached[1], x[2]))
+    return sorted(x for r in runs if max(y[2] for y in r) - r[0][1] >= least_run for x in r)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_substring_units_are_the_definition(seed):
+    rng = np.random.default_rng(seed)
+    marks = ["", "", "", ".", ",", "!", "\n", "\n\n", "\r", '"']
+    for _ in range(60):
+        text = " ".join(f"{'W' * rng.integers(2)}w{rng.integers(9)}" + marks[rng.integers(len(marks))] for _ in range(rng.integers(70)))
+        want = slow_units(text)
+        got = substring.units(text)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert len({d for _, _, d in got}) == len({d for _, _, d in want})
 
 
 def test_substring_query_is_brute_force(spark, medium):
@@ -164,6 +211,15 @@ def test_substring_cuts_a_shared_passage(spark):
     assert substring.repeats(docs.where("false")).count() == 0
 
 
+def test_substring_leaves_short_repeats_and_takes_long_ones(spark):
+    line = "The same five words here."
+    passage = " ".join(f"shared{k}" for k in range(51))
+    rows = [(1, f"{line}\none two\n{passage} x"), (2, f"other start\n{line}\nand an end"), (3, f"y z\n{passage}"), (3, f"y z\n{passage}")]
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {3} and all(r.first_doc_id == 1 for r in got)
+    assert {r.doc_id for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string"), least_run=1).collect()} == {2, 3}
+
+
 def test_substring_offsets_survive_odd_capitals():
     text = "İstanbul İİ one two three four. Next five words follow here."
     for a, b, _ in substring.units(text):
@@ -182,7 +238,7 @@ def lines_at(text):
 
 def test_substring_finds_every_repeated_line(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text")
-    gone = {(r.doc_id, r.start, r.end) for r in substring.repeats(docs).collect()}
+    gone = {(r.doc_id, r.start, r.end) for r in substring.repeats(docs, least_run=1).collect()}
     seen, later = set(), []
     for doc, text in sorted({(r.doc_id, r.text) for r in docs.collect() if r.text}):
         for line, a, b in lines_at(text):
