@@ -8,6 +8,10 @@
    the roots of their singular values, and takes those near a part of an item by cosine.
 3. The longest common subsequence of an item and the text about a candidate, and how
    much of the item's rarest terms ("the answer") occurs there, decide.
+
+Items too short for a passage's direction to tell are looked for token by token besides:
+those of fewer than ``Rules.brief`` tokens anywhere, those of fewer than ``Rules.least``
+only as a whole line or text, for a word or two inside a sentence is no leak.
 """
 
 from __future__ import annotations
@@ -43,7 +47,8 @@ class Rules:
     lcs: float = 0.7  # share of an item in common order that decides alone
     paraphrase: float = 0.5  # share that decides together with the answer
     answer: float = 0.75  # share of the item's rarest terms
-    least: int = 5  # tokens of an item that can be looked for
+    least: int = 5  # fewer tokens than that: only whole lines or texts
+    brief: int = 8  # fewer tokens than that: equal tokens in a row as well as the search
     seed: int = 11
 
 
@@ -74,6 +79,8 @@ class Index:
     may_have: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=bool))  # by a hash of item and term; never false for a term of the item
     masks: list[dict[int, int]] = field(default_factory=list)
     answers: list[frozenset[int]] = field(default_factory=list)
+    lines: dict[bytes, list[int]] = field(default_factory=dict)  # ids of the shortest items by their tokens
+    rows: dict[int, list[tuple[np.ndarray, int]]] = field(default_factory=dict)  # brief items by first term: terms, id
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(len(self.vocabulary))), dtype=np.int32, count=len(words))
@@ -99,14 +106,21 @@ def lcs_length(masks: dict, size: int, words: list) -> int:
 
 
 def start_index(items: list, rules: Rules) -> Index:
-    """items: rows of item_id and text; those of fewer than the least tokens, null or empty ones have none to find."""
-    kept = sorted((r.item_id, tokens(r.text)) for r in items if r.item_id is not None)
-    kept = [(i, w) for i, w in kept if len(w) >= rules.least]
+    """items: rows of item_id and text; those without id or token have nothing to find."""
+    every = sorted((r.item_id, tokens(r.text)) for r in items if r.item_id is not None)
+    kept = [(i, w) for i, w in every if len(w) >= rules.least]
     vocabulary: dict[bytes, int] = {}
     for _, words in kept:
         for w in words:
             vocabulary.setdefault(w, len(vocabulary))
-    return Index(rules, [i for i, _ in kept], [w for _, w in kept], vocabulary)
+    index = Index(rules, [i for i, _ in kept], [w for _, w in kept], vocabulary)
+    for i, words in every:
+        if 0 < len(words) < rules.least:
+            index.lines.setdefault(b" ".join(words), []).append(i)
+        elif words and len(words) < rules.brief:
+            n = index.numbers(words)
+            index.rows.setdefault(int(n[0]), []).append((n, i))
+    return index
 
 
 def batches(index: Index, texts: list, most: int = 60_000) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,14 +201,14 @@ def sketch(docs: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray, int,
         yield pd.concat((out, z), axis=1)[(out["df"] > 0) | (out["term"] < 0)]
 
     kinds = "term long, df long, " + ", ".join(f"z{k} double" for k in range(rank))
-    rows = docs.select("text").mapInPandas(scan, kinds).groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(f"z{k}").alias(f"z{k}") for k in range(rank)]).collect()  # a row for each term of the index
-    df, z, passages = np.zeros(size), np.zeros((size, rank)), 0
-    for r in rows:
-        if r.term < 0:
-            passages = r.df
-        else:
-            df[r.term], z[r.term] = r.df, r[2:]
-    return df, z, passages, omega
+    rows = docs.select("text").mapInPandas(scan, kinds).groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(f"z{k}").alias(f"z{k}") for k in range(rank)]).toArrow()  # a row for each term of the index, as columns of numbers
+    term, count = rows.column("term").to_numpy(), rows.column("df").to_numpy()
+    of_term = term >= 0
+    df, z = np.zeros(size), np.zeros((size, rank))
+    df[term[of_term]] = count[of_term]
+    for k in range(rank):
+        z[term[of_term], k] = rows.column(f"z{k}").to_numpy()[of_term]
+    return df, z, int(count[~of_term].sum()), omega
 
 
 def finish_index(index: Index, df: np.ndarray, z: np.ndarray, passages: int, omega: np.ndarray) -> Index:
@@ -269,8 +283,38 @@ def candidates(index: Index, terms: np.ndarray, at_once: int = 2048) -> tuple[np
     return item[first], start[first], value[first]
 
 
+def equal_rows(index: Index, terms: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
+    """(text, item_id) of the brief items whose terms stand in a row."""
+    out = set()
+    heads = np.zeros(len(index.vocabulary) + 1, dtype=bool)
+    heads[list(index.rows)] = True
+    for at in np.flatnonzero(heads[terms]).tolist():
+        for n, item in index.rows[int(terms[at])]:
+            if np.array_equal(terms[at : at + len(n)], n):
+                out.add((int(np.searchsorted(starts, at, "right")) - 1, item))
+    return out
+
+
 def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
-    """(item_id, cosine, lcs, answer) of each item in each whole text, the best place of each."""
+    """(item_id, cosine, lcs, answer) of each item in each whole text, the best place of each; items found token by token have three ones."""
+    out = near_items(index, texts) if index.ids else [[] for _ in texts]
+    exact: list[set[int]] = [set() for _ in texts]
+    if index.rows:
+        for base, terms, starts, _ in batches(index, texts):
+            for k, item in equal_rows(index, terms, starts):
+                exact[base + k].add(item)
+    if index.lines:
+        for k, text in enumerate(texts):
+            for part in {text, *text.splitlines()} if text else ():
+                exact[k].update(index.lines.get(b" ".join(tokens(part)), ()))
+    for k, items in enumerate(exact):
+        items.difference_update(m[0] for m in out[k])
+        out[k] = sorted([*out[k], *((i, 1.0, 1.0, 1.0) for i in items)])
+    return out
+
+
+def near_items(index: Index, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
+    """The items found by cosine, common subsequence and rarest terms."""
     out: list[list] = [[] for _ in texts]
     rules, none = index.rules, len(index.vocabulary)
     for base, terms, starts, ends in batches(index, texts):
@@ -319,8 +363,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, s
     """docs with a column ``name`` (one of that name is replaced): the items found in each text, an empty array where there are none.
 
     The benchmark is searched in slices of at most about ``slice_chars`` characters (by
-    item_id), which bounds what the driver gathers and broadcasts; each adds two passes over the texts.
-    Null and empty texts match nothing.
+    item_id), which bounds what the driver gathers and broadcasts; each adds two passes
+    over the texts, so time grows with documents times benchmark.
+    Null and empty texts match nothing, nor does anything match a null item or one without
+    a word. Repeated rows are matched alike; items of equal text are all found, and rows
+    that repeat an item_id give it once for each. Of places alike the first counts.
     """
     rules = rules or Rules()
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -331,6 +378,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, s
         index = start_index(mine.select("item_id", "text").collect(), rules)
         if index.ids:
             index = finish_index(index, *sketch(docs, index))
+        if index.ids or index.lines:
             found.append(_search_udf(docs.sparkSession.sparkContext.broadcast(index))("text"))
     return docs.withColumn(name, F.concat(*found) if found else F.array().cast(MATCH))
 
@@ -346,6 +394,7 @@ def _search_udf(shared):
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row for each document and item found in it, with its cosine, share of common subsequence and of rarest terms."""
     found = matches(docs.select("doc_id", "text"), benchmark).select("doc_id", F.explode("matches").alias("m"))
     return found.select("doc_id", "m.item_id", F.round("m.cosine", 4).alias("cosine"), F.round("m.lcs", 4).alias("lcs"), F.round("m.answer", 4).alias("answer"))
 
