@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spare
@@ -63,26 +63,30 @@ class Centroids:
         return lang, float(min(1.0, max(0.0, 0.5 + (cos[at] - other)))), float(cos[at])
 
 
-def fit(labelled: DataFrame, per_language: int = 600, clusters: int = 3, rounds: int = 12, seed: int = 7, reject: float = 0.2) -> Centroids:
-    """Spherical k-means per language over at most ``per_language`` texts of each (the bound on what is learnt from).
+def fit(labelled: DataFrame, per_language: int = 600, most_languages: int = 1000, clusters: int = 3, rounds: int = 12, seed: int = 7, reject: float = 0.2) -> Centroids:
+    """Spherical k-means per language over at most ``per_language`` texts of each of the ``most_languages`` commonest (the bounds on what is learnt from).
 
-    labelled: doc_id, text, lang; rows of null text or lang are passed over. The sample
-    is those with the lowest hash of doc_id and text. ``reject`` times the median cosine
-    of the sample to its own centroid is the least cosine of an accepted text.
+    labelled: doc_id, text, lang; rows of null text or lang are passed over, as are texts
+    without a letter. The sample of a language is the texts of the least hash of
+    (doc_id, text), so it doesn't depend on the order of tasks. ``reject`` times the
+    median cosine of the sample to its own centroid is the least cosine of an accepted
+    text. An empty table gives no centroids.
     """
-    rows = labelled.where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(1000).collect()}
+    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("dice"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
 
     @F.pandas_udf("binary")
     def vectors(texts: pd.Series) -> pd.Series:
         return pd.Series([None if (n := counts(t)) is None else zlib.compress(n.astype("<f4").tobytes(), 1) for t in texts], dtype=object)
 
-    dice = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000))
-    share = F.lit(0)
+    # rows that can't be among the least by far are left out before the ranking
+    share = F.lit(-1)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.1 * per_language / n) * 1_000_000))).otherwise(share)
-    some = rows.where(dice < share).select("lang", "text", "doc_id")
-    found = some.select("lang", vectors("text").alias("v")).where("v is not null").limit(2 * per_language * max(1, len(sizes))).collect()
+        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2 * per_language / n) * 1_000_000))).otherwise(share)
+    some = rows.where(F.pmod("dice", F.lit(1_000_000)) < share)
+    first = Window.partitionBy("lang").orderBy(F.pmod("dice", F.lit(1_000_000)), "dice", "text")
+    some = some.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
+    found = some.select("lang", vectors("text").alias("v")).where("v is not null").collect()
     if not found:
         return Centroids(np.ones(FEATURES), [], np.zeros((0, FEATURES)), 0.0)
     packed: dict[str, list[bytes]] = {}  # kept packed; one language at a time is laid out
@@ -95,7 +99,7 @@ def fit(labelled: DataFrame, per_language: int = 600, clusters: int = 3, rounds:
     idf = np.log((1 + len(found)) / (1 + have)) + 0.05
     langs, centres, own = [], [], []
     for lang, rows_of in sorted(packed.items()):
-        mine = np.sqrt(np.array([raw(v) for v in sorted(rows_of)[: 2 * per_language]])) * idf
+        mine = np.sqrt(np.array([raw(v) for v in sorted(rows_of)])) * idf
         mine /= np.maximum(np.linalg.norm(mine, axis=1, keepdims=True), 1e-12)
         k = min(clusters, len(mine))
         c = mine[np.random.default_rng(seed).choice(len(mine), k, replace=False)]
@@ -110,15 +114,15 @@ def fit(labelled: DataFrame, per_language: int = 600, clusters: int = 3, rounds:
 
 
 def predict(docs: DataFrame, model: Centroids, name: str = "found") -> DataFrame:
-    """docs with a column ``name`` (one of that name is replaced) of lang_pred, score and accepted. Whole texts are used; a null or letterless text is ``und`` and not accepted."""
+    """docs with a column ``name`` (one of that name is replaced) of lang_pred, score, cosine and accepted. Whole texts are used; a null or letterless text is ``und`` and not accepted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x clusters x languages doubles
 
-    @F.pandas_udf("lang_pred string, score double, accepted boolean")
+    @F.pandas_udf("lang_pred string, score double, cosine double, accepted boolean")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in parts:
             rows = [m.nearest(t) for t in texts]
-            yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "accepted": [r[0] != "und" and r[2] >= m.floor for r in rows]})
+            yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "cosine": [r[2] for r in rows], "accepted": [r[0] != "und" and r[2] >= m.floor for r in rows]})
 
     return docs.withColumn(name, of("text"))
 
@@ -128,10 +132,10 @@ def remainder(docs: DataFrame, by: int):
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Learns from rows whose crc32(doc_id) mod 4 isn't 2 and predicts every row."""
+    """Learns from rows whose crc32(doc_id) mod 4 isn't 2 and predicts every row; ``accepted`` is the rejection by distance, which leaves lang_pred as it is."""
     model = fit(docs.where(F.coalesce(remainder(docs, 4) != 2, F.lit(False))))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", held, "found.lang_pred", "found.score")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held, "found.lang_pred", "found.score", "found.cosine", "found.accepted")
 
 
 def keep_accepted(docs: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ good label, weighted by line length, average to the document's score.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .langid import remainder
@@ -123,32 +124,45 @@ def chain_marginals(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np
     return both, pair, float(np.log(scale).sum() + top.sum() + shift * (n - 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, rounds: int = 60, rate: float = 0.15, decay: float = 1e-3, balance: float = 0.8) -> Crf:
-    """Learns from about ``most`` labelled documents, half of each label where there are so many (never from over twice that, the bound on what is learnt from).
+def stretch(lines: np.ndarray, most: int, key: int) -> np.ndarray:
+    """At most ``most`` lines in a row, from a place that key settles."""
+    spare = len(lines) - most
+    return lines if spare <= 0 else lines[(at := zlib.crc32(str(key).encode()) % (spare + 1)) : at + most]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, lines: int = 400, rounds: int = 60, rate: float = 0.15, decay: float = 1e-3, balance: float = 0.8) -> Crf:
+    """Learns from at most ``most`` labelled documents, half of each label, and at most ``lines`` lines in a row of each (the bounds on what is learnt from).
 
     labels: doc_id, quality (0 or 1; of several the least); other rows are passed over,
-    as are null and wordless texts. Every line has its document's label. Documents count
-    alike, however long. Labels are sampled first, by a hash of doc_id, so that only the
-    sampled documents' lines move.
+    as are null and wordless texts. Those of the least hash of (doc_id, quality) are the
+    sample; of rows that repeat a doc_id the one of the least text hash counts. Every line
+    has its document's label, so the weights of moves are learnt from steps between like
+    labels only: they say how far neighbours hold together. Documents count alike, however
+    long. Labels are sampled first, so that only the sampled documents' lines move.
     """
     rows = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sizes = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
 
     @F.pandas_udf("array<double>")
-    def flat(texts: pd.Series) -> pd.Series:
+    def flat(keys: pd.Series, texts: pd.Series) -> pd.Series:
         out = []
-        for t in texts:
+        for k, t in zip(keys, texts, strict=True):
             own, lengths = line_features(t)
-            out.append(np.concatenate((own, lengths[:, None]), axis=1)[:: max(1, len(own) // 400)].ravel())
+            out.append(stretch(np.concatenate((own, lengths[:, None]), axis=1), lines, k).ravel())
         return pd.Series(out)
 
     dice = F.pmod(F.xxhash64("doc_id", "quality"), F.lit(1_000_000))
-    share = F.lit(0)
+    share = F.lit(-1)
     for label, n in sizes.items():
-        share = F.when(F.col("quality") == label, F.lit(int(min(1.0, most / 2 / n) * 1_000_000))).otherwise(share)
-    sample = rows.where(dice < share).select(F.col("doc_id").alias("_id"), "quality").limit(2 * most)  # as few rows as may be broadcast
+        share = F.when(F.col("quality") == label, F.lit(int(min(1.0, most / n) * 1_000_000))).otherwise(share)
+    first = Window.partitionBy("quality").orderBy(dice, "doc_id")
+    sample = rows.where(dice < share).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most // 2)
+    sample = sample.select(F.col("doc_id").alias("_id"), "quality")  # at most ``most`` rows, so they may be broadcast
     texts = docs.where("text is not null").select("doc_id", "text")
-    some = texts.join(F.broadcast(sample), texts["doc_id"] == sample["_id"]).select("doc_id", "quality", flat("text").alias("x")).where(F.size("x") > 0).limit(4 * most).collect()
+    some = texts.join(F.broadcast(sample), texts["doc_id"] == sample["_id"])
+    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    some = some.withColumn("rank", F.row_number().over(again)).where("rank = 1")
+    some = some.select("doc_id", "quality", flat("doc_id", "text").alias("x")).where(F.size("x") > 0).collect()
     docs = [(np.array(r.x).reshape(-1, N_OWN + 1)[:, :N_OWN], int(r.quality)) for r in sorted(some, key=lambda r: (r.doc_id, r.quality, r.x))]
     total = sum(sizes.values())
     default = sizes.get(1, 0) / total if total else 0.5
