@@ -35,8 +35,10 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     Null texts and roles count as empty, null seq sorts first, equal seq by kind and
     text; repeated rows are repeated events. seq of a message is its first event's.
-    Only the last restart of each message and the deltas after it are gathered, so a
-    conversation with very many streamed pieces is spread over its messages.
+    A null conv_id or message_id is a key like any other; an empty log gives no message.
+    All deltas of a message are gathered before those that a restart overrides are left
+    out, so one message's pieces must fit into a row; a conversation of very many is
+    spread over its messages.
     """
     e = events.select(
         "conv_id",
@@ -63,7 +65,8 @@ def render(messages: DataFrame, learn_role: str = "assistant") -> DataFrame:
 
     Messages stand in order of seq (nulls first), then role and text. loss_mask is
     run lengths over ``formatted`` in code points: ``skip`` characters without loss,
-    then ``keep`` with it, per message. A conversation is one row, so its text must
+    then ``keep`` with it, per message. Other columns of messages are passed over, repeated
+    rows are repeated messages, no message gives no row. A conversation is one row, so its text must
     fit into one (2 GB); before it is gathered only one struct a message is shuffled.
     """
     role, text = escape(F.col("role")), escape(F.col("text"))
@@ -93,7 +96,7 @@ def render(messages: DataFrame, learn_role: str = "assistant") -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Parses ``formatted`` and applies ``loss_mask``: conv_id, turns (role, text), loss_texts, formatted."""
+    """Parses ``formatted`` and applies ``loss_mask``: conv_id, turns (role, text), loss_texts, formatted; a row for each row."""
     pieces = F.split(F.col("formatted"), CLOSE)
     body = F.slice(pieces, 1, F.size(pieces) - 1)
 
@@ -122,6 +125,7 @@ def from_turns(turns: DataFrame) -> DataFrame:
 
 
 def digest(rendered: DataFrame) -> DataFrame:
+    """Counts and digests of what ``read_back`` finds in each conversation's output; a row for each row."""
     back = read_back(rendered)
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")

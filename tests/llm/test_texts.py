@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, chat, decontaminate, langid, pii, quality, queries, records
@@ -430,6 +431,153 @@ def test_decontamination_paraphrase_and_odd_tables(spark):
     assert decontaminate.digest(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_short_items(spark):
+    bench = spark.createDataFrame([(1, "Yes, it is."), (2, "seven brown foxes ate quietly"), (3, "one two three four five six seven"), (4, "yes it is"), (5, "!!")], "item_id long, text string")
+    filler = " ".join(f"f{k}" for k in range(200))
+    texts = ["yes it IS", f"{filler}\nYes: it is!\n{filler}", f"{filler} yes it is {filler}", f"{filler} seven brown foxes ate quietly {filler}", f"{filler} One two three four, five six seven. {filler}", "!!", None]
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.digest(docs_of(spark, texts), bench).collect())
+    assert got == [(0, 1), (0, 4), (1, 1), (1, 4), (3, 2), (4, 3)]
+    some = bench.where("item_id in (1, 5)")
+    assert {r.doc_id for r in decontaminate.digest(docs_of(spark, texts), some).collect()} == {0, 1}
+
+
+def test_decontamination_recall_of_paraphrases(spark, medium):
+    """Items with 8 to 15 % of their tokens changed, dropped or inserted, in other text."""
+    rng = random.Random(8)
+    items = [r.text for r in spark.read.parquet(f"{medium}/benchmark.parquet").orderBy("item_id").collect() if r.text and len(r.text.split()) >= 16]
+    pool = [w for r in spark.read.parquet(f"{medium}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(50).collect() for w in (r.text or "").split()]
+    texts = []
+    for k, item in enumerate(items):
+        words = item.split()
+        for at in rng.sample(range(len(words)), round(len(words) * rng.uniform(0.08, 0.15))):
+            words[at] = rng.choice(["", rng.choice(pool), f"{words[at]} {rng.choice(pool)}"])
+        texts.append(" ".join([*rng.choices(pool, k=40), *words, *rng.choices(pool, k=40)]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.digest(docs, bench).collect()}
+    assert len(items) >= 10 and sum((k, k) in got for k in range(len(items))) >= 0.97 * len(items)
+
+
+def test_language_query_is_brute_force(spark, medium):
+    """Every text against every centroid, its n-grams counted one by one."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    model = langid.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"))
+    got = {r.doc_id: r for r in queries.op8_langid(spark, medium).collect()}
+    for doc, text in all_texts(spark, medium)[:300]:
+        low = (text or "").lower()
+        if not any(c.isalpha() for c in low):
+            assert got[doc].lang_pred == "und" and not got[doc].accepted
+            continue
+        line = b" " + re.sub(rb"[^a-z\x80-\xff]+", b" ", low.encode("utf-8", "replace")).lstrip() + b" "
+        n = np.zeros(langid.FEATURES)
+        for size, salt in ((2, 0x9E3779B1), (3, 0x85EBCA77)):
+            for at in range(len(line) - size + 1):
+                code = line[at] * 257 + line[at + 1]
+                code = code if size == 2 else code * 263 + line[at + 2]
+                n[(code * salt & 0xFFFFFFFF) >> 19] += 1
+        v = np.sqrt(n) * model.idf
+        cos = [float(c @ v / np.linalg.norm(v)) for c in model.matrix]
+        at = max(range(len(cos)), key=lambda k: cos[k])
+        other = max(c for c, k in zip(cos, model.langs, strict=True) if k != model.langs[at])
+        assert got[doc].lang_pred == model.langs[at] and got[doc].cosine == pytest.approx(cos[at]) and got[doc].accepted == (cos[at] >= model.floor)
+        assert got[doc].score == pytest.approx(min(1, max(0, 0.5 + cos[at] - other)))
+
+
+def test_language_sample_is_bounded_and_stable(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    one, two = langid.fit(docs.coalesce(1), per_language=40), langid.fit(docs.repartition(13), per_language=40)
+    assert one.langs == two.langs and np.array_equal(one.matrix, two.matrix)
+    same = spark.createDataFrame([(1, "the same words", "en")] * 500 + [(2, "des mots", "fr")], "doc_id long, text string, lang string")
+    assert sorted(set(langid.fit(same, per_language=20).langs)) == ["en", "fr"]
+    assert set(langid.fit(same, most_languages=1).langs) == {"en"}
+
+
+def test_quality_query_is_brute_force(spark, medium):
+    """Marginals by products of whole matrices over the lines of each text."""
+    docs, labels = (spark.read.parquet(f"{medium}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    got = {r.doc_id: r.score for r in queries.op6_quality(spark, medium).collect()}
+    step = np.exp(model.moves)
+    for doc, text in all_texts(spark, medium)[:150]:
+        own, lengths = quality.line_features(text or "")
+        if not len(own):
+            assert got[doc] == model.default
+            continue
+        none = np.zeros(quality.N_OWN)
+        x = [np.concatenate((own[k], own[k - 1] if k else none, own[k + 1] if k + 1 < len(own) else none, [1.0])) for k in range(len(own))]
+        emit = [np.exp((f @ model.weights) - (f @ model.weights).max()) for f in x]
+        good = []
+        for k in range(len(x)):
+            left, right = np.ones(2), np.ones(2)
+            for j in range(k):
+                left = (left * emit[j]) @ step
+                left /= left.sum()
+            for j in range(len(x) - 1, k, -1):
+                right = step @ (right * emit[j])
+                right /= right.sum()
+            both = left * emit[k] * right
+            good.append(both[1] / both.sum())
+            if len(x) > 60:
+                break
+        if len(good) == len(x):
+            assert got[doc] == pytest.approx(float(np.dot(good, lengths) / lengths.sum()), abs=1e-9)
+
+
+def test_quality_sample_is_bounded_and_stable(spark, medium):
+    docs, labels = (spark.read.parquet(f"{medium}/{t}.parquet") for t in ("documents", "labels"))
+    one, two = (quality.fit(d, labels, most=60, rounds=3) for d in (docs.coalesce(1), docs.union(docs).repartition(9)))
+    assert np.allclose(one.weights, two.weights) and one.default == two.default
+    long = quality.stretch(np.arange(1000), 400, 5)
+    assert len(long) == 400 and (np.diff(long) == 1).all() and len(quality.stretch(np.arange(30), 400, 5)) == 30
+
+
+def test_records_orders_nulls_and_repeats(spark, tmp_path):
+    rows = [(5, "b words", "x"), (None, "no id", "y"), (5, "b words", "x"), (5, "a words", "z"), (-3, None, "m"), (None, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
+    folder = records.write(docs, f"file://{tmp_path}/n")
+    got = spark.read.parquet(f"{folder}/index").orderBy("shard", "position").collect()
+    assert [r.doc_id for r in got] == [None, None, -3, 5, 5, 5]
+    out = records.digest(docs).collect()
+    assert len(out) == 6 and min(r.start for r in out) == 0 and len({r.start for r in out}) == 6
+
+
+def test_records_of_one_common_id_are_dealt(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "repeat(concat('w', id, ' '), 20) as text")
+    folder = records.write(docs, f"file://{tmp_path}/hot", shard_chars=30_000)
+    index = spark.read.parquet(f"{folder}/index")
+    assert index.where("doc_id = 7").select("shard").distinct().count() > 3
+    assert max(r["count"] for r in index.groupBy("shard").count().collect()) < 1000
+
+
+def test_chat_empty_and_clashing(spark):
+    kinds = "conv_id long, message_id long, seq long, kind string, role string, text string, turns string, formatted string, m string"
+    log = spark.createDataFrame([(1, 1, 0, "message", "user", "hi", "t", "f", "m"), (1, 2, 1, None, None, None, "t", "f", "m")], kinds)
+    messages = chat.fold_events(log).withColumn("turns", F.lit("t")).withColumn("formatted", F.lit("f"))
+    back = chat.read_back(chat.render(messages)).collect()
+    assert [(t.role, t.text) for t in back[0].turns] == [("user", "hi"), ("", "")]
+    none = log.where("false")
+    assert chat.digest(chat.render(chat.fold_events(none))).count() == 0
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    prose = "The quick brown fox jumps over the lazy dog and then it sleeps for a while near the river bank number"
+    rows = [(k, f"{prose} {k} {k * 7}", "en", "s", k, "x", "y") for k in range(30)] + [(3, f"{prose} 3 21", "en", "s", 3, "x", "y")] * 3 + [(90, None, None, None, None, None, None), (None, "", "en", "s", 0, "x", "y"), (91, "12 34", None, "s", 5, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, found string, ids string")
+    bench = spark.createDataFrame([(1, "some item of the benchmark with enough words to be found"), (None, None)], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    kept = [r.doc_id for r in out.collect()]
+    assert kept and len(kept) == len(set(kept)) and set(kept) <= set(range(30))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, f"{tmp_path}/a").columns == docs.columns
+    docs.where("false").write.parquet(f"{tmp_path}/b/documents.parquet")
+    bench.where("false").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+    assert corpus_pipeline.encoding(spark, docs.select("doc_id", "text"), "").columns == ["doc_id", "n_tokens", "ids"]
+
+
 def test_pipeline(spark, medium):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{medium}/documents.parquet")
