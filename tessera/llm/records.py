@@ -98,8 +98,9 @@ class WordEncoder:
     def learn(self, words: list[str], line: int = 64) -> None:
         """Adds the ids of distinct words to what is known."""
         kind, width = f"<u{self.width}", self.width
-        single = [w for w in words if LATIN(w)]
-        other = [w for w in words if not LATIN(w)]
+        single, other = [], []
+        for w in words:
+            (single if LATIN(w) else other).append(w)
         for some, step in ((single, line), (other, 1)):
             for at in range(0, len(some), 20_000):
                 part = some[at : at + 20_000]
@@ -113,21 +114,16 @@ class WordEncoder:
         if len(self.known) > self.remember:
             self.known.clear()
         known = self.known
-        parts, new = [], set()
-        for text in texts:
-            words = self.words(text)
-            found = list(map(known.get, words))
-            if None in found:
-                new.update(w for w, f in zip(words, found, strict=True) if f is None)
-            parts.append((words, found))
+        parts = [self.words(text) for text in texts]
+        new = set(chain.from_iterable(parts)).difference(known)
         # letters and one mark after them are two words of the pattern
         marked = [w for w in new if w[-1] in ",.!" and w[:-1].isalpha()]
         new.difference_update(marked)
         new.update(x for w in marked for x in (w[:-1], w[-1]) if x not in known)
         self.learn(list(new))
         known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
-        for words, found in parts:
-            yield b"".join(map(known.__getitem__, words) if None in found else found)
+        for words in parts:
+            yield b"".join(map(known.__getitem__, words))
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -155,7 +151,7 @@ def frames(docs: DataFrame, path: str, end_id: int, shard_chars: int) -> DataFra
         chars, at = 0, 0
         for part in parts:
             keys, first = part.column(0).to_pylist(), 0
-            for some in bounded(x.as_py() or "" for x in part.column(1)):
+            for some in bounded(x or "" for x in part.column(1).to_pylist()):
                 ids = e.encode_batch(some)
                 rows = [frame(pack(k, x + tail, e.width)) for k, x in zip(keys[first : first + len(some)], ids, strict=True)]
                 before = chars + np.cumsum([0, *map(len, some)])
@@ -176,10 +172,10 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     alike; a range is sorted and encoded by one task, which cuts its output into shards of
     about ``shard_chars`` characters of text, what one task reads back. Range, piece and
     position give the order. Nothing of the table passes through the driver but its number
-    of characters. An empty table gives an empty index; other columns are passed over.
+    of bytes. An empty table gives an empty index; other columns are passed over.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // shard_chars))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
