@@ -22,22 +22,71 @@ def scaled_number(raw: Column, suffix: Column) -> Column:
 
 
 # Unit and currency hints, in the order in which they are tried.
-UNIT_HINTS = ((r"\$'000|in thousands|thousands of", 1e3), (r"\$m\b|in millions|millions of|\$ million", 1e6), (r"\$bn\b|in billions", 1e9))
-CURRENCY_HINTS = ((r"A\$|AUD", "AUD"), (r"US\$|USD", "USD"), (r"NZ\$|NZD", "NZD"), (r"GBP", "GBP"), (r"EUR", "EUR"))
+UNIT_HINTS = (
+    (r"(?i)\$\s*[A-Z]?[’']?000\b|\b[A$]{0,2}\s*'000\b", 1e3),
+    (r"(?i)\b(?:in\s+thousands|thousand\s+dollars|A\$'000)\b", 1e3),
+    (r"(?i)\$\s*[A-Z]?\s*(?:bn|billion)\b|\b(?:in\s+billions)\b", 1e9),
+    (r"(?i)\$\s*[A-Z]?\s*(?:m|million)\b|\b(?:in\s+millions)\b", 1e6),
+)
+CURRENCY_HINTS = (
+    (r"(?i)\bCAD\b|C\$|\$C(?:AD)?|CA\$|CDN\$", "C$"),
+    (r"(?i)\bAUD\b|A\$|\$A(?:UD)?", "A$"),
+    (r"(?i)\bUSD\b|US\$|\$U(?:SD)?", "US$"),
+    (r"(?i)\bNZD\b|NZ\$|\$NZD?", "NZ$"),
+    (r"(?i)\bEUR\b|€", "€"),
+    (r"(?i)\bGBP\b|£", "£"),
+)
+# The form of an amount that stands alone, and of a percentage.
+AMOUNT_WORD = r"(?i)^((?:A|US|C|NZ)?[$€£])?\s*(\(?-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\)?)\s*(bn|mn|mm|k|m|b|t|million|billion|thousand|trillion)?$"
+PERCENT_WORD = r"^\(?-?\d[\d,]*(?:\.\d+)?\)?%$"
 
 
 def unit_multiplier(line: Column) -> Column:
+    """What figures near a line are to be multiplied by, if it says so."""
     out = F.lit(None).cast("double")
     for pattern, scale in reversed(UNIT_HINTS):
-        out = F.when(F.lower(line).rlike(pattern), scale).otherwise(out)
+        out = F.when(line.rlike(pattern), scale).otherwise(out)
     return out
 
 
+def apply_multiplier(value: Column, multiplier: Column, raw: Column, is_money_amount: Column) -> Column:
+    """The value scaled, unless its own text names a scale or it's no amount of money."""
+    own = F.lower(raw).rlike(r"\b(?:thousand|million|billion|trillion)\b|\d\s*[kmbt]\b")
+    return F.when(is_money_amount & ~own, value * multiplier).otherwise(value)
+
+
 def currency_hint(line: Column) -> Column:
+    """The currency that a line names; a dollar sign alone is just that; else empty."""
     out = F.when(F.contains(line, F.lit("$")), F.lit("$")).otherwise(F.lit(""))
     for pattern, code in reversed(CURRENCY_HINTS):
         out = F.when(line.rlike(pattern), code).otherwise(out)
-    return out
+    return F.coalesce(out, F.lit(""))
+
+
+def numeric_word(word: Column) -> Column:
+    """struct(value_type, value, currency, suffix, minor) of a word that is an amount or a percentage, else null.
+
+    Minor ones (years, one or two digits, small decimals, all without currency or scale) are rather labels than figures of a table.
+    """
+    t = F.trim(word)
+    part = lambda n: F.regexp_extract(t, AMOUNT_WORD, n)
+    currency, raw, suffix = part(1), part(2), part(3)
+    value = scaled_number(raw, suffix)
+    bare = (currency == "") & (suffix == "")
+    whole = value == F.floor(value)
+    digits = F.length(F.regexp_replace(raw, "[,()-]", ""))
+    minor = bare & ((whole & (F.abs(value).between(1900, 2100) | (digits <= 2))) | (raw.contains(".") & (F.abs(value) < 10)))
+    amount = F.struct(F.lit("amount").alias("value_type"), value.alias("value"), currency.alias("currency"), suffix.alias("suffix"), minor.alias("minor"))
+    share = scaled_number(F.regexp_replace(t, "%$", ""), F.lit(""))
+    percent = F.struct(F.lit("percent").alias("value_type"), share.alias("value"), F.lit("").alias("currency"), F.lit("").alias("suffix"), F.lit(False).alias("minor"))
+    return F.when(t.rlike(PERCENT_WORD), percent).when(t.rlike(AMOUNT_WORD) & value.isNotNull(), amount)
+
+
+def nearest(x: Column, centres: Column, tolerance: float) -> Column:
+    """Index (from 0) of the nearest centre, the first of equally near ones; null where none is within the tolerance."""
+    pairs = F.transform(centres, lambda c, i: F.struct(F.abs(c - x).alias("d"), i.alias("i")))
+    best = F.array_min(pairs)
+    return F.when(best["d"] <= tolerance, best["i"])
 
 
 def bucketize_scale(x: Column) -> Column:

@@ -82,8 +82,15 @@ def quality_score(title: Column, description: Column, body: Column) -> Column:
     return F.round(F.least(F.lit(1.0), n(body) / 2400.0 + n(description) / 1000.0 + n(title) / 400.0), 6)
 
 
+# Headings wholly in capitals, whatever their length in words.
+GENERIC_HEADING = r"^[A-Z][A-Z\s&/\-(),]{4,}$"
+
+
 def heading(x: Column) -> Column:
-    """A short line without a final full stop, mostly capitalised words or capitals."""
-    w = F.filter(F.split(F.trim(x), r"\s+"), lambda v: v != "")
-    caps = F.size(F.filter(w, lambda v: v.rlike("^[A-Z]")))
-    return (F.length(F.trim(x)).between(3, 90)) & (F.size(w).between(1, 12)) & ~F.trim(x).rlike(r"[.!?;,]$") & (caps >= 0.6 * F.size(w))
+    """A short line mostly of capitals or of capitalised words; marks at its ends don't count."""
+    h = F.btrim(normalize_space(x), F.lit(":.-"))
+    w = F.filter(F.split(h, " "), lambda v: v != "")
+    capitalised = F.size(F.filter(w, lambda v: v.rlike(r"^\p{Lu}"))) / F.greatest(F.size(w), F.lit(1))
+    letters, upper = F.length(F.regexp_replace(h, r"[^\p{L}]", "")), F.length(F.regexp_replace(h, r"[^\p{Lu}]", ""))
+    shape = F.size(w).between(1, 12) & (letters >= 6) & ((upper / F.greatest(letters, F.lit(1)) > 0.7) | (capitalised >= 0.75))
+    return (h != "") & (F.length(h) <= 110) & (h.rlike(GENERIC_HEADING) | shape)

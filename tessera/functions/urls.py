@@ -21,8 +21,19 @@ def host(url: Column) -> Column:
     return F.regexp_replace(h, r"^www\.", "")
 
 
+def plain(x: Column) -> Column:
+    """A query's key or value decoded; what isn't well coded stays as it is."""
+    return F.coalesce(F.try_url_decode(x), x)
+
+
+def coded(x: Column) -> Column:
+    """Coded anew: blanks as plus signs, only letters, digits and ``_.-~`` as they are."""
+    out = F.url_encode(x)
+    return F.replace(F.replace(out, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical(url: Column) -> Column:
-    """Scheme and host lowered, default port, tracking parameters, fragment and final slash gone, parameters sorted."""
+    """Scheme and host lowered, default port, tracking parameters, fragment and final slash gone, parameters sorted and coded anew."""
     raw = _spaced(url)
     scheme = F.coalesce(F.nullif(F.lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit("")), F.lit("https"))
     port = F.regexp_extract(raw, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#:]*:([0-9]+)", 1)
@@ -32,13 +43,13 @@ def canonical(url: Column) -> Column:
     pairs = F.split(F.regexp_extract(raw, r"\?([^#]*)", 1), "&")
 
     def wanted(p: Column) -> Column:
-        key = F.lower(F.split(p, "=", 2)[0])
+        key = F.lower(plain(F.split(p, "=", 2)[0]))
         track = key.isin(*TRACKING_PARAMS)
         for prefix in TRACKING_PREFIXES:
             track = track | key.startswith(prefix)
         return (p != "") & (key != "") & ~track
 
-    kept = F.array_sort(F.transform(F.filter(pairs, wanted), lambda p: F.struct(F.lower(F.split(p, "=", 2)[0]).alias("k"), F.coalesce(F.get(F.split(p, "=", 2), F.lit(1)), F.lit("")).alias("v"), F.split(p, "=", 2)[0].alias("key"))))
-    query = F.array_join(F.transform(kept, lambda s: F.concat(s["key"], F.lit("="), s["v"])), "&")
+    kept = F.array_sort(F.transform(F.filter(pairs, wanted), lambda p: F.struct(F.lower(plain(F.split(p, "=", 2)[0])).alias("k"), plain(F.coalesce(F.get(F.split(p, "=", 2), F.lit(1)), F.lit(""))).alias("v"), plain(F.split(p, "=", 2)[0]).alias("key"))))
+    query = F.array_join(F.transform(kept, lambda s: F.concat(coded(s["key"]), F.lit("="), coded(s["v"]))), "&")
     out = F.concat(scheme, F.lit("://"), host(url), port, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
     return F.when(raw == "", F.lit("")).otherwise(out)

@@ -27,17 +27,25 @@ def period_gaps(rows: DataFrame, kind: str) -> DataFrame:
     return g.withColumn("gap_days", F.datediff("period", "previous").cast("long")).where(F.col("gap_days") > target + slack)
 
 
-def failure_class(message: Column) -> Column:
-    """The first of the ordered keyword classes that a message falls in."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    return (
-        F.when(m.rlike("timeout|timed out"), "timeout")
-        .when(m.rlike("not found|missing|no such"), "missing_input")
-        .when(m.rlike("json|parse|schema"), "parse_error")
-        .when(m.rlike("memory|oom|resource"), "resource")
-        .when(m.rlike("auth|permission|denied"), "access")
-        .otherwise("other")
-    )
+# Classes of failed extractions and the words that tell them, in the order in which they are tried.
+FAILURES = {
+    "ocr_or_text_unavailable": ("empty text", "no text", "text unavailable", "ocr", "unable to extract text", "could not extract text"),
+    "parser_timeout": ("timeout", "timed out", "deadline exceeded", "took too long"),
+    "llm_invalid_json": ("invalid json", "jsondecodeerror", "expecting value", "malformed json", "could not parse json", "json parse"),
+    "provider_network": ("connection", "connecterror", "network", "name resolution", "dns", "refused", "temporarily unavailable", "httpx", "ssl"),
+    "corrupted_pdf": ("not a pdf", "corrupt", "trailer not found", "eof marker", "pdfsyntaxerror", "cannot open pdf", "invalid pdf"),
+}
+
+
+def failure_class(message: Column, details: Column | None = None) -> Column:
+    """The first class of which the message, or where that's empty the details, hold a word; else unknown."""
+    m = F.lower(F.trim(F.coalesce(message, F.lit(""))))
+    if details is not None:
+        m = F.when(m == "", F.lower(F.coalesce(details, F.lit("")))).otherwise(m)
+    out = F.lit("unknown")
+    for name, words in reversed(FAILURES.items()):
+        out = F.when(m.rlike("|".join(words)), name).otherwise(out)
+    return out
 
 
 def samples_per_class(rows: DataFrame, by: str, order: str, most: int = 3) -> DataFrame:

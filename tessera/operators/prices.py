@@ -54,17 +54,30 @@ def latest_state(prices: DataFrame) -> DataFrame:
     return s.withColumn("_last", F.max("ts").over(w)).where("ts = _last").drop("_last")
 
 
-def alerts(state: DataFrame, now, stale_hours: int = 96) -> DataFrame:
-    """Alert names and score of each ticker's state."""
-    pick = F.array(
-        F.when(F.abs("ret_1") >= 5, F.struct(F.lit("large_move_1d").alias("name"), F.lit(2).alias("points"))),
-        F.when(F.col("ret_20") <= -15, F.struct(F.lit("weak_20d").alias("name"), F.lit(2).alias("points"))),
-        F.when(F.col("vol_pct") >= 60, F.struct(F.lit("high_volatility").alias("name"), F.lit(1).alias("points"))),
-        F.when(F.col("drawdown_pct") <= -20, F.struct(F.lit("deep_drawdown").alias("name"), F.lit(2).alias("points"))),
-        F.when(F.unix_timestamp(F.lit(now)) - F.unix_timestamp("ts") > stale_hours * 3600, F.struct(F.lit("stale_price").alias("name"), F.lit(1).alias("points"))),
-    )
-    a = F.array_compact(pick)
-    return state.select("ticker", "ts", F.array_join(F.transform(a, lambda x: x["name"]), ",").alias("alerts"), F.aggregate(a, F.lit(0), lambda t, x: t + x["points"]).cast("long").alias("score"))
+# Thresholds of alerts in per cent, and what the severities weigh.
+ALERTS = {"ret_1d_abs": 3.0, "ret_20d_abs": 10.0, "vol_20d_ann": 45.0, "drawdown_63d": -12.0}
+SEVERITY = {"info": 1.0, "warning": 2.0, "critical": 3.0}
+
+
+def alerts(state: DataFrame, now, stale_hours: float = 96, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """(ticker, ts, alerts, score) of each ticker's state: the worst severity, plus a hundredth of every value, two at most each.
+
+    A row without a close is a failed look-up: it has the one alert price_error.
+    """
+    t = ALERTS | (thresholds or {})
+    age = (F.unix_timestamp(F.lit(now)) - F.unix_timestamp("ts")) / 3600.0
+    one = lambda kind, severity, value: F.struct(F.lit(kind).alias("kind"), F.lit(SEVERITY[severity]).alias("weight"), value.cast("double").alias("value"))
+    found = F.array_compact(F.array(
+        F.when(F.abs("ret_1") >= t["ret_1d_abs"], one("ret_1d_move", "warning", F.col("ret_1"))),
+        F.when(F.abs("ret_20") >= t["ret_20d_abs"], one("ret_20d_momentum", "warning", F.col("ret_20"))),
+        F.when(F.col("vol_pct") >= t["vol_20d_ann"], one("high_volatility", "warning", F.col("vol_pct"))),
+        F.when(F.col("drawdown_pct") <= t["drawdown_63d"], one("drawdown_63d", "warning", F.col("drawdown_pct"))),
+        F.when(age > stale_hours, one("stale_data", "critical", age)),
+    ))
+    a = F.when(F.col("close").isNull(), F.array(one("price_error", "critical", F.lit(None)))).otherwise(found)
+    # severities are counted as the alerts come: a later, worse one lifts the sum to its weight if that is more
+    score = F.aggregate(a, F.lit(0.0), lambda total, x: F.greatest(total, x["weight"]) + F.coalesce(F.least(F.abs(x["value"]) / 100.0, F.lit(2.0)), F.lit(0.0)))
+    return state.select("ticker", "ts", F.array_join(F.transform(a, lambda x: x["kind"]), ",").alias("alerts"), F.round(score, 3).alias("score"))
 
 
 def asof_reaction(news: DataFrame, prices: DataFrame, horizons: tuple[int, ...] = (1, 5, 20)) -> DataFrame:

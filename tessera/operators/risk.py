@@ -29,19 +29,24 @@ PROFILES = {
 }
 
 
-def leverage_and_liquidity(derived: DataFrame, profile: str = "institutional") -> DataFrame:
-    """(company, period, signal_name, signal_value, risk_level) per period from derived (company, period, metric, value)."""
-    t = PROFILES[profile]
+def leverage_and_liquidity(derived: DataFrame, *profiles: str) -> DataFrame:
+    """(company, period, signal_name, signal_value, risk_level, profile) per period and profile from derived (company, period, metric, value).
+
+    The figures are gathered once; the profiles are literals that each row is held against.
+    """
     one = lambda m: F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
     p = derived.groupBy("company", "period").agg(one("ebitda_amount"), one("net_debt_to_ebitda"), one("cash_runway_periods"))
     bad, ratio, runway = F.col("ebitda_amount") <= 0, F.col("net_debt_to_ebitda"), F.col("cash_runway_periods")
-    level = F.when(bad, "CRITICAL").when(ratio < t.leverage_low, "LOW").when(ratio <= t.leverage_medium, "MEDIUM").when(ratio.isNotNull(), "HIGH")
-    liquid = F.when(runway < t.runway_critical, "CRITICAL").when(runway < t.runway_high, "HIGH").when(runway.isNotNull(), "LOW")
-    rows = F.array(
-        F.struct(F.lit("net_debt_to_ebitda_risk").alias("signal_name"), F.when(bad, F.col("ebitda_amount")).otherwise(ratio).alias("signal_value"), level.alias("risk_level")),
-        F.struct(F.lit("cash_runway_risk").alias("signal_name"), runway.alias("signal_value"), liquid.alias("risk_level")),
-    )
-    return p.select("company", "period", F.explode(rows).alias("s")).select("company", "period", "s.*").where("risk_level is not null")
+    rows = []
+    for name in profiles or ("institutional",):
+        t = PROFILES[name]
+        level = F.when(bad, "CRITICAL").when(ratio < t.leverage_low, "LOW").when(ratio <= t.leverage_medium, "MEDIUM").when(ratio.isNotNull(), "HIGH")
+        liquid = F.when(runway < t.runway_critical, "CRITICAL").when(runway < t.runway_high, "HIGH").when(runway.isNotNull(), "LOW")
+        rows += [
+            F.struct(F.lit("net_debt_to_ebitda_risk").alias("signal_name"), F.when(bad, F.col("ebitda_amount")).otherwise(ratio).alias("signal_value"), level.alias("risk_level"), F.lit(name).alias("profile")),
+            F.struct(F.lit("cash_runway_risk").alias("signal_name"), runway.alias("signal_value"), liquid.alias("risk_level"), F.lit(name).alias("profile")),
+        ]
+    return p.select("company", "period", F.explode(F.array(*rows)).alias("s")).select("company", "period", "s.*").where("risk_level is not null")
 
 
 def margin_signals(derived: DataFrame, profile: str = "institutional") -> DataFrame:

@@ -91,46 +91,6 @@ def collisions(facts: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("low") == F.col("high"), "reconciled").when(F.col("leaders") == 1, "unit_evidence").otherwise("quarantined"))
 
 
-def tri_state(ok: Column, known: Column) -> Column:
-    """1 passed, 0 failed, -1 unknown."""
-    return F.when(known, ok.cast("int")).otherwise(F.lit(-1))
-
-
-def integrity(facts: DataFrame, rel_tol: float = 0.01) -> DataFrame:
-    """Four checks a key; unknown ones count as credit in the score, and the share of failures gives the anomaly level."""
-    p = pivot_last(facts, ["total_assets", "total_liabilities", "total_equity", "total_debt", "cash_closing", "cash_opening", "net_cash_movement", "revenue", "ebit"])
-    near = lambda a, b: F.abs(a - b) <= F.greatest(F.lit(1.0), F.abs(a) * rel_tol)
-    c = {k: F.col(k) for k in p.columns}
-    checks = {
-        "chk_balance": tri_state(near(c["total_assets"], c["total_liabilities"] + c["total_equity"]), c["total_assets"].isNotNull() & c["total_liabilities"].isNotNull() & c["total_equity"].isNotNull()),
-        "chk_cash": tri_state(near(c["cash_closing"], c["cash_opening"] + c["net_cash_movement"]), c["cash_closing"].isNotNull() & c["cash_opening"].isNotNull() & c["net_cash_movement"].isNotNull()),
-        "chk_debt": tri_state(c["total_debt"] <= c["total_assets"], c["total_debt"].isNotNull() & c["total_assets"].isNotNull()),
-        "chk_margin": tri_state(F.abs("ebit") <= F.abs("revenue"), c["ebit"].isNotNull() & c["revenue"].isNotNull()),
-    }
-    out = p.select(*KEY, *[v.alias(k) for k, v in checks.items()])
-    names = list(checks)
-    count = lambda v: sum(F.when(F.col(n) == v, 1).otherwise(0) for n in names)
-    out = out.withColumns({"passed": count(1), "failed": count(0), "unknown": count(-1)}).withColumn("integrity_score", F.col("passed") + F.col("unknown")).withColumn("checks_evaluated", F.col("passed") + F.col("failed"))
-    level = F.when(F.col("checks_evaluated") == 0, "UNKNOWN").when(F.col("failed") == 0, "LOW").when(F.col("failed") == 1, "MEDIUM").otherwise("HIGH")
-    return out.withColumn("anomaly_level", level)
-
-
-def route(facts: DataFrame) -> DataFrame:
-    """facts with the first reason that applies and where it sends the row: canonical, context or rejected."""
-    reason = (
-        F.when(~F.col("in_table"), "not_inside_table")
-        .when(F.col("label").contains("pro forma"), "pro_forma_context")
-        .when(F.col("label").contains("reconciliation"), "reconciliation_context")
-        .when(F.col("label").rlike(r"^(less|add):"), "component_adjustment_row")
-        .when(F.coalesce("period", F.lit("")) == "", "missing_statement_period_end")
-        .when(~F.col("scope").isin("consolidated", "group"), "non_canonical_scope")
-        .when(F.col("conf") < 2, "low_canonical_confidence")
-        .otherwise("canonical")
-    )
-    out = facts.withColumn("reason", reason)
-    return out.withColumn("route", F.when(F.col("reason") == "canonical", "canonical").when(F.col("reason") == "not_inside_table", "rejected").otherwise("context"))
-
-
 RATIO_INPUTS = ["revenue", "ebit", "ebitda", "npat", "net_debt", "total_debt", "total_equity", "free_cash_flow", "operating_cash_flow", "cash_closing"]
 
 
@@ -186,15 +146,6 @@ def presence(facts: DataFrame, metrics: list[str]) -> DataFrame:
     return has.withColumn("missing", gone).withColumn("completeness", F.round(0.45 * part(income) + 0.45 * part(balance) + 0.10 * part(cash), 4))
 
 
-def statement_class(facts: DataFrame) -> DataFrame:
-    """Which statements a key has, by its set of metrics."""
-    s = facts.groupBy(*KEY).agg(F.collect_set("metric").alias("have"))
-    any_of = lambda *m: F.arrays_overlap("have", F.array(*map(F.lit, m)))
-    income, balance, cash = any_of("revenue", "ebit", "npat"), any_of("total_assets", "total_debt", "total_equity"), any_of("operating_cash_flow", "free_cash_flow")
-    label = F.when(income & balance & cash, "complete").when(income & balance, "no_cash_flow").when(income & cash, "no_balance").when(balance | cash, "no_income").otherwise("income_only")
-    return s.select(*KEY, label.alias("statement_class"), F.size("have").cast("long").alias("n_metrics"))
-
-
 def capital_structure(facts: DataFrame) -> DataFrame:
     """Net debt and free cash flow as reported, else derived, with the source and leverage flag."""
     p = pivot_best(facts, ["net_debt", "total_debt", "cash_closing", "free_cash_flow", "operating_cash_flow", "capex", "ebitda"])

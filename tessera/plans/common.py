@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +92,23 @@ def pivot_sql(metrics: list[str], order: str, source: str = "facts") -> str:
 
 
 LAST, BEST = "ord desc", "conf desc, ord"
+
+
+def scenarios(spark: SparkSession, sf_dir: str, rows: list[dict], kinds: str, keep: tuple[str, ...] = (), source: str = "orders", key: str = "o_orderkey") -> DataFrame:
+    """Every row of a table with the fields (a DDL string, ``kinds``) of the scenario that its key's residue names, as ``case``."""
+    t = table(spark, sf_dir, source)
+    every = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{', '.join(k.replace(' ', ': ', 1) for k in kinds.split(', '))}>>")
+    return t.select(key, *keep, F.pmod(F.col(key), F.lit(len(rows))).cast("int").alias("case"), F.element_at(every, (F.pmod(F.col(key), F.lit(len(rows))) + 1).cast("int")).alias("s")).select(key, *keep, "case", "s.*")
+
+
+def expected_sql(rows: list, source: str = "orders", key: str = "o_orderkey", names: tuple[str, ...] = ("expected",)) -> str:
+    """SQL of (key, what each scenario is to give): literals, written by hand, dealt out by the same residue."""
+    def lit(x) -> str:
+        if x is None:
+            return "null"
+        if isinstance(x, bool):
+            return str(x).lower()
+        return f"'{x.replace(chr(39), chr(39) * 2)}'" if isinstance(x, str) else repr(x)
+
+    made = ", ".join("(" + ", ".join([str(n), *map(lit, r if isinstance(r, tuple) else (r,))]) + ")" for n, r in enumerate(rows))
+    return f"select {key}, {', '.join(names)} from {source} join (values {made}) as e(i, {', '.join(names)}) on {key} % {len(rows)} = i"

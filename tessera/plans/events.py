@@ -91,42 +91,30 @@ def price_alerts(spark, d):
     return prices.alerts(prices.latest_state(_closes(spark, d)), now)
 
 
-def _news(spark, d, which="event_id % 20 = 3"):
-    e = table(spark, d, "events").where(which)
+def _news(spark, d):
+    """Every event an announcement."""
+    e = table(spark, d, "events")
     return e.select(F.col("event_id").alias("news_id"), F.concat(F.lit("T"), (F.col("user_id") % 40).cast("string")).alias("ticker"), F.col("ts").alias("published_at"), F.col("event_type").alias("doc_class"))
 
 
-def asof_reaction(spark, d, *which):
-    r = prices.asof_reaction(_news(spark, d, *which), _closes(spark, d))
+def asof_reaction(spark, d):
+    r = prices.asof_reaction(_news(spark, d), _closes(spark, d))
     return r.select("news_id", "ticker", "published_at", "anchor_ts", "close", *[F.round(f"ret_{n}", 6).alias(f"ret_{n}") for n in (1, 5, 20)])
 
 
-def reaction_summary(spark, d, *which):
-    news = _news(spark, d, *which)
+def reaction_summary(spark, d):
+    news = _news(spark, d)
     r = prices.asof_reaction(news, _closes(spark, d)).join(news.select("news_id", "doc_class"), "news_id")
     s = prices.reaction_summary(r, ["doc_class"])
     return s.select("doc_class", "n", *[F.round(c, 4).alias(c) for c in s.columns if c not in ("doc_class", "n")])
 
 
-def top_movers(spark, d, *which):
-    r = prices.asof_reaction(_news(spark, d, *which), _closes(spark, d)).where("ret_1 is not null")
+def top_movers(spark, d):
+    r = prices.asof_reaction(_news(spark, d), _closes(spark, d)).where("ret_1 is not null")
     return r.orderBy(F.abs("ret_1").desc(), "news_id").limit(20).select("news_id", "ticker", F.round("ret_1", 6).alias("ret_1"))
 
 
-def asof_reaction_all(spark, d):
-    """The same with every event an announcement."""
-    return asof_reaction(spark, d, "true")
-
-
-def reaction_summary_all(spark, d):
-    return reaction_summary(spark, d, "true")
-
-
-def top_movers_all(spark, d):
-    return top_movers(spark, d, "true")
-
-
-MESSAGES = ["request timed out", "file not found", "json parse error", "out of memory", "permission denied", "unexpected"]
+MESSAGES = ["OCR failed on page 2", "request timed out", "JSONDecodeError: Expecting value", "connection refused", "EOF marker not found", "unexpected"]
 
 
 def failure_taxonomy(spark, d):
@@ -166,7 +154,7 @@ def conversation_counts(spark, d):
 
 
 _CLOSES = "ticks as (select 'T' || cast(user_id % 40 as varchar) as ticker, date_trunc('hour', ts) as ts, round(value, 2) + 10 as close, event_id as ord from events where value is not null), px as (select ticker, ts, arg_max(close, ord) as close from ticks group by 1, 2)"
-_NEWS = "news as (select event_id as news_id, 'T' || cast(user_id % 40 as varchar) as ticker, ts as published_at, event_type as doc_class from events where event_id % 20 = 3)"
+_NEWS = "news as (select event_id as news_id, 'T' || cast(user_id % 40 as varchar) as ticker, ts as published_at, event_type as doc_class from events)"
 _REACT = "lead_px as (select ticker, ts as anchor_ts, close, " + ", ".join(f"(lead(close, {n}) over w / nullif(close, 0) - 1.0) * 100.0 as ret_{n}" for n in (1, 5, 20)) + " from px window w as (partition by ticker order by ts)), re as (select n.news_id, n.ticker, n.published_at, n.doc_class, p.anchor_ts, p.close, p.ret_1, p.ret_5, p.ret_20 from news n asof join lead_px p on n.ticker = p.ticker and n.published_at >= p.anchor_ts)"
 _STATE = "st as (select *, " + ", ".join(f"(close / nullif(lag(close, {n}) over w, 0) - 1.0) * 100.0 as ret_{n}" for n in (1, 20)) + ", case when close > 0 and lag(close) over w > 0 then ln(close / lag(close) over w) end as lr, max(close) over (partition by ticker order by ts rows between 62 preceding and current row) as near_max, count(*) over w as nn from px window w as (partition by ticker order by ts)), vo as (select *, case when nn > 20 and count(lr) over v >= 2 then stddev_samp(lr) over v * sqrt(252.0) * 100.0 end as vol_pct, case when near_max > 0 then (close / near_max - 1.0) * 100.0 end as drawdown_pct from st window v as (partition by ticker order by ts rows between 19 preceding and current row)), la as (select * from vo qualify ts = max(ts) over (partition by ticker))"
 
@@ -183,17 +171,15 @@ SQL = {
     "price_trend": f"with {_CLOSES}, c as (select ticker, ts, round(close * 100) as close from px), a as (select *, case when count(close) over s >= 20 then avg(close) over s end as s20, case when count(close) over l >= 50 then avg(close) over l end as s50 from c window s as (partition by ticker order by ts rows between 19 preceding and current row), l as (partition by ticker order by ts rows between 49 preceding and current row)) select ticker, ts, close, round(s20, 4) as sma_short, round(s50, 4) as sma_long, case when s50 is not null then case when close > s20 and s20 > s50 then 'bull' when close < s20 and s20 < s50 then 'bear' else 'neutral' end when s20 is not null then case when close > s20 then 'bull' when close < s20 then 'bear' else 'neutral' end else 'neutral' end as trend from a",
     "price_volatility": f"with {_CLOSES}, l as (select *, case when close > 0 and lag(close) over w > 0 then ln(close / lag(close) over w) end as lr, count(*) over w as n from px window w as (partition by ticker order by ts)) select ticker, ts, round(case when n > 20 and count(lr) over v >= 2 then stddev_samp(lr) over v * sqrt(252.0) * 100.0 end, 4) as vol_pct from l window v as (partition by ticker order by ts rows between 19 preceding and current row)",
     "price_drawdown": f"with {_CLOSES}, m as (select *, max(close) over (partition by ticker order by ts rows between 62 preceding and current row) as a, max(close) over (partition by ticker order by ts rows unbounded preceding) as b from px) select ticker, ts, round(case when a > 0 then (close / a - 1.0) * 100.0 end, 6) as drawdown_pct, round(case when b > 0 then (close / b - 1.0) * 100.0 end, 6) as running_drawdown_pct from m",
-    "price_alerts": f"with {_CLOSES}, {_STATE}, f as (select ticker, ts, abs(ret_1) >= 5 as a, ret_20 <= -15 as b, vol_pct >= 60 as c, drawdown_pct <= -20 as d, epoch(timestamp '2024-02-01') - epoch(ts) > 345600 as e from la) select ticker, ts, concat_ws(',', case when a then 'large_move_1d' end, case when b then 'weak_20d' end, case when c then 'high_volatility' end, case when d then 'deep_drawdown' end, case when e then 'stale_price' end) as alerts, cast(case when a then 2 else 0 end + case when b then 2 else 0 end + case when c then 1 else 0 end + case when d then 2 else 0 end + case when e then 1 else 0 end as bigint) as score from f",
+    "price_alerts": f"with {_CLOSES}, {_STATE}, f as (select ticker, ts, case when abs(ret_1) >= 3 then ret_1 end as a, case when abs(ret_20) >= 10 then ret_20 end as b, case when vol_pct >= 45 then vol_pct end as c, case when drawdown_pct <= -12 then drawdown_pct end as d, case when epoch(timestamp '2024-02-01') - epoch(ts) > 345600 then (epoch(timestamp '2024-02-01') - epoch(ts)) / 3600.0 end as e from la), g as (select *, coalesce(greatest(0.0, case when a is not null then 2.0 end), 0.0) + coalesce(least(abs(a) / 100.0, 2.0), 0.0) as s1 from f), h as (select *, case when b is not null then greatest(s1, 2.0) + least(abs(b) / 100.0, 2.0) else s1 end as s2 from g), i as (select *, case when c is not null then greatest(s2, 2.0) + least(abs(c) / 100.0, 2.0) else s2 end as s3 from h), j as (select *, case when d is not null then greatest(s3, 2.0) + least(abs(d) / 100.0, 2.0) else s3 end as s4 from i) select ticker, ts, concat_ws(',', case when a is not null then 'ret_1d_move' end, case when b is not null then 'ret_20d_momentum' end, case when c is not null then 'high_volatility' end, case when d is not null then 'drawdown_63d' end, case when e is not null then 'stale_data' end) as alerts, round(case when e is not null then greatest(s4, 3.0) + least(abs(e) / 100.0, 2.0) else s4 end, 3) as score from j",
     "asof_reaction": f"with {_CLOSES}, {_NEWS}, {_REACT} select news_id, ticker, published_at, anchor_ts, close, round(ret_1, 6) as ret_1, round(ret_5, 6) as ret_5, round(ret_20, 6) as ret_20 from re",
     "reaction_summary": f"with {_CLOSES}, {_NEWS}, {_REACT} select doc_class, count(*) as n, " + ", ".join(f"round(avg(ret_{h}), 4) as avg_{h}, round(avg(abs(ret_{h})), 4) as avg_abs_{h}, round(avg(case when ret_{h} is not null then (ret_{h} > 0)::int end), 4) as positive_{h}" for h in (1, 5)) + " from re group by 1",
     "top_movers": f"with {_CLOSES}, {_NEWS}, {_REACT} select news_id, ticker, round(ret_1, 6) as ret_1 from re where ret_1 is not null order by abs(re.ret_1) desc, news_id limit 20",
-    "failure_taxonomy": "with e as (select event_id, case event_id * 7 % 6 when 0 then 'timeout' when 1 then 'missing_input' when 2 then 'parse_error' when 3 then 'resource' when 4 then 'access' else 'other' end as failure_class from events), r as (select *, row_number() over (partition by failure_class order by event_id) as rn from e) select failure_class, count(*) as n, string_agg(case when rn <= 3 then cast(event_id as varchar) end, ',' order by event_id) as samples from r group by 1",
+    "failure_taxonomy": "with e as (select event_id, case event_id * 7 % 6 when 0 then 'ocr_or_text_unavailable' when 1 then 'parser_timeout' when 2 then 'llm_invalid_json' when 3 then 'provider_network' when 4 then 'corrupted_pdf' else 'unknown' end as failure_class from events), r as (select *, row_number() over (partition by failure_class order by event_id) as rn from e) select failure_class, count(*) as n, string_agg(case when rn <= 3 then cast(event_id as varchar) end, ',' order by event_id) as samples from r group by 1",
     "daily_event_windows": "select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n_events, count(distinct user_id) as n_users from events group by 1, 2",
     "health_snapshot": "select count(*) as n_events, count(*) filter (where value is null) as n_null_value, count(distinct user_id) as n_users, min(ts) as first_ts, max(ts) as last_ts, count(distinct case when event_type = 'purchase' then user_id end) as n_buyers, case when count(*) = 0 then 'empty' when count(*) filter (where value is null) / count(*) > 0.10 then 'degraded' else 'ok' end as status from events",
     "props_json": "select event_type, prop, count(*) as n from (select event_type, unnest(json_keys(props)) as prop from events) group by 1, 2",
     "last_turns": "select conv_id, turn, role, length(text) as n_chars from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 3",
     "conversation_counts": "select conv_id, count(*) as n_turns, count(*) filter (where role = 'user') as n_user, max(turn) as last_turn, arg_max(role, turn) as last_role from conversations group by 1",
 }
-# the queries named _all cover what the filters of their namesakes leave out
-SQL |= {f"{k}_all": SQL[k].replace(" where event_id % 20 = 3", "") for k in ("asof_reaction", "reaction_summary", "top_movers")}
 QUERIES = {k: globals()[k] for k in SQL}

@@ -10,19 +10,6 @@ from .common import BEST, FACTS_SQL, LAST, facts, pivot_sql, wide_facts
 SPREAD = ["revenue", "ebit", "npat", "total_assets", "total_debt", "total_equity", "operating_cash_flow", "free_cash_flow"]
 
 
-def _labelled(spark, d):
-    f = facts(spark, d)
-    return f.withColumns({
-        "in_table": (F.col("k") + F.col("ord")) % 11 != 0,
-        "label": F.when((F.col("k") + F.col("ord")) % 13 == 0, F.lit("pro forma revenue")).when((F.col("k") + F.col("ord")) % 17 == 0, F.lit("reconciliation of cash")).when((F.col("nation") + F.col("ord")) % 19 == 0, F.lit("less: interest")).otherwise(F.col("metric")),
-        "scope": F.when(F.col("nation") % 6 == 0, "parent").otherwise("consolidated"),
-    })
-
-
-_LABELLED_SQL = """labelled as (select *, (k + ord) % 11 <> 0 as in_table,
-  case when (k + ord) % 13 = 0 then 'pro forma revenue' when (k + ord) % 17 = 0 then 'reconciliation of cash' when (nation + ord) % 19 = 0 then 'less: interest' else metric end as label,
-  case when nation % 6 = 0 then 'parent' else 'consolidated' end as scope from facts)"""
-
 _BALANCE = f"""bp as ({pivot_sql(["total_assets", "total_liabilities", "total_equity"], LAST)}),
 bd as (select *, total_assets - (total_liabilities + total_equity) as difference_signed, total_assets - (abs(total_liabilities) + total_equity) as difference_magnitude, greatest(1.0, abs(total_assets) * 0.01) as tolerance from bp where total_assets is not null and total_liabilities is not null and total_equity is not null),
 bf as (select *, case when abs(difference_signed) <= abs(difference_magnitude) then 'signed_liabilities' else 'liability_magnitude' end as equation_mode, case when abs(difference_signed) <= abs(difference_magnitude) then difference_signed else difference_magnitude end as difference from bd where least(abs(difference_signed), abs(difference_magnitude)) > tolerance)"""
@@ -82,14 +69,6 @@ def statement_quarantine(spark, d):
     return warehouse.quarantine(facts(spark, d)).groupBy("company", "metric").agg(F.count("*").alias("n_rows"), F.sum(F.col("quarantined").cast("int")).alias("n_quarantined"))
 
 
-def integrity_index(spark, d):
-    return warehouse.integrity(facts(spark, d))
-
-
-def route_rows(spark, d):
-    return warehouse.route(_labelled(spark, d)).groupBy("reason", "route").agg(F.count("*").alias("n_rows"), F.sum("value").alias("total"))
-
-
 def derived_ratios(spark, d):
     return _num(_ratios(spark, d), "value")
 
@@ -103,9 +82,7 @@ def revenue_cagr(spark, d):
 
 
 def leverage_risk(spark, d):
-    r = _ratios(spark, d)
-    both = [risk.leverage_and_liquidity(r, p).withColumn("profile", F.lit(p)) for p in risk.PROFILES]
-    return _num(both[0].union(both[1]), "signal_value")
+    return _num(risk.leverage_and_liquidity(_ratios(spark, d), *risk.PROFILES), "signal_value")
 
 
 def margin_streaks(spark, d):
@@ -113,19 +90,14 @@ def margin_streaks(spark, d):
 
 
 def strongest_signals(spark, d):
-    r = _ratios(spark, d)
-    s = risk.leverage_and_liquidity(r, "institutional").withColumn("ord", F.lit(0)).union(risk.leverage_and_liquidity(r, "aggressive").withColumn("ord", F.lit(1)))
-    return _num(risk.strongest(s), "signal_value")
+    s = risk.leverage_and_liquidity(_ratios(spark, d), *risk.PROFILES)
+    return _num(risk.strongest(s.withColumn("ord", F.when(F.col("profile") == "institutional", 0).otherwise(1)).drop("profile")), "signal_value")
 
 
 def capital_structure(spark, d):
     return warehouse.capital_structure(facts(spark, d))
 
 
-def statement_class(spark, d):
-    return warehouse.statement_class(facts(spark, d).where("metric <> 'revenue' or k % 4 <> 0"))
-
-
 def presence_matrix(spark, d):
     return warehouse.presence(facts(spark, d), SPREAD)
 
@@ -175,16 +147,6 @@ select company, period, metric, tied, leaders, case when low = high then 'reconc
     "balance_identity_gate": FACTS_SQL + ", " + _BALANCE + " select company, period, difference, tolerance, equation_mode from bf",
     "cash_reconciliation_gate": FACTS_SQL + ", " + _CASH + " select company, period, cash_opening, cash_closing, expected_closing, difference, tolerance from cf",
     "statement_quarantine": FACTS_SQL + ", " + _BALANCE + ", " + _CASH + """ select company, metric, count(*) as n_rows, cast(sum(case when (metric in ('total_assets', 'total_liabilities', 'total_equity') and (company, period) in (select company, period from bf)) or (metric in ('cash_opening', 'cash_closing') and (company, period) in (select company, period from cf)) then 1 else 0 end) as bigint) as n_quarantined from facts group by 1, 2""",
-    "integrity_index": FACTS_SQL + f""", p as ({pivot_sql(["total_assets", "total_liabilities", "total_equity", "total_debt", "cash_closing", "cash_opening", "net_cash_movement", "revenue", "ebit"], LAST)}),
-c as (select company, period,
-  case when total_assets is null or total_liabilities is null or total_equity is null then -1 when abs(total_assets - (total_liabilities + total_equity)) <= greatest(1.0, abs(total_assets) * 0.01) then 1 else 0 end as chk_balance,
-  case when cash_closing is null or cash_opening is null or net_cash_movement is null then -1 when abs(cash_closing - (cash_opening + net_cash_movement)) <= greatest(1.0, abs(cash_closing) * 0.01) then 1 else 0 end as chk_cash,
-  case when total_debt is null or total_assets is null then -1 when total_debt <= total_assets then 1 else 0 end as chk_debt,
-  case when ebit is null or revenue is null then -1 when abs(ebit) <= abs(revenue) then 1 else 0 end as chk_margin from p),
-n as (select *, (chk_balance = 1)::int + (chk_cash = 1)::int + (chk_debt = 1)::int + (chk_margin = 1)::int as passed, (chk_balance = 0)::int + (chk_cash = 0)::int + (chk_debt = 0)::int + (chk_margin = 0)::int as failed, (chk_balance = -1)::int + (chk_cash = -1)::int + (chk_debt = -1)::int + (chk_margin = -1)::int as unknown from c)
-select *, passed + unknown as integrity_score, passed + failed as checks_evaluated, case when passed + failed = 0 then 'UNKNOWN' when failed = 0 then 'LOW' when failed = 1 then 'MEDIUM' else 'HIGH' end as anomaly_level from n""",
-    "route_rows": FACTS_SQL + ", " + _LABELLED_SQL + """, r as (select value, case when not in_table then 'not_inside_table' when contains(label, 'pro forma') then 'pro_forma_context' when contains(label, 'reconciliation') then 'reconciliation_context' when label like 'less:%' or label like 'add:%' then 'component_adjustment_row' when coalesce(period, '') = '' then 'missing_statement_period_end' when scope not in ('consolidated', 'group') then 'non_canonical_scope' when conf < 2 then 'low_canonical_confidence' else 'canonical' end as reason from labelled)
-select reason, case when reason = 'canonical' then 'canonical' when reason = 'not_inside_table' then 'rejected' else 'context' end as route, count(*) as n_rows, sum(value) as total from r group by 1, 2""",
     "derived_ratios": FACTS_SQL + ", " + _RATIOS + " select company, period, metric, round(value, 6) as value from derived",
     "incremental_margin": FACTS_SQL + f", p as ({pivot_sql(['revenue', 'ebit', 'total_assets'], BEST)}), l as (select company, period, revenue - lag(revenue) over w as dr, ebit - lag(ebit) over w as de from p window w as (partition by company order by period)) select company, period, round(de / dr * 100.0, 6) as incremental_margin_pct from l where abs(dr) > 1e-9 and de is not null",
     "revenue_cagr": FACTS_SQL + f", p as ({pivot_sql(['revenue'], BEST)}), g as (select company, min(period) as first_period, max(period) as last_period, arg_min(revenue, period) as first_revenue, arg_max(revenue, period) as last_revenue from p where revenue > 0 group by 1), y as (select *, date_diff('day', cast(first_period as date), cast(last_period as date)) / 365.25 as y0 from g) select company, first_period, last_period, first_revenue, last_revenue, round(y0, 6) as years, round((pow(last_revenue / first_revenue, 1.0 / y0) - 1.0) * 100.0, 6) as revenue_cagr_pct from y where y0 >= 1",
@@ -200,8 +162,6 @@ qualify row_number() over (partition by company, period, signal_name order by ca
 select company, period, net_debt, case when net_debt is not null then 'structural_derivation' else 'missing' end as net_debt_source, fcf as free_cash_flow, case when fcf is not null then 'structural_derivation' else 'missing' end as free_cash_flow_source,
 case when net_debt is null or ebitda is null then 'insufficient_inputs' else 'supported' end as support,
 case when net_debt is null or ebitda is null then 'UNKNOWN' when ebitda <= 0 then 'CRITICAL' when net_debt / ebitda < 2.0 then 'LOW' when net_debt / ebitda <= 3.5 then 'MEDIUM' else 'HIGH' end as leverage_flag from q""",
-    "statement_class": FACTS_SQL + """, s as (select company, period, bool_or(metric in ('revenue', 'ebit', 'npat')) as i, bool_or(metric in ('total_assets', 'total_debt', 'total_equity')) as b, bool_or(metric in ('operating_cash_flow', 'free_cash_flow')) as c, count(distinct metric) as n_metrics from facts where metric <> 'revenue' or k % 4 <> 0 group by 1, 2)
-select company, period, case when i and b and c then 'complete' when i and b then 'no_cash_flow' when i and c then 'no_balance' when b or c then 'no_income' else 'income_only' end as statement_class, n_metrics from s""",
     "presence_matrix": FACTS_SQL + ", " + _PRESENCE + " select *, concat_ws(',', " + ", ".join(f"case when {m} = 0 then '{m}' end" for m in SPREAD) + ") as missing, round(0.45 * ((revenue + ebit + npat) / 3.0) + 0.45 * ((total_assets + total_debt + total_equity) / 3.0) + 0.10 * ((operating_cash_flow + free_cash_flow) / 2.0), 4) as completeness from pm",
     "metric_gap_blinks": FACTS_SQL + ", " + _PRESENCE + ", cells as (" + " union all ".join(f"select company, period, '{m}' as metric, {m} as present from pm" for m in SPREAD) + """), c as (select *, case when lag(present) over w = 1 and present = 0 and lead(present) over w = 1 then 1 else 0 end as blink, sum(present) over w as run from cells window w as (partition by company, metric order by period)),
 g as (select company, metric, run, sum(1 - present) as zeros, sum(blink) as blinks from c group by 1, 2, 3) select company, metric, cast(max(zeros) as bigint) as longest_gap, cast(sum(blinks) as bigint) as blinks from g group by 1, 2""",
