@@ -1,12 +1,20 @@
-"""Entity links: aliases of names in articles, with confidence by how they matched."""
+"""Entity links: names and symbols of companies in articles, with spans and confidence by how they matched."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Confidence of a link by method, in the precise and the broad lane.
 CONFIDENCE = {"explicit_symbol": (0.99, 0.85), "alias_strict": (0.91, 0.72), "ticker_token": (None, 0.45), "alias_ambiguous": (None, 0.33)}
+# Bounds of names that are looked for.
+MOST_WORDS, MOST_CHARS = 10, 80
+SYMBOLS = re.compile(r"\bASX\s*[:\-]\s*([A-Za-z0-9]+)\b|(?<![A-Za-z0-9])([A-Za-z0-9]+)\.AX(?![A-Za-z0-9])", re.I)
+WORD = re.compile("[A-Za-z0-9]+")
 
 
 def ambiguous_aliases(aliases: DataFrame) -> DataFrame:
@@ -14,23 +22,104 @@ def ambiguous_aliases(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("alias").agg(F.countDistinct("ticker").alias("n_tickers")).where("n_tickers > 1")
 
 
-def alias_links(articles: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(article_id, ticker, alias, method, n_hits, precise, broad) by equality of words.
+def named(aliases: DataFrame, tickers: DataFrame) -> DataFrame:
+    """(gram, ticker, method): what to look for. Names of one ticker alone count strictly from four characters on; shared ones are ambiguous."""
+    own = tickers.select("ticker", F.lower("ticker").alias("alias"))
+    plain = F.lower(F.trim(F.regexp_replace("alias", r"\s+", " ")))
+    every = aliases.select("ticker", plain.alias("alias")).unionByName(own).where((F.col("alias") != "") & (F.length("alias") <= MOST_CHARS) & (F.size(F.split("alias", " ")) <= MOST_WORDS)).distinct()
+    many = ambiguous_aliases(every).select("alias", F.lit(True).alias("_many"))
+    method = F.when(F.col("_many"), "alias_ambiguous").when(F.length("alias") >= 4, "alias_strict")
+    names = every.join(many, "alias", "left").select(F.col("alias").alias("gram"), "ticker", method.alias("method")).where("method is not null")
+    return names.unionByName(own.select(F.col("alias").alias("gram"), "ticker", F.lit("ticker_token").alias("method"))).distinct()
+
+
+def grams(articles: DataFrame, most_words: int, firsts: frozenset[str] | None) -> DataFrame:
+    """(article_id, kind, gram, span_start, span_end) of the runs of up to ``most_words`` words, in lower case, that begin with one of ``firsts``, and of symbols after an exchange or before its suffix."""
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for article, text in zip(part["article_id"], part["text"], strict=True):
+                if not text:
+                    continue
+                words = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+                for n, (word, start, end) in enumerate(words):
+                    if firsts is not None and word not in firsts:
+                        continue
+                    gram = word
+                    rows.append((article, "name", gram, start, end))
+                    for more, a, b in words[n + 1 : n + most_words]:
+                        if not text[end:a].isspace():
+                            break
+                        gram, end = f"{gram} {more}", b
+                        rows.append((article, "name", gram, start, end))
+                rows += [(article, "symbol", (m[1] or m[2]).lower(), m.start(), m.end()) for m in SYMBOLS.finditer(text)]
+            yield pd.DataFrame(rows, columns=["article_id", "kind", "gram", "span_start", "span_end"])
 
-    articles: article_id, text. Aliases are single words here: an article's words are
-    counted once and joined on equality, so there is no pattern join of articles and names.
+    return articles.select(F.col("article_id").cast("long"), "text").mapInPandas(scan, "article_id long, kind string, gram string, span_start long, span_end long")
+
+
+def links(articles: DataFrame, aliases: DataFrame, tickers: DataFrame, held: int = 200_000) -> DataFrame:
+    """(article_id, ticker, gram, method, span_start, span_end, precise, broad) of every mention.
+
+    articles: article_id, text; aliases: ticker, alias of one or several words; tickers:
+    ticker. Runs of words meet names by equality, so no pattern is tried on every article.
+    Where the names' first words are at most ``held``, tasks leave out all other runs
+    before they are shuffled; beyond that the join does.
     """
-    w = articles.select("article_id", F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")).alias("alias")).where("alias <> ''").groupBy("article_id", "alias").agg(F.count("*").alias("n_hits"))
-    many = ambiguous_aliases(aliases).select("alias", F.lit(True).alias("_many"))
-    named = aliases.join(many, "alias", "left")
-    method = F.when(F.coalesce("_many", F.lit(False)), "alias_ambiguous").when(F.length("alias") < 4, "ticker_token").otherwise("alias_strict")
-    m = named.withColumn("method", method).drop("_many")
+    names = named(aliases, tickers)
+    first = names.select(F.split("gram", " ")[0].alias("w")).distinct()
+    few = [r.w for r in first.limit(held + 1).collect()]
+    longest = names.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
+    found = grams(articles, longest, frozenset(few) if len(few) <= held else None)
+    symbols = tickers.select(F.lower("ticker").alias("gram"), "ticker", F.lit("explicit_symbol").alias("method"), F.lit("symbol").alias("kind")).distinct()
+    both = found.join(names.withColumn("kind", F.lit("name")).unionByName(symbols), ["kind", "gram"])
     lane = lambda n: F.create_map(*[x for k, v in CONFIDENCE.items() for x in (F.lit(k), F.lit(v[n]).cast("double"))])[F.col("method")]
-    return w.join(m, "alias").select("article_id", "ticker", "alias", "method", "n_hits", lane(0).alias("precise"), lane(1).alias("broad"))
+    return both.select("article_id", "ticker", "gram", "method", "span_start", "span_end", lane(0).alias("precise"), lane(1).alias("broad"))
+
+
+def tickers_of(found: DataFrame, articles: DataFrame, least: float) -> DataFrame:
+    """(article_id, tickers, n_tickers) of every article: its distinct tickers of enough confidence in the broad lane, in order."""
+    t = found.where(F.col("broad") >= least).groupBy("article_id").agg(F.array_sort(F.collect_set("ticker")).alias("t"))
+    have = F.coalesce("t", F.array().cast("array<string>"))
+    return articles.select("article_id").join(t, "article_id", "left").select("article_id", F.array_join(have, ",").alias("tickers"), F.size(have).cast("long").alias("n_tickers"))
+
+
+def bounded(text: Column, phrase: Column) -> Column:
+    """Whether a text holds a phrase between other than letters and digits, whatever blanks stand between its words."""
+    quoted = F.regexp_replace(F.regexp_replace(phrase, r"([^A-Za-z0-9\s])", r"\\\\$1"), r"\s+", r"\\\\s+")
+    return F.rlike(F.coalesce(text, F.lit("")), F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])")))
+
+
+def identity_strength(symbol: Column, title: Column, body: Column, names: Column, source_is_au: Column, headline_chars: int = 120, acronym_chars: int = 4) -> Column:
+    """How surely an article is about a company: strong by name, medium by an exchange's symbol or a name in the headline alone, ambiguous or weak by the bare symbol, none.
+
+    ``names``: array of its names and aliases. A name only in the title of a short text from
+    the home market is medium. The bare symbol is ambiguous if names are known or it's long.
+    """
+    t, b = F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))
+    s = F.upper(F.trim(F.coalesce(symbol, F.lit(""))))
+    known = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.trim(n) != "")
+    in_body, in_title = F.exists(known, lambda n: bounded(b, F.trim(n))), F.exists(known, lambda n: bounded(t, F.trim(n)))
+    short = F.length(F.trim(b)) < headline_chars
+    payload = F.concat(t, F.lit("\n"), F.substring(b, 1, 3500))
+    asx = F.rlike(payload, F.concat(F.lit(r"(?i)\bASX\s*[:\-]\s*"), s, F.lit(r"\b")))
+    ax = F.rlike(payload, F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), s, F.lit(r"\.AX(?![A-Za-z0-9])")))
+    bare = bounded(payload, s)
+    return (
+        F.when(s == "", "none")
+        .when(in_body, "strong")
+        .when(in_title, F.when(short & F.coalesce(source_is_au, F.lit(False)), "medium").otherwise("strong"))
+        .when(asx | ax, "medium")
+        .when(bare, F.when((F.size(known) > 0) | (F.length(s) >= acronym_chars), "ambiguous").otherwise("weak"))
+        .otherwise("none")
+    )
 
 
-def identity_strength(links: DataFrame) -> DataFrame:
-    """Per (article_id, ticker): strong, medium, ambiguous or weak by its best evidence."""
-    g = links.groupBy("article_id", "ticker").agg(F.max(F.coalesce("precise", F.lit(0.0))).alias("p"), F.sum("n_hits").alias("hits"), F.max(F.col("method") == "alias_ambiguous").alias("amb"), F.max(F.col("method") == "alias_strict").alias("strict"))
-    strength = F.when((F.col("p") >= 0.91) & (F.col("hits") >= 2), "strong").when(F.col("strict"), "medium").when(F.col("amb"), "ambiguous").otherwise("weak")
-    return g.select("article_id", "ticker", "hits", strength.alias("strength"))
+def match_rank(blob: Column, title: Column, body: Column, symbol: Column) -> Column:
+    """1 if the article's own tickers hold the symbol, 2 with the exchange's mark, 3 between other signs, else 0."""
+    payload = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.substring(F.coalesce(body, F.lit("")), 1, 2500))
+    s = F.upper(symbol)
+    held = F.contains(F.concat(F.lit("|"), F.btrim(F.coalesce(blob, F.lit("")), F.lit("|")), F.lit("|")), F.concat(F.lit("|"), s, F.lit("|")))
+    marked = F.rlike(payload, F.concat(F.lit(r"(?i)\bASX\s*[:\-]\s*"), s, F.lit(r"\b|(?<![A-Za-z0-9])"), s, F.lit(r"\.AX(?![A-Za-z0-9])")))
+    return F.when(s == "", 0).when(held, 1).when(marked, 2).when(bounded(payload, s), 3).otherwise(0)

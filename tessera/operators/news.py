@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -53,16 +59,18 @@ def sentiment_windows(articles: DataFrame, as_of, windows: tuple[int, ...] = (7,
 def staged_duplicates(articles: DataFrame) -> DataFrame:
     """articles (ord, url, title, body) with ``reason``: duplicate_url, else _exact, else _near, else null.
 
-    A row that reaches a stage registers its key there even if a later stage drops it,
-    so each stage is one window over the rows that the stages before let through.
+    A row that reaches a stage registers its key there even if a later stage drops it: at
+    each stage the least ord of every key among the rows left is found by a partial
+    aggregation and joined back. Rows without a url pass that stage by; texts don't travel,
+    only their hashes.
     """
-    a = articles.withColumns({"u": F.nullif(F.lower(F.coalesce("url", F.lit(""))), F.lit("")), "x": F.sha1(text.normalize_text(F.concat_ws("\n", "title", "body"))), "n": text.near_key(F.col("title"), F.col("body"))})
-    first = lambda key, alive: F.when(alive & F.col(key).isNotNull(), F.row_number().over(Window.partitionBy(key, alive).orderBy("ord")) > 1).otherwise(F.lit(False))
-    a = a.withColumn("dup_url", first("u", F.lit(True)))
-    a = a.withColumn("alive", ~F.col("dup_url")).withColumn("dup_exact", first("x", F.col("alive")))
-    a = a.withColumn("alive", ~F.col("dup_url") & ~F.col("dup_exact")).withColumn("dup_near", first("n", F.col("alive")))
-    reason = F.when(F.col("dup_url"), "duplicate_url").when(F.col("dup_exact"), "duplicate_exact").when(F.col("dup_near"), "duplicate_near")
-    return a.withColumn("reason", reason).drop("u", "x", "n", "alive", "dup_url", "dup_exact", "dup_near")
+    url = F.nullif(F.lower(F.coalesce("url", F.lit(""))), F.lit(""))
+    keys = articles.select("ord", url.alias("url"), F.sha1(text.normalize_text(F.concat_ws("\n", "title", "body"))).alias("exact"), text.near_key(F.col("title"), F.col("body")).alias("near"))
+    out = keys.withColumn("reason", F.lit(None).cast("string"))
+    for key in ("url", "exact", "near"):
+        first = out.where(F.col("reason").isNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("ord").alias("first"))
+        out = out.join(first, key, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("ord") > F.col("first"), f"duplicate_{key}"))).drop("first")
+    return articles.join(out.select("ord", "reason"), "ord")
 
 
 def survivors(items: DataFrame) -> DataFrame:
@@ -71,16 +79,24 @@ def survivors(items: DataFrame) -> DataFrame:
     return items.groupBy("identity").agg(F.max_by("item_id", order).alias("winner_id"), F.max_by("provider", order).alias("provider_best"), F.min("published").alias("published"), F.max("fetched").alias("fetched"), F.count("*").alias("n_versions"))
 
 
-def vote_hash(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, near_hash): a bit is set unless more tokens lack it than have it, over the first 64 bits of each token's SHA-256.
-
-    Tokens are counted per document first, so each distinct token is hashed once a document.
-    """
-    w = docs.select(key, F.explode_outer(text.words(F.col(body))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    h = w.withColumn("h", F.conv(F.substring(F.sha2("token", 256), 1, 16), 16, -10).cast("long"))
-    bit = lambda b: F.when(F.sum(F.col("n") * (2 * F.shiftrightunsigned("h", b).bitwiseAND(1) - 1)) >= 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-    bits = h.groupBy(key).agg(*[bit(b).alias(f"b{b}") for b in range(64)], F.max(F.col("token").isNotNull()).alias("some"))
-    total = F.lit(0).cast("long")
-    for b in range(64):
-        total = total.bitwiseOR(F.col(f"b{b}"))
-    return bits.select(key, F.when(F.col("some"), F.lower(F.lpad(F.hex(total), 16, "0"))).otherwise(F.lit("0" * 16)).alias("near_hash"))
+def vote_hash(x: Column) -> Column:
+    """Near hash of a text: a bit is set unless more tokens lack it than have it, over the first 64 bits of each token's SHA-256; zero without tokens. Votes are counted within the row, so nothing is shuffled."""
+    return F.pandas_udf(_vote_hashes, "string")(x)
+
+
+def _vote_hashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known: dict[str, bytes] = {}
+    for part in texts:
+        out = []
+        for t in part:
+            tokens = re.findall("[a-z0-9]+", (t or "").lower()) if (t or "").isascii() else re.sub("[^a-z0-9 ]", " ", (t or "").lower()).split()
+            digests = []
+            for w in tokens:
+                if (h := known.get(w)) is None:
+                    h = hashlib.sha256(w.encode()).digest()[:8]
+                    if len(known) < 500_000:
+                        known[w] = h
+                digests.append(h)
+            votes = np.unpackbits(np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            out.append(np.packbits(2 * votes >= len(tokens)).tobytes().hex() if tokens else "0" * 16)
+        yield pd.Series(out)
