@@ -32,7 +32,7 @@ def coded(x: Column) -> Column:
     return F.replace(F.replace(out, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def canonical(url: Column) -> Column:
+def canonical(url: Column, params: tuple[str, ...] = TRACKING_PARAMS, prefixes: tuple[str, ...] = TRACKING_PREFIXES) -> Column:
     """Scheme and host lowered, default port, tracking parameters, fragment and final slash gone, parameters sorted and coded anew."""
     raw = _spaced(url)
     scheme = F.coalesce(F.nullif(F.lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit("")), F.lit("https"))
@@ -44,8 +44,8 @@ def canonical(url: Column) -> Column:
 
     def wanted(p: Column) -> Column:
         key = F.lower(plain(F.split(p, "=", 2)[0]))
-        track = key.isin(*TRACKING_PARAMS)
-        for prefix in TRACKING_PREFIXES:
+        track = key.isin(*params)
+        for prefix in prefixes:
             track = track | key.startswith(prefix)
         return (p != "") & (key != "") & ~track
 

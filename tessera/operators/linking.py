@@ -87,7 +87,7 @@ def tickers_of(found: DataFrame, articles: DataFrame, least: float) -> DataFrame
 
 def bounded(text: Column, phrase: Column) -> Column:
     """Whether a text holds a phrase between other than letters and digits, whatever blanks stand between its words."""
-    quoted = F.regexp_replace(F.regexp_replace(phrase, r"([^A-Za-z0-9\s])", r"\\\\$1"), r"\s+", r"\\\\s+")
+    quoted = F.regexp_replace(F.regexp_replace(phrase, r"([^A-Za-z0-9\s])", r"\\$1"), r"\s+", r"\\s+")
     return F.rlike(F.coalesce(text, F.lit("")), F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])")))
 
 

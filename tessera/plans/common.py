@@ -97,7 +97,7 @@ LAST, BEST = "ord desc", "conf desc, ord"
 def scenarios(spark: SparkSession, sf_dir: str, rows: list[dict], kinds: str, keep: tuple[str, ...] = (), source: str = "orders", key: str = "o_orderkey") -> DataFrame:
     """Every row of a table with the fields (a DDL string, ``kinds``) of the scenario that its key's residue names, as ``case``."""
     t = table(spark, sf_dir, source)
-    every = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{', '.join(k.replace(' ', ': ', 1) for k in kinds.split(', '))}>>")
+    every = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{', '.join(k.replace(' ', ': ', 1) for k in kinds.split(', ')).replace(';', ',')}>>")
     return t.select(key, *keep, F.pmod(F.col(key), F.lit(len(rows))).cast("int").alias("case"), F.element_at(every, (F.pmod(F.col(key), F.lit(len(rows))) + 1).cast("int")).alias("s")).select(key, *keep, "case", "s.*")
 
 
