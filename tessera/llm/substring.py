@@ -4,12 +4,11 @@ Where a text is cut depends on what is near alone, never on what was counted bef
 cuts are sentence ends, line breaks and both ends of the text; soft ones are winnowed: of
 every ``window`` words in a row the one of the least hash is cut after, unless a hard cut
 is among them. A unit runs from each cut to the first by which it has ``least_words``
-words (between hard cuts) or ``long_words``, and to each cut that none so reaches from
-the last that is as far away; whole lines are units as well. So a line of ``least_words``
+words (between hard cuts) or ``long_words``; whole lines are units as well. So a line of ``least_words``
 words has the same unit wherever it stands, and every shared passage of 51 words has common
-units (of 4,500 simulated ones 24 words at least, 41 on average); its first and last few
+units (of 4,500 simulated ones 18 words at least, 39 on average); its first and last few
 words, before the first and after the last cut both texts share, are not removed. Units are normalised
-(lower case, words only) and their 128-bit digests grouped over the whole table; the
+(lower case, words only) and 96 bits of their digests grouped over the whole table; the
 occurrence of the least (doc_id, start) stays. Others are removed where, with the repeated
 units they overlap or follow on, they make up a run of ``least_run`` characters: a short
 sentence or line that happens to be found elsewhere is no copied passage and stays.
@@ -60,42 +59,36 @@ def units(text: str, least_words: int = 5, long_words: int = 8, window: int = 14
         return j - i >= far or (j - i >= least_words and i in hard and j in hard)
 
     found = {(i, j) for i, j in pairwise(breaks) if j - i >= least_words}
-    ends = set()
     for x, i in enumerate(at):
         for j in islice(at, x + 1, None):
             if reaches(i, j):
                 found.add((i, j))
-                ends.add(j)
                 break
-    for y, j in enumerate(at):
-        if j not in ends:
-            for x in range(y - 1, -1, -1):
-                if reaches(at[x], j):
-                    found.add((at[x], j))
-                    break
     return [(spans[i][0], spans[j - 1][1], xxhash.xxh3_128_digest(" ".join(bare[i:j]).encode("utf-8", "replace"))) for i, j in sorted(found)]
 
 
 def all_units(docs: DataFrame, least_words: int) -> DataFrame:
+    """(doc_id, start, end, h1, h2) of every unit; a row that repeats another of its batch adds none."""
+
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for at in range(0, len(part), 1000):
                 ids, starts, ends, digests = [], [], [], []
-                some = part.iloc[at : at + 1000]
+                some = part.iloc[at : at + 1000].drop_duplicates()
                 for doc, text in zip(some["doc_id"], some["text"], strict=True):
                     for a, b, d in units(text, least_words) if text else ():
                         ids.append(doc)
                         starts.append(a)
                         ends.append(b)
                         digests.append(d)
-                two = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-                yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "start": np.array(starts, dtype=np.int64), "end": np.array(ends, dtype=np.int64), "h1": two[:, 0], "h2": two[:, 1]})
+                halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "start": np.array(starts, dtype=np.int32), "end": np.array(ends, dtype=np.int32), "h1": halves[:, 0], "h2": (halves[:, 1] >> 32).astype(np.int32)})
 
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return known.mapInPandas(scan, "doc_id long, start long, end long, h1 long, h2 long")
+    return known.mapInPandas(scan, "doc_id long, start int, end int, h1 long, h2 int")
 
 
-def repeats(docs: DataFrame, least_words: int = 5, least_run: int = 100, gap: int = 4) -> DataFrame:
+def repeats(docs: DataFrame, least_words: int = 5, least_run: int = 90, gap: int = 4) -> DataFrame:
     """(doc_id, start, end, first_doc_id, first_start): every unit to remove, in code points of the source text.
 
     Units at most ``gap`` characters apart make up a run. Null and empty texts and rows
@@ -108,14 +101,15 @@ def repeats(docs: DataFrame, least_words: int = 5, least_run: int = 100, gap: in
     first = u.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = work.save(first, "first")  # so that the join below is of two plain tables, whose skewed keys Spark splits over tasks
     here = F.struct("doc_id", "start")
-    later = u.join(first, ["h1", "h2"]).where(here > F.col("f")).select("doc_id", "start", "end", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("first_start")).distinct()
+    later = u.join(first, ["h1", "h2"]).where(here > F.col("f")).select("doc_id", "start", "end", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("first_start"))
+    later = later.repartition("doc_id").distinct()  # what follows is by document as well
     in_text = Window.partitionBy("doc_id").orderBy("start", "end")
     reached = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     apart = later.withColumn("apart", F.coalesce(F.col("start") > reached + gap, F.lit(True)).cast("int"))
     run = Window.partitionBy("doc_id", "run")
     runs = apart.withColumn("run", F.sum("apart").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
     long = runs.withColumn("length", F.max("end").over(run) - F.min("start").over(run)).where(F.col("length") >= least_run)
-    return long.select("doc_id", "start", "end", "first_doc_id", "first_start")
+    return long.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "first_doc_id", F.col("first_start").cast("long").alias("first_start"))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -129,7 +123,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def deduplicated(docs: DataFrame, least_words: int = 5, least_run: int = 100) -> DataFrame:
+def deduplicated(docs: DataFrame, least_words: int = 5, least_run: int = 90) -> DataFrame:
     """docs with repeated units cut from ``text`` and ``removed`` array<struct<start, end>>, the cuts in source offsets (a column of that name is replaced); order of rows is free."""
     found = repeats(docs, least_words, least_run).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
 
