@@ -1 +1,5 @@
+"""Streams of news: duplicates that were seen before are dropped, days are counted, and a batch is made useful as it comes."""
 
+from .news import daily_counts, first_seen, index_batches, recent
+
+__all__ = ["daily_counts", "first_seen", "index_batches", "recent"]
