@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dates, numeric, text
@@ -268,29 +268,34 @@ def spans(x: Column, pattern: str) -> Column:
     return F.transform(F.filter(placed, lambda e: e["i"] % 2 == 1), lambda e: F.struct(e["at"].alias("at"), e["found"].alias("found")))
 
 
-def ranked_amounts(line: Column, metric: Column, pattern: str) -> Column:
-    """array<struct<score, at, raw, value>> of the amounts that may be a metric's figure, best first.
+def ranked_amounts(rows: DataFrame, line: str, metric: str, pattern: str, name: str = "amounts") -> DataFrame:
+    """rows with ``name``: array<struct<score, at, raw, value>> of the amounts of a line that may be a metric's figure, best first.
 
     ``pattern`` is the metric's. Left out are item codes at the
     start, digits of identifiers, ordinals, bare years, days near a month, numbers of notes,
     small bare numbers, percentages, and what follows a percentage where an earlier amount
     is substantial. Points are for currency, scale, size and decimals, less the distance
-    to the nearest mention of the metric.
+    to the nearest mention of the metric. The places of numbers are columns of their own on
+    the way, so each is found once a row.
     """
-    low = F.lower(line)
     part = lambda raw, n: F.regexp_extract(raw, "^" + AMOUNT, n)
-    first_percent = F.try_element_at(spans(line, PERCENT), F.lit(1))["at"]
-    anchors = F.transform(spans(line, pattern), lambda a: a["at"])
-    money = metric.isin(*MONEY)
+    text_of, kind = F.col(line), F.col(metric)
 
     def parsed(m: Column) -> Column:
         num = part(m["found"], 2)
         at = m["at"] + F.position(num, m["found"]) - 1
         end = at + F.length(num)
-        closed = F.when(num.startswith("(") & ~num.endswith(")") & (F.substring(line, end + 1, F.lit(1)) == ")"), F.concat(num, F.lit(")"))).otherwise(num)
-        return F.struct(m["at"].alias("start"), at.alias("at"), end.alias("end"), closed.alias("num"), part(m["found"], 1).alias("currency"), part(m["found"], 3).alias("suffix"), numeric.scaled_number(closed, part(m["found"], 3)).alias("value"), F.trim(m["found"]).alias("raw"))
+        closed = F.when(num.startswith("(") & ~num.endswith(")") & (F.substring(text_of, end + 1, F.lit(1)) == ")"), F.concat(num, F.lit(")"))).otherwise(num)
+        return F.struct(at.alias("at"), end.alias("end"), closed.alias("num"), part(m["found"], 1).alias("currency"), part(m["found"], 3).alias("suffix"), numeric.scaled_number(closed, part(m["found"], 3)).alias("value"), F.trim(m["found"]).alias("raw"))
+
+    found = rows.withColumns({"_spans": spans(text_of, AMOUNT), "_percent": F.try_element_at(spans(text_of, PERCENT), F.lit(1))["at"], "_anchors": F.transform(spans(text_of, pattern), lambda a: a["at"])})
+    found = found.withColumn("_numbers", F.filter(F.transform("_spans", parsed), lambda m: m["value"].isNotNull()))
+    return found.withColumn(name, _ranked(text_of, kind)).drop("_spans", "_percent", "_anchors", "_numbers")
 
-    numbers = F.transform(spans(line, AMOUNT), parsed)
+
+def _ranked(line: Column, metric: Column) -> Column:
+    low, known, first_percent, anchors = F.lower(line), F.col("_numbers"), F.col("_percent"), F.col("_anchors")
+    money = metric.isin(*MONEY)
 
     def bare(m: Column) -> Column:
         return (m["currency"] == "") & (m["suffix"] == "")
@@ -317,7 +322,6 @@ def ranked_amounts(line: Column, metric: Column, pattern: str) -> Column:
     def substantial(m: Column) -> Column:
         return ~label(m) & (~bare(m) | (F.abs(m["value"]) >= 100))
 
-    known = F.filter(numbers, lambda m: m["value"].isNotNull())
     early = money & F.exists(known, lambda m: (m["at"] < first_percent) & substantial(m))
     fit = F.filter(known, lambda m: ~label(m) & ~unfit(m) & ~F.coalesce((m["at"] > first_percent) & early, F.lit(False)))
 

@@ -76,7 +76,7 @@ def alerts(state: DataFrame, now, stale_hours: float = 96, thresholds: dict[str,
     ))
     a = F.when(F.col("close").isNull(), F.array(one("price_error", "critical", F.lit(None)))).otherwise(found)
     # severities are counted as the alerts come: a later, worse one lifts the sum to its weight if that is more
-    score = F.aggregate(a, F.lit(0.0), lambda total, x: F.greatest(total, x["weight"]) + F.coalesce(F.least(F.abs(x["value"]) / 100.0, F.lit(2.0)), F.lit(0.0)))
+    score = F.aggregate(a, F.lit(0.0), lambda total, x: F.greatest(total, x["weight"]) + F.when(x["value"].isNotNull(), F.least(F.abs(x["value"]) / 100.0, F.lit(2.0))).otherwise(0.0))
     return state.select("ticker", "ts", F.array_join(F.transform(a, lambda x: x["kind"]), ",").alias("alerts"), F.round(score, 3).alias("score"))
 
 

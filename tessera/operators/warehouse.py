@@ -30,7 +30,7 @@ def pivot_best(facts: DataFrame, metrics: list[str], key: tuple[str, ...] = KEY)
     return facts.where(F.col("metric").isin(*metrics)).groupBy(*key).agg(*[pick(m) for m in metrics])
 
 
-def balance_failures(facts: DataFrame, abs_tol: float = 1.0, rel_tol: float = 0.01) -> DataFrame:
+def balance_failures(facts: DataFrame, abs_tol: float = 2.0, rel_tol: float = 0.0001) -> DataFrame:
     """Keys whose assets differ from liabilities plus equity under either sign of the liabilities."""
     p = pivot_last(facts, ["total_assets", "total_liabilities", "total_equity"]).dropna()
     signed = F.col("total_assets") - (F.col("total_liabilities") + F.col("total_equity"))
@@ -44,7 +44,7 @@ def balance_failures(facts: DataFrame, abs_tol: float = 1.0, rel_tol: float = 0.
 CASH = ["cash_opening", "cash_closing", "operating_cash_flow", "investing_cash_flow", "financing_cash_flow", "net_cash_movement"]
 
 
-def cash_failures(facts: DataFrame, abs_tol: float = 1.0, rel_tol: float = 0.01) -> DataFrame:
+def cash_failures(facts: DataFrame, abs_tol: float = 2.0, rel_tol: float = 0.0001) -> DataFrame:
     """Keys whose closing cash isn't opening plus movement (reported, or the sum of the three flows)."""
     p = pivot_last(facts, CASH).where("cash_opening is not null and cash_closing is not null")
     flows = F.col("operating_cash_flow") + F.col("investing_cash_flow") + F.col("financing_cash_flow")
@@ -53,11 +53,12 @@ def cash_failures(facts: DataFrame, abs_tol: float = 1.0, rel_tol: float = 0.01)
     return p.where(F.abs("difference") > F.col("tolerance"))
 
 
-BALANCE_METRICS = ("total_assets", "total_liabilities", "total_equity")
-CASH_METRICS = ("cash_opening", "cash_closing")
+# Metrics whose rows go with a failed identity.
+BALANCE_METRICS = ("total_assets", "total_liabilities", "total_equity", "current_assets", "current_liabilities")
+CASH_METRICS = ("operating_cash_flow", "capital_expenditure", "capex", "free_cash_flow", "cash_opening", "cash_closing")
 
 
-def quarantine(facts: DataFrame, abs_tol: float = 1.0, rel_tol: float = 0.01) -> DataFrame:
+def quarantine(facts: DataFrame, abs_tol: float = 2.0, rel_tol: float = 0.0001) -> DataFrame:
     """facts with ``quarantined``: the family's rows of each key that fails its identity."""
     bad_balance = balance_failures(facts, abs_tol, rel_tol).select(*KEY, F.lit(True).alias("_b"))
     bad_cash = cash_failures(facts, abs_tol, rel_tol).select(*KEY, F.lit(True).alias("_c"))
@@ -150,11 +151,11 @@ def capital_structure(facts: DataFrame) -> DataFrame:
     """Net debt and free cash flow as reported, else derived, with the source and leverage flag."""
     p = pivot_best(facts, ["net_debt", "total_debt", "cash_closing", "free_cash_flow", "operating_cash_flow", "capex", "ebitda"])
     debt = F.coalesce("net_debt", F.col("total_debt") - F.col("cash_closing"))
-    flow = F.coalesce("free_cash_flow", F.col("operating_cash_flow") - F.abs("capex"))
-    source = lambda raw, made: F.when(F.col(raw).isNotNull(), "reported").when(made.isNotNull(), "structural_derivation").otherwise("missing")
+    flow = F.coalesce("free_cash_flow", F.col("operating_cash_flow") - F.col("capex"))
+    source = lambda raw, made: F.when(F.col(raw).isNotNull(), "canonical_existing").when(made.isNotNull(), "structural_derivation").otherwise("insufficient_inputs")
     ratio = F.when(F.abs("ebitda") > EPS, debt / F.col("ebitda"))
     flag = F.when(debt.isNull() | F.col("ebitda").isNull(), "UNKNOWN").when(F.col("ebitda") <= 0, "CRITICAL").when(ratio < 2.0, "LOW").when(ratio <= 3.5, "MEDIUM").otherwise("HIGH")
-    return p.select(*KEY, debt.alias("net_debt"), source("net_debt", debt).alias("net_debt_source"), flow.alias("free_cash_flow"), source("free_cash_flow", flow).alias("free_cash_flow_source"), F.when(debt.isNull() | F.col("ebitda").isNull(), "insufficient_inputs").otherwise("supported").alias("support"), flag.alias("leverage_flag"))
+    return p.select(*KEY, debt.alias("net_debt"), source("net_debt", debt).alias("net_debt_source"), flow.alias("free_cash_flow"), source("free_cash_flow", flow).alias("free_cash_flow_source"), F.when(debt.isNull() | F.col("ebitda").isNull(), "insufficient_inputs").otherwise("sufficient_inputs").alias("support"), flag.alias("leverage_flag"))
 
 
 def currency_cascade(rows: DataFrame, least_rows: int = 5, share: float = 0.9) -> DataFrame:

@@ -41,14 +41,15 @@ def wide_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = w.withColumns({"company": F.concat(F.lit("N"), F.lpad(F.col("nation").cast("string"), 2, "0")), "k": (F.col("nation") * 13 + month * 7 + F.year(F.to_date("period"))) % 20})
     w = w.withColumn("total_assets", (F.col("total_debt") + F.col("total_equity")) * shock)
     w = w.withColumn("net_cash_movement", F.col("operating_cash_flow") + F.col("investing_cash_flow") + F.col("financing_cash_flow"))
-    return w.withColumn("cash_closing", F.col("cash_opening") + F.col("net_cash_movement") * F.when(F.col("k") == 3, 2.0).otherwise(1.0))
+    w = w.withColumn("cash_closing", F.col("cash_opening") + F.col("net_cash_movement") * F.when(F.col("k") == 3, 2.0).otherwise(1.0))
+    return w.withColumns({"net_debt": F.col("total_debt") - F.col("cash_closing") + 8.0, "free_cash_flow": F.col("operating_cash_flow") - F.col("capex")})
 
 
 #: metric, and the values of k for which a company doesn't report it; k is a residue of company and month.
 LONG = [
     ("revenue", "k = 19"), ("ebit", "k in (5, 6)"), ("ebitda", "k in (7)"), ("npat", "k in (8)"), ("total_debt", "k in (9)"), ("total_equity", "k in (10)"), ("total_liabilities", "k in (9)"),
     ("total_assets", "k in (11)"), ("cash_opening", "k in (12)"), ("cash_closing", "k in (13)"), ("operating_cash_flow", "k in (14)"), ("investing_cash_flow", "k in (15)"),
-    ("financing_cash_flow", "k in (15)"), ("net_cash_movement", "k in (1, 2, 3, 4)"), ("capex", "k in (16)"),
+    ("financing_cash_flow", "k in (15)"), ("net_cash_movement", "k in (1, 2, 3, 4)"), ("capex", "k in (16)"), ("net_debt", "k not in (0, 9)"), ("free_cash_flow", "k not in (6, 16, 17)"),
 ]
 
 
@@ -78,7 +79,8 @@ w0 as (select c_nationkey as nation, cast(last_day(o_orderdate) as varchar) as p
 w1 as (select *, 'N' || lpad(cast(nation as varchar), 2, '0') as company, (nation * 13 + month(cast(period as date)) * 7 + year(cast(period as date))) % 20 as k,
     (total_debt + total_equity) * case when (nation + month(cast(period as date))) % 7 = 0 then 1.25 else 1.0 end as total_assets,
     operating_cash_flow + investing_cash_flow + financing_cash_flow as net_cash_movement from w0),
-wide as (select *, cash_opening + net_cash_movement * case when k = 3 then 2.0 else 1.0 end as cash_closing from w1),
+w2 as (select *, cash_opening + net_cash_movement * case when k = 3 then 2.0 else 1.0 end as cash_closing from w1),
+wide as (select *, total_debt - cash_closing + 8.0 as net_debt, operating_cash_flow - capex as free_cash_flow from w2),
 facts as (
   {_union})
 """

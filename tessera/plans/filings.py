@@ -74,8 +74,8 @@ AMOUNTS = [
 
 def amount_rank(spark, d):
     r = scenarios(spark, d, [{"line": t[0]} for t in AMOUNTS], "line string")
-    best = F.try_element_at(ff.ranked_amounts(c("line"), F.lit("revenue"), ff.METRICS["revenue"]), F.lit(1))
-    return r.select("o_orderkey", best.alias("b")).select("o_orderkey", "b.raw", "b.value")
+    r = ff.ranked_amounts(r.withColumn("metric", F.lit("revenue")), "line", "metric", ff.METRICS["revenue"])
+    return r.select("o_orderkey", F.try_element_at("amounts", F.lit(1)).alias("b")).select("o_orderkey", "b.raw", "b.value")
 
 
 CONFIDENCES = [
@@ -386,9 +386,9 @@ ck as (select file, period, coalesce((abs(a - (l + e)) <= greatest(1.0, 0.02 * g
 cn as (select *, (balance_sheet = 1)::int + (cash_bridge = 1)::int + (retained_earnings = 1)::int + (income = 1)::int as passed, (balance_sheet = 0)::int + (cash_bridge = 0)::int + (retained_earnings = 0)::int + (income = 0)::int as failed from ck),
 ix as (select *, passed + failed as evaluated, 4 - failed as integrity_score, case when passed + failed = 0 then 'UNKNOWN' when failed >= 2 then 'HIGH' when failed = 1 then 'MEDIUM' else 'LOW' end as anomaly_level from cn) """
     drop = "(k % 3 <> 0 or metric not in ('total_debt', 'total_equity', 'total_assets', 'total_liabilities', 'cash_closing')) and (k % 5 <> 0 or metric not in ('capex', 'operating_cash_flow')) and (k % 7 <> 0 or metric <> 'capex')"
-    classes = FACTS_SQL + f""", cm as (select company || '/' || period as period, bool_or(metric = 'revenue') as r, bool_or(metric = 'ebit') as eb, bool_or(metric = 'npat') as np, bool_or(metric = 'total_assets') as ta, bool_or(metric = 'total_liabilities') as tl, bool_or(metric = 'total_equity') as te, bool_or(metric = 'cash_closing') as ca, bool_or(metric = 'total_debt') as td, bool_or(metric = 'operating_cash_flow') as oc, bool_or(metric = 'capex') as cx, count(distinct metric) as n_metrics from facts where {drop} group by 1),
+    classes = FACTS_SQL + f""", cm as (select company || '/' || period as period, bool_or(metric = 'revenue') as r, bool_or(metric = 'ebit') as eb, bool_or(metric = 'npat') as np, bool_or(metric = 'total_assets') as ta, bool_or(metric = 'total_liabilities') as tl, bool_or(metric = 'total_equity') as te, bool_or(metric = 'cash_closing') as ca, bool_or(metric = 'total_debt') as td, bool_or(metric = 'operating_cash_flow') as oc, bool_or(metric = 'capex') as cx, bool_or(metric = 'free_cash_flow') as fc, count(distinct metric) as n_metrics from facts where {drop} group by 1),
 cb as (select *, ta::int + tl::int + te::int + ca::int + td::int as nb from cm),
-cf as (select *, r and eb and np as ic, nb = 5 as bc, oc and cx as cc, nb between 1 and 4 as bp, oc <> cx as cp from cb),
+cf as (select *, r and eb and np as ic, nb = 5 as bc, (oc and cx) or fc as cc, nb between 1 and 4 as bp, oc <> cx or (fc and not (oc and cx)) as cp from cb),
 cz as (select period, case when ic and bc and cc then 'FULL_STATEMENTS_PRESENT' when ic and nb = 0 and not cc and not cp then 'INCOME_ONLY' when bp and not cp then 'BALANCE_SHEET_PARTIAL' when cp and not bp then 'CASHFLOW_PARTIAL' else 'MULTI_SECTION_MISSING' end as classification,
   concat_ws(',', case when not ca then 'cash_and_equivalents' end, case when not ta then 'total_assets' end, case when not td then 'total_debt' end, case when not te then 'total_equity' end, case when not tl then 'total_liabilities' end) as missing_balance, not td and nb >= 2 as debt_missing, not ca and nb >= 2 as cash_missing, n_metrics, cp from cf) """
     lines = f"with {_LINES}, n as (select doc_id, line_no, case when length(line) % 3 = 0 then length(line) end as number from ln), "

@@ -431,7 +431,7 @@ SQL = {
     "latest_files": "with o as (select o_custkey % 500 as ticker, o_orderkey as name, o_orderdate as day, o_orderkey % 5 as rel, case when o_orderkey % 9 = 0 then 'annual' when o_orderkey % 9 = 1 then 'half' else 'other' end as form from orders), f as (select *, form <> 'other' and row_number() over (partition by ticker, form order by rel desc, day desc, name desc) = 1 as first from o), p as (select ticker, name, form, row_number() over (partition by ticker order by case when first and form = 'annual' then 0 when first then 1 else 2 end, rel desc, day desc, name desc) as place from f) select * from p where place <= 4",
     "best_evidence": FACTS_SQL + " select metric, period, company as file, ord as line_no, value from facts qualify row_number() over (partition by metric, period order by conf desc, k % 4 desc, (ord % 2 = 0)::int desc, (ord > 0)::int desc, company desc, ord desc) = 1",
     "ambiguous_candidates": "with o as (select o_custkey % 500 as file, year(o_orderdate) as period, round(o_totalprice, 6) as v, o_orderkey as id from orders), b as (select * from o where id % 2 = 0), cd as (select id, file, v, case when id % 3 = 0 then period + 1 else period end as period from o) select id, file, period from cd where not exists (select 1 from b where b.file = cd.file and b.v = cd.v) or exists (select 1 from b where b.file = cd.file and b.v = cd.v and b.period = cd.period)",
-    "missing_sections": FACTS_SQL + ", s as (select company as file, period, bool_or(metric = 'revenue') and bool_or(metric = 'ebit') and bool_or(metric = 'npat') as i, bool_or(metric = 'total_assets') and bool_or(metric = 'total_liabilities') and bool_or(metric = 'total_equity') and bool_or(metric = 'cash_closing') and bool_or(metric = 'total_debt') as b, bool_or(metric = 'operating_cash_flow') and bool_or(metric = 'capex') as c from facts group by 1, 2) select file, period, concat_ws(',', case when i and not b then 'balance_sheet' end, case when i and not c then 'cash_flow' end) as missing from s",
+    "missing_sections": FACTS_SQL + ", s as (select company as file, period, bool_or(metric = 'revenue') and bool_or(metric = 'ebit') and bool_or(metric = 'npat') as i, bool_or(metric = 'total_assets') and bool_or(metric = 'total_liabilities') and bool_or(metric = 'total_equity') and bool_or(metric = 'cash_closing') and bool_or(metric = 'total_debt') as b, (bool_or(metric = 'operating_cash_flow') and bool_or(metric = 'capex')) or bool_or(metric = 'free_cash_flow') as c from facts group by 1, 2) select file, period, concat_ws(',', case when i and not b then 'balance_sheet' end, case when i and not c then 'cash_flow' end) as missing from s",
     "candidate_contract": expected_sql([e for _, e in CANDIDATES]),
     "promotion_gate": expected_sql([x[-1] for x in PROMOTED]),
     "provenance_depths": expected_sql([x[-1] for x in DEPTHS]),

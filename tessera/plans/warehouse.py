@@ -11,13 +11,13 @@ SPREAD = ["revenue", "ebit", "npat", "total_assets", "total_debt", "total_equity
 
 
 _BALANCE = f"""bp as ({pivot_sql(["total_assets", "total_liabilities", "total_equity"], LAST)}),
-bd as (select *, total_assets - (total_liabilities + total_equity) as difference_signed, total_assets - (abs(total_liabilities) + total_equity) as difference_magnitude, greatest(1.0, abs(total_assets) * 0.01) as tolerance from bp where total_assets is not null and total_liabilities is not null and total_equity is not null),
+bd as (select *, total_assets - (total_liabilities + total_equity) as difference_signed, total_assets - (abs(total_liabilities) + total_equity) as difference_magnitude, greatest(2.0, abs(total_assets) * 0.0001) as tolerance from bp where total_assets is not null and total_liabilities is not null and total_equity is not null),
 bf as (select *, case when abs(difference_signed) <= abs(difference_magnitude) then 'signed_liabilities' else 'liability_magnitude' end as equation_mode, case when abs(difference_signed) <= abs(difference_magnitude) then difference_signed else difference_magnitude end as difference from bd where least(abs(difference_signed), abs(difference_magnitude)) > tolerance)"""
 _CASH = f"""cp as ({pivot_sql(warehouse.CASH, LAST)}),
 ce as (select *, cash_opening + coalesce(net_cash_movement, operating_cash_flow + investing_cash_flow + financing_cash_flow) as expected_closing from cp where cash_opening is not null and cash_closing is not null),
-cf as (select *, cash_closing - expected_closing as difference, greatest(1.0, abs(cash_closing) * 0.01) as tolerance from ce where expected_closing is not null and abs(cash_closing - expected_closing) > greatest(1.0, abs(cash_closing) * 0.01))"""
-_INPUTS = ["revenue", "ebit", "ebitda", "npat", "total_debt", "total_equity", "operating_cash_flow", "cash_closing"]
-_RATIOS = f"""ri as (select *, total_debt - cash_closing as net_debt, cast(null as double) as free_cash_flow from ({pivot_sql(_INPUTS, BEST)})),
+cf as (select *, cash_closing - expected_closing as difference, greatest(2.0, abs(cash_closing) * 0.0001) as tolerance from ce where expected_closing is not null and abs(cash_closing - expected_closing) > greatest(2.0, abs(cash_closing) * 0.0001))"""
+_INPUTS = ["revenue", "ebit", "ebitda", "npat", "net_debt", "total_debt", "total_equity", "free_cash_flow", "operating_cash_flow", "cash_closing"]
+_RATIOS = f"""ri as (select * replace (coalesce(net_debt, total_debt - cash_closing) as net_debt, coalesce(total_debt, net_debt + cash_closing) as total_debt) from ({pivot_sql(_INPUTS, BEST)})),
 rb as (select *, total_debt + total_equity - cash_closing as invested, case when free_cash_flow < 0 then free_cash_flow when operating_cash_flow < 0 then operating_cash_flow end as burn from ri),
 derived as (select * from (
   select company, period, 'ebitda_amount' as metric, ebitda as value from rb
@@ -25,6 +25,7 @@ derived as (select * from (
   union all select company, period, 'net_debt_to_ebitda', case when abs(ebitda) > 1e-9 then net_debt / ebitda end from rb
   union all select company, period, 'debt_to_equity', case when abs(total_equity) > 1e-9 then total_debt / total_equity end from rb
   union all select company, period, 'roic_pct', case when abs(invested) > 1e-9 then ebit * (1.0 - 0.30) / invested end * 100.0 from rb
+  union all select company, period, 'fcf_conversion_pct', case when abs(case when abs(npat) > 1e-9 then npat else ebit end) > 1e-9 then free_cash_flow / case when abs(npat) > 1e-9 then npat else ebit end end * 100.0 from rb
   union all select company, period, 'cash_runway_periods', case when abs(burn) > 1e-9 then cash_closing / abs(burn) end from rb) where value is not null)"""
 
 
@@ -53,7 +54,7 @@ def conflict_resolution(spark, d):
 
 
 def candidate_collision(spark, d):
-    f = facts(spark, d).withColumn("conf", F.lit(3)).withColumn("integrity", F.lit(4)).withColumn("unit_evidence", ((F.col("ord") + F.col("k")) % 3).cast("int"))
+    f = facts(spark, d).withColumn("conf", F.floor(F.col("conf") / 3)).withColumn("unit_evidence", ((F.col("ord") + F.col("k")) % 3).cast("int"))
     return warehouse.collisions(f).select("company", "period", "metric", "tied", "leaders", "outcome")
 
 
@@ -141,12 +142,12 @@ SQL = {
     "conflict_resolution": FACTS_SQL + """select company, period, metric, ord, case when n = 1 then 'single' when rn = 1 then 'winner' when value = wv then 'duplicate' else 'demoted' end as role, low <> high as conflict, winner_ord from (
   select *, row_number() over w as rn, first_value(ord) over w as winner_ord, first_value(value) over w as wv, min(value) over p as low, max(value) over p as high, count(*) over p as n from facts
   window w as (partition by company, period, metric order by conf desc, integrity desc, ord), p as (partition by company, period, metric))""",
-    "candidate_collision": FACTS_SQL + """, t as (select *, (ord + k) % 3 as ev from facts), g as (select company, period, metric, count(*) as tied, min(value) as low, max(value) as high, max(ev) as evidence from t group by 1, 2, 3),
+    "candidate_collision": FACTS_SQL + """, t as (select *, (ord + k) % 3 as ev from facts qualify rank() over (partition by company, period, metric order by conf // 3 desc, integrity desc) = 1), g as (select company, period, metric, count(*) as tied, min(value) as low, max(value) as high, max(ev) as evidence from t group by 1, 2, 3),
 l as (select t.company, t.period, t.metric, count(*) as leaders from t join g using (company, period, metric) where ev = evidence group by 1, 2, 3)
 select company, period, metric, tied, leaders, case when low = high then 'reconciled' when leaders = 1 then 'unit_evidence' else 'quarantined' end as outcome from g join l using (company, period, metric) where tied > 1""",
     "balance_identity_gate": FACTS_SQL + ", " + _BALANCE + " select company, period, difference, tolerance, equation_mode from bf",
     "cash_reconciliation_gate": FACTS_SQL + ", " + _CASH + " select company, period, cash_opening, cash_closing, expected_closing, difference, tolerance from cf",
-    "statement_quarantine": FACTS_SQL + ", " + _BALANCE + ", " + _CASH + """ select company, metric, count(*) as n_rows, cast(sum(case when (metric in ('total_assets', 'total_liabilities', 'total_equity') and (company, period) in (select company, period from bf)) or (metric in ('cash_opening', 'cash_closing') and (company, period) in (select company, period from cf)) then 1 else 0 end) as bigint) as n_quarantined from facts group by 1, 2""",
+    "statement_quarantine": FACTS_SQL + ", " + _BALANCE + ", " + _CASH + """ select company, metric, count(*) as n_rows, cast(sum(case when (metric in ('total_assets', 'total_liabilities', 'total_equity') and (company, period) in (select company, period from bf)) or (metric in ('operating_cash_flow', 'capex', 'free_cash_flow', 'cash_opening', 'cash_closing') and (company, period) in (select company, period from cf)) then 1 else 0 end) as bigint) as n_quarantined from facts group by 1, 2""",
     "derived_ratios": FACTS_SQL + ", " + _RATIOS + " select company, period, metric, round(value, 6) as value from derived",
     "incremental_margin": FACTS_SQL + f", p as ({pivot_sql(['revenue', 'ebit', 'total_assets'], BEST)}), l as (select company, period, revenue - lag(revenue) over w as dr, ebit - lag(ebit) over w as de from p window w as (partition by company order by period)) select company, period, round(de / dr * 100.0, 6) as incremental_margin_pct from l where abs(dr) > 1e-9 and de is not null",
     "revenue_cagr": FACTS_SQL + f", p as ({pivot_sql(['revenue'], BEST)}), g as (select company, min(period) as first_period, max(period) as last_period, arg_min(revenue, period) as first_revenue, arg_max(revenue, period) as last_revenue from p where revenue > 0 group by 1), y as (select *, date_diff('day', cast(first_period as date), cast(last_period as date)) / 365.25 as y0 from g) select company, first_period, last_period, first_revenue, last_revenue, round(y0, 6) as years, round((pow(last_revenue / first_revenue, 1.0 / y0) - 1.0) * 100.0, 6) as revenue_cagr_pct from y where y0 >= 1",
@@ -158,9 +159,9 @@ select company, period, 'ebit_margin_compression' as signal_name, round(drop_bps
 union all select company, period, 'ebit_margin_structural_compression', round(cast(streak as double), 6), 'HIGH' from s where not odd and streak >= 2""",
     "strongest_signals": FACTS_SQL + ", " + _RATIOS + ", " + _SIGNALS + """ select company, period, signal_name, round(signal_value, 6) as signal_value, risk_level, case profile when 'institutional' then 0 else 1 end as ord from sig where risk_level is not null
 qualify row_number() over (partition by company, period, signal_name order by case risk_level when 'LOW' then 0 when 'MEDIUM' then 1 when 'HIGH' then 2 else 3 end desc, case profile when 'institutional' then 0 else 1 end) = 1""",
-    "capital_structure": FACTS_SQL + f""", p as ({pivot_sql(["total_debt", "cash_closing", "operating_cash_flow", "capex", "ebitda"], BEST)}), q as (select company, period, total_debt - cash_closing as net_debt, operating_cash_flow - abs(capex) as fcf, ebitda from p)
-select company, period, net_debt, case when net_debt is not null then 'structural_derivation' else 'missing' end as net_debt_source, fcf as free_cash_flow, case when fcf is not null then 'structural_derivation' else 'missing' end as free_cash_flow_source,
-case when net_debt is null or ebitda is null then 'insufficient_inputs' else 'supported' end as support,
+    "capital_structure": FACTS_SQL + f""", p as ({pivot_sql(["net_debt", "total_debt", "cash_closing", "free_cash_flow", "operating_cash_flow", "capex", "ebitda"], BEST)}), q as (select company, period, net_debt as nd, free_cash_flow as fr, coalesce(net_debt, total_debt - cash_closing) as net_debt, coalesce(free_cash_flow, operating_cash_flow - capex) as fcf, ebitda from p)
+select company, period, net_debt, case when nd is not null then 'canonical_existing' when net_debt is not null then 'structural_derivation' else 'insufficient_inputs' end as net_debt_source, fcf as free_cash_flow, case when fr is not null then 'canonical_existing' when fcf is not null then 'structural_derivation' else 'insufficient_inputs' end as free_cash_flow_source,
+case when net_debt is null or ebitda is null then 'insufficient_inputs' else 'sufficient_inputs' end as support,
 case when net_debt is null or ebitda is null then 'UNKNOWN' when ebitda <= 0 then 'CRITICAL' when net_debt / ebitda < 2.0 then 'LOW' when net_debt / ebitda <= 3.5 then 'MEDIUM' else 'HIGH' end as leverage_flag from q""",
     "presence_matrix": FACTS_SQL + ", " + _PRESENCE + " select *, concat_ws(',', " + ", ".join(f"case when {m} = 0 then '{m}' end" for m in SPREAD) + ") as missing, round(0.45 * ((revenue + ebit + npat) / 3.0) + 0.45 * ((total_assets + total_debt + total_equity) / 3.0) + 0.10 * ((operating_cash_flow + free_cash_flow) / 2.0), 4) as completeness from pm",
     "metric_gap_blinks": FACTS_SQL + ", " + _PRESENCE + ", cells as (" + " union all ".join(f"select company, period, '{m}' as metric, {m} as present from pm" for m in SPREAD) + """), c as (select *, case when lag(present) over w = 1 and present = 0 and lead(present) over w = 1 then 1 else 0 end as blink, sum(present) over w as run from cells window w as (partition by company, metric order by period)),

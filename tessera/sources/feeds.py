@@ -24,12 +24,13 @@ def feed_items(feeds: DataFrame, xml: str = "xml", feed_url: str = "feed_url") -
     """
     items = F.regexp_extract_all(xml, F.lit(r"(?is)<(item|entry)(?:\s[^>]*)?>.*?</\1>"), 0)
     i = feeds.select(F.col(feed_url).alias("feed_url"), F.posexplode(items).alias("place", "item"))
+    item = F.col("item")
     href = F.regexp_extract("item", r"(?is)<link\s[^>]*href=[\"']([^\"']+)[\"']", 1)
-    guid = _tag(F.col("item"), "guid", "id")
-    link = F.coalesce(text.missing(href), text.missing(_tag(F.col("item"), "link")), F.when(guid.rlike("^https?://"), guid), F.lit(""))
-    raw = _tag(F.col("item"), "pubDate", "published", "updated", "date")
-    summary = text.strip_html(_tag(F.col("item"), "description", "summary", "content", "encoded"))
-    out = i.select("feed_url", "place", _tag(F.col("item"), "title").alias("title"), urls.canonical(link).alias("url"), raw.alias("published_raw"), dates.parse_utc(raw).alias("published_at"), summary.alias("summary"))
+    # tags are columns first, so that each is found once
+    i = i.select("feed_url", "place", _tag(item, "title").alias("title"), href.alias("href"), _tag(item, "link").alias("link"), _tag(item, "guid", "id").alias("guid"), _tag(item, "pubDate", "published", "updated", "date").alias("published_raw"), _tag(item, "description", "summary", "content", "encoded").alias("summary"))
+    link = F.coalesce(text.missing(F.col("href")), text.missing(F.col("link")), F.when(F.col("guid").rlike("^https?://"), F.col("guid")), F.lit(""))
+    i = i.select("feed_url", "place", "title", "published_raw", "summary", link.alias("link"))
+    out = i.select("feed_url", "place", "title", urls.canonical(F.col("link")).alias("url"), "published_raw", dates.parse_utc(F.col("published_raw")).alias("published_at"), text.strip_html(F.col("summary")).alias("summary"))
     return out.where("title <> '' or url <> ''")
 
 
