@@ -250,25 +250,65 @@ def slug(x: Column, most: int = 80) -> Column:
     return F.substring(F.btrim(s, F.lit("._-")), 1, most)
 
 
+# Phrases of cash flow statements' rows, and what they aren't.
+CAPEX_WORDS = ("purchases of property, plant and equipment", "purchase of property, plant and equipment", "purchases of property plant and equipment", "additions to property, plant and equipment", "additions to property plant and equipment", "capital expenditure", "capital expenditures")
+OPERATING_WORDS = ("cash generated from operations", "net operating cash flow", "net operating cash flows")
+NOT_CAPEX = ("impairment", "revaluation", "notes")
+OPERATING_HINTS, CAPEX_HINTS = ("net cash from operating activities", "cash generated from operations", "net operating cash flow"), ("capital expenditure", "capex")
+CASH_NAMES = ("cash_and_equivalents", "cash_and_equivalents_opening", "cash_and_equivalents_closing")
+
+
+def _any_of(x: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda out, w: out | F.contains(x, F.lit(w)), words, F.lit(False))
+
+
+def phrase_metric(row: Column, has_number: Column) -> Column:
+    """The cash flow metric that a row with a number names in words: capital expenditure or operating cash flow; totals of cash never; else empty."""
+    t = F.lower(F.trim(F.coalesce(row, F.lit(""))))
+    out = F.when(_any_of(t, CAPEX_WORDS) & ~_any_of(t, NOT_CAPEX), "capital_expenditure").when(_any_of(t, OPERATING_WORDS), "operating_cash_flow").otherwise("")
+    guarded = F.contains(t, F.lit("total cash and cash equivalents")) | (F.contains(t, F.lit("property, plant and equipment")) & F.contains(t, F.lit("impairment")))
+    return F.when(has_number & ~guarded, out).otherwise(F.lit(""))
+
+
+def coerced_metric(metric: Column, row: Column, has_number: Column, confidence: Column) -> Column:
+    """struct(metric, confidence) of a cash flow row: rows of cash or of no metric take that of their phrase or hints, which lifts confidence to three."""
+    m, t = F.lower(F.trim(F.coalesce(metric, F.lit("")))), F.lower(F.coalesce(row, F.lit("")))
+    phrase = phrase_metric(row, has_number)
+    hinted = F.when(_any_of(t, OPERATING_HINTS), "operating_cash_flow").when(_any_of(t, CAPEX_HINTS), "capex")
+    new = F.when((phrase != "") & m.isin("", "cashflow_unmapped", *CASH_NAMES), phrase).when(m.isin(*CASH_NAMES), hinted)
+    return F.struct(F.coalesce(new, m).alias("metric"), F.when(new.isNotNull(), F.greatest(F.coalesce(confidence, F.lit(0.0)), F.lit(3.0))).otherwise(confidence).alias("confidence"))
+
+
+def repaired_end(period_end: Column, *hints: Column) -> Column:
+    """The period's end, or that of the first label given where it's missing."""
+    label = text.first_non_empty(*hints)
+    return F.coalesce(text.missing(period_end), dates.period_end(label), F.lit(""))
+
+
 # Where numbers are labels and not figures; an amount inside a line, and a percentage.
 AMOUNT = r"(?i)(?<![A-Za-z0-9])((?:A|US|C|NZ)?[$€£])?\s*(\(?-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\)?)\s*(bn|mn|mm|k|m|b|t|million|billion|thousand|trillion)?\b"
 PERCENT = r"-?\d+(?:\.\d+)?\s*%"
 
 
-def spans(x: Column, pattern: str) -> Column:
+def metric_pattern(metric: Column) -> Column:
+    """The pattern of a metric, as a column."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for p in METRICS.items() for x in p]), metric)
+
+
+def spans(x: Column, pattern: str | Column) -> Column:
     """array<struct<at, found>> of the matches of a pattern in order; at counts from 0.
 
     The text before each match is what is left once the pieces up to it are taken away, so
     equal matches keep their own places.
     """
-    inner = pattern.removeprefix("(?i)")
-    marked = F.split(F.regexp_replace(x, f"(?i)({inner})", "\u0001$1\u0001"), "\u0001")
+    inner = F.lit(pattern.removeprefix("(?i)")) if isinstance(pattern, str) else pattern
+    marked = F.split(F.regexp_replace(x, F.concat(F.lit("(?i)("), inner, F.lit(")")), F.lit("\u0001$1\u0001")), "\u0001")
     sized = F.transform(marked, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
     placed = F.transform(sized, lambda e: F.struct(F.aggregate(F.slice(marked, F.lit(1), e["i"]), F.lit(0), lambda t, y: t + F.length(y)).alias("at"), e["p"].alias("found"), e["i"].alias("i")))
     return F.transform(F.filter(placed, lambda e: e["i"] % 2 == 1), lambda e: F.struct(e["at"].alias("at"), e["found"].alias("found")))
 
 
-def ranked_amounts(rows: DataFrame, line: str, metric: str, pattern: str, name: str = "amounts") -> DataFrame:
+def ranked_amounts(rows: DataFrame, line: str, metric: str, pattern: str | Column, name: str = "amounts") -> DataFrame:
     """rows with ``name``: array<struct<score, at, raw, value>> of the amounts of a line that may be a metric's figure, best first.
 
     ``pattern`` is the metric's. Left out are item codes at the

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numeric
 from ..functions import filings as ff
-from ..operators import filings
+from ..operators import extract, filings
 from .common import expected_sql, scenarios, table
 
 c = F.col
@@ -371,6 +371,108 @@ def slugs(spark, d):
     return r.select("o_orderkey", ff.slug(c("name")).alias("expected"))
 
 
+PHRASES = [
+    ("", "Purchases of property, plant and equipment (5)", True, 1.0, "capital_expenditure", 3.0), ("cash_and_equivalents", "Net cash from operating activities", True, 4.0, "operating_cash_flow", 4.0), ("cash_and_equivalents", "Capex", True, 1.0, "capex", 3.0),
+    ("cashflow_unmapped", "Net operating cash flow 7", True, None, "operating_cash_flow", 3.0), ("", "Impairment of property, plant and equipment", True, 1.0, "", 1.0), ("cash_and_equivalents_closing", "Total cash and cash equivalents", True, 2.0, "cash_and_equivalents_closing", 2.0),
+    ("", "Capital expenditure", False, 1.0, "", 1.0), ("revenue", "Capital expenditure", True, 1.0, "revenue", 1.0),
+]
+
+
+def cash_phrases(spark, d):
+    r = scenarios(spark, d, [dict(zip(("metric", "line", "number", "confidence"), v, strict=False)) for v in PHRASES], "metric string, line string, number boolean, confidence double")
+    return r.select("o_orderkey", ff.coerced_metric(c("metric"), c("line"), c("number"), c("confidence")).alias("x")).select("o_orderkey", "x.metric", "x.confidence")
+
+
+ENDS = [("2024-06-30", "FY23", "", "2024-06-30"), ("", "Year ended 30 June 2023", "FY22", "2023-06-30"), (" ", "", "Q1 24", "2024-03-31"), (None, None, None, "")]
+
+
+def repaired_ends(spark, d):
+    r = scenarios(spark, d, [dict(zip(("end", "a", "b"), v, strict=False)) for v in ENDS], "end string, a string, b string")
+    return r.select("o_orderkey", ff.repaired_end(c("end"), c("a"), c("b")).alias("expected"))
+
+
+SAID = [
+    ("Underlying EBIT for FY24 was $5.2 million", "ebit", "underlying", "amount", 5200000.0, "FY24"), ("Gross margin of 35% against 12% before", "gross_margin_pct", "", "percent", 35.0, ""), ("Net assets 1,250 1,100", "total_equity", "", "amount", 1250.0, ""),
+    ("We give no guidance", "guidance", "", "text", None, ""), ("Total assets at 30 June 2024 9,000", "total_assets", "", "amount", 9000.0, "30 June 2024"),
+]
+
+
+def parsed_lines(spark, d):
+    r = extract.parsed_lines(scenarios(spark, d, [{"line": t[0]} for t in SAID], "line string"))
+    return r.select("o_orderkey", "metric", "variant", "value_type", "value", "period")
+
+
+PAGE = [
+    ("Consolidated statement of financial position", None), ("As at 30 June 2024 $'000", None), ("Total assets 9,000 8,000", ("total_assets", 9000000.0, "2024-06-30", "consolidated_statement", 0.75)), ("Total liabilities 5,000 4,000", ("total_liabilities", 5000000.0, "2024-06-30", "consolidated_statement", 0.75)),
+    ("Note 7 Receivables", None), ("Total assets of the joint venture 1,000", ("total_assets", 1000.0, "", "note_disclosure", 0.0)),
+]
+
+
+def block_metrics(spark, d):
+    """Every twentieth order is a page of these lines."""
+    o = table(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", F.posexplode(F.array(*[F.lit(t) for t, _ in PAGE])).alias("line_no", "line"))
+    return extract.block_metrics(o, "o_orderkey").select("o_orderkey", "metric", "value", "period_end", "scope", "confidence")
+
+
+def rebalanced_periods(spark, d):
+    """Some columns of one row a file: dates repeat, and two are missing."""
+    l = table(spark, d, "orders").select(c("o_orderkey").alias("file"), F.explode(F.sequence(F.lit(1), (c("o_orderkey") % 5 + 1).cast("int"))).alias("ordinal"))
+    rows = l.select("file", F.lit(1).alias("page"), F.lit("capex").alias("metric"), F.lit("x").alias("label"), "ordinal", F.when(c("ordinal") == 3, "").otherwise("2024-06-30").alias("period_end"))
+    missing = l.select("file").distinct().select("file", F.explode(F.array(F.lit("2023-06-30"), F.lit("2023-12-31"))).alias("period_end"))
+    return extract.rebalanced_periods(rows, missing).select("file", "ordinal", "period_end")
+
+
+def selected_debt(spark, d):
+    from .common import facts
+
+    return extract.selected(facts(spark, d), ["net_debt", "total_debt", "total_liabilities"], 2)
+
+
+def supported_signals(spark, d):
+    from ..operators import risk, warehouse
+    from .common import facts
+    from .warehouse import SPREAD, _ratios
+
+    support = warehouse.presence(facts(spark, d), SPREAD).where("month(to_date(period)) <> 5").select("company", "period", c("completeness").alias("support"))
+    s = extract.supported(risk.leverage_and_liquidity(_ratios(spark, d), "institutional"), support)
+    return s.groupBy("signal_name", "risk_confidence").agg(F.count("*").alias("n"), F.round(F.sum("support"), 4).alias("support"))
+
+
+def soft_recall(spark, d):
+    """A customer's orders: the three dearest of the twelve newest."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    r = extract.soft_recall(o, "o_custkey", 3, 4, [F.desc("o_orderdate"), "o_orderkey"], [F.desc("o_totalprice"), "o_orderkey"])
+    return r.select("o_custkey", "o_orderkey", c("rank").cast("long").alias("rank"))
+
+
+SCORED = [("Widget Group Limited", 10, "WID", 53), ("WID", 10, "wid", -70), ("Results announcement", 5, "X", -7), ("Commonwealth Bank of Australia", 0, "CBA", 70)]
+
+
+def name_scores(spark, d):
+    r = scenarios(spark, d, [dict(zip(("name", "weight", "ticker"), v, strict=False)) for v in SCORED], "name string, weight int, ticker string")
+    return r.select("o_orderkey", extract.name_score(c("name"), c("weight"), c("ticker")).cast("int").alias("expected"))
+
+
+def best_names(spark, d):
+    """Candidates of a nation's name: the nation's itself, often, and its region's with a company's form, once."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), c("n_regionkey") == c("r_regionkey")).select(c("n_nationkey").cast("string").alias("ticker"), "n_name", "r_name")
+    names = n.select("ticker", F.explode(F.array(F.struct(c("n_name").alias("name"), F.lit(10).alias("weight")), F.struct(F.lower("n_name").alias("name"), F.lit(12).alias("weight")), F.struct(F.concat("r_name", F.lit(" Limited")).alias("name"), F.lit(3).alias("weight")))).alias("x")).select("ticker", "x.*")
+    return extract.best_names(names)
+
+
+HEADLINES = [
+    ("ASX: BHP lifts output", False, "BHP", True), ("CAT shares jump", True, "CAT", True), ("CAT shares jump", False, "CAT", False), ("Top CAT shares jump as cat show opens", True, "CAT", False), ("RIO dividend up", False, "RIO", True), ("XYZ shares up", True, None, None), ("(CAT.AX) on the move", True, "CAT", False),
+]
+
+
+def headline_tickers(spark, d):
+    h = scenarios(spark, d, [dict(zip(("title", "source_is_au"), v, strict=False)) for v in HEADLINES], "title string, source_is_au boolean").withColumnRenamed("o_orderkey", "id")
+    symbols = spark.range(1).select(F.explode(F.array(*map(F.lit, ("BHP", "CAT", "RIO", "KIT")))).alias("ticker"))
+    collisions = spark.range(1).select(F.lit("CAT").alias("ticker"), F.lit("cat show").alias("phrase"))
+    names = spark.range(1).select(F.explode(F.array(F.struct(F.lit("KIT").alias("ticker"), F.lit("Kit").alias("name")), F.struct(F.lit("RIO").alias("ticker"), F.lit("Rio Tinto Limited").alias("name")))).alias("n")).select("n.*")
+    return extract.headline_tickers(h, symbols, extract.ambiguous_tickers(names, collisions), collisions, ["shares", "dividend"])
+
+
 def _sql():
     from .common import FACTS_SQL
     from .texts import _LINES
@@ -428,8 +530,27 @@ cz as (select period, case when ic and bc and cc then 'FULL_STATEMENTS_PRESENT'
         "identity_guard": FACTS_SQL + ", b as (select company as file, period, metric, k, conf, case when metric = 'total_liabilities' and k % 7 = 0 then max(case when metric = 'total_assets' then value end) over (partition by company, period) else value end as value from facts where metric in ('total_assets', 'total_liabilities', 'total_equity')), g as (select file, period, arg_max(value, conf) filter (where metric = 'total_assets' and value is not null) as a, max(abs(value)) filter (where metric = 'total_equity') as e, count(value) filter (where metric = 'total_liabilities') as n from b group by 1, 2) select b.file, metric, coalesce(metric = 'total_liabilities' and k % 2 = 0 and n > 0 and e > greatest(1.0, abs(a) * 0.0005) and abs(value - a) <= greatest(1.0, abs(a) * 0.0005), false) as demoted, count(*) as n_rows from b left join g on b.file = g.file and b.period = g.period group by 1, 2, 3",
         "row_ids": "select l_orderkey, l_linenumber, sha1(concat_ws('|', l_orderkey, l_linenumber, l_returnflag, '')) as row_id from lineitem",
         "slugs": expected_sql(first(SLUGS, 1)),
+        "cash_phrases": expected_sql([v[4:] for v in PHRASES], names=("metric", "confidence")),
+        "repaired_ends": expected_sql(first(ENDS, 3)),
+        "parsed_lines": expected_sql([v[1:] for v in SAID], names=("metric", "variant", "value_type", "value", "period")),
+        "block_metrics": "select o_orderkey, metric, value, period_end, scope, confidence from orders, (values " + ", ".join(f"('{x[0]}', {x[1]!r}, '{x[2]}', '{x[3]}', {x[4]!r}::double)" for _, x in PAGE if x) + ") as e(metric, value, period_end, scope, confidence) where o_orderkey % 20 = 0",
+        "rebalanced_periods": "select o_orderkey as file, n as ordinal, case n when 2 then '2023-06-30' when 3 then '2023-12-31' else '2024-06-30' end as period_end from (select o_orderkey, unnest(range(1, o_orderkey % 5 + 2)) as n from orders)",
+        "selected_debt": FACTS_SQL + " select company, period, value, metric as chosen from facts where metric in ('net_debt', 'total_debt', 'total_liabilities') and value is not null and conf >= 2 qualify row_number() over (partition by company, period order by case metric when 'net_debt' then 1 when 'total_debt' then 2 else 3 end, conf desc, ord) = 1",
+        "soft_recall": "with w as (select * from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) <= 12) select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from w qualify rank <= 3",
+        "name_scores": expected_sql(first(SCORED, 3)),
+        "best_names": "with n as (select cast(n_nationkey as varchar) as ticker, n_name, r_name from nation join region on n_regionkey = r_regionkey), s as (select ticker, n_name as name, 22 + 2 * least(20, length(n_name) // 6) as score, 2 as n from n union all select ticker, r_name || ' Limited', 43 + least(20, length(r_name || ' Limited') // 6), 1 from n) select ticker, name, score, n as n_sources from s qualify row_number() over (partition by ticker order by score desc, name) = 1",
+        "headline_tickers": "select id, ticker, accepted from (" + expected_sql([v[2:] for v in HEADLINES], names=("ticker", "accepted")).replace("select o_orderkey,", "select o_orderkey as id,") + ") where ticker is not null",
     }
 
 
-SQL = _sql()
+def _signals_sql():
+    from .warehouse import _PRESENCE, _RATIOS, _SIGNALS
+
+    complete = "0.45 * ((revenue + ebit + npat) / 3.0) + 0.45 * ((total_assets + total_debt + total_equity) / 3.0) + 0.10 * ((operating_cash_flow + free_cash_flow) / 2.0)"
+    from .common import FACTS_SQL
+
+    return {"supported_signals": FACTS_SQL + ", " + _RATIOS + ", " + _SIGNALS + ", " + _PRESENCE + f", su as (select company, period, round({complete}, 4) as support from pm where month(cast(period as date)) <> 5), j as (select signal_name, round(coalesce(support, 0.0), 6) as support from sig left join su on sig.company = su.company and sig.period = su.period where profile = 'institutional' and risk_level is not null) select signal_name, case when support < 0.6 then 'LOW_SUPPORT' else 'ADEQUATE_SUPPORT' end as risk_confidence, count(*) as n, round(sum(support), 4) as support from j group by 1, 2"}
+
+
+SQL = _sql() | _signals_sql()
 QUERIES = {k: globals()[k] for k in SQL}
