@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -59,27 +60,32 @@ def block_metrics(lines: DataFrame, key: str) -> DataFrame:
     return r.withColumn("confidence", ff.field_confidence(c("value_type"), c("metric"), c("raw_value"), c("currency"), c("period_end"), c("scope"), F.lit(True)))
 
 
-def _rebalanced(rows: pd.DataFrame) -> pd.DataFrame:
-    used, out = set(), []
-    wanted = sorted(x for x in rows["missing"].iloc[0] if x)
-    for period in rows["period_end"]:
-        if not period or period in used:
-            free = [x for x in wanted if x not in used]
-            same = [x for x in free if period and x[5:] == period[5:]] if re.fullmatch(r"\d{4}-\d{2}-\d{2}", period or "") else []
-            period = max(same or free, default=period)
-        used.add(period)
-        out.append(period)
-    return rows.assign(period_end=out).drop(columns="missing")
-
-
 def rebalanced_periods(rows: DataFrame, missing: DataFrame) -> DataFrame:
     """rows (file, page, metric, label, ordinal, period_end): a period that a (page, metric, label) repeats or lacks becomes the latest of the file's missing ones that's still free, one of the same day of the year first.
 
-    missing: file, period_end. In order of ordinal within a row of a table, which is a small group.
+    missing: file, period_end. Rows come to a task in order, and only the periods of the
+    row of a table at hand are held.
     """
-    gone = missing.groupBy("file").agg(F.array_sort(F.collect_set("period_end")).alias("missing"))
-    r = rows.join(gone, "file", "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
-    return r.groupBy("file", "page", "metric", "label").applyInPandas(lambda part: _rebalanced(part.sort_values("ordinal")), rows.select("*").schema)
+    gone = missing.groupBy("file").agg(F.array_sort(F.collect_set("period_end")).alias("_missing"))
+    r = rows.join(gone, "file", "left").withColumn("_missing", F.coalesce("_missing", F.array().cast("array<string>")))
+    key, names = ["file", "page", "metric", "label"], rows.columns
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = None, set()
+        for part in parts:
+            out = []
+            for at, period, wanted in zip(zip(*[part[k] for k in key], strict=True), part["period_end"], part["_missing"], strict=True):
+                if at != now:
+                    now, used = at, set()
+                if not period or period in used:
+                    free = [x for x in wanted if x and x not in used]
+                    same = [x for x in free if re.fullmatch(r"\d{4}-\d{2}-\d{2}", period or "") and x[5:] == period[5:]]
+                    period = max(same or free, default=period)
+                used.add(period)
+                out.append(period)
+            yield part.assign(period_end=out)[names]
+
+    return r.repartition(*key).sortWithinPartitions(*key, "ordinal").mapInPandas(scan, rows.schema)
 
 
 def selected(facts: DataFrame, names: list[str], least_conf: int, key: tuple[str, ...] = ("company", "period")) -> DataFrame:

@@ -213,3 +213,34 @@ def horizon(prices: DataFrame) -> DataFrame:
         F.count("*").alias("points"), F.when((F.count("*") >= 2) & (first > 0), (last / first - 1.0) * 100.0).alias("total_return_pct"), F.min("down").alias("max_drawdown_pct"),
         F.when((F.count("*") >= 3) & (F.count("r") >= 2), F.stddev_samp("r") * F.sqrt(F.lit(252.0)) * 100.0).alias("volatility_pct"),
     )
+
+
+def provider_probe(items: DataFrame) -> DataFrame:
+    """(provider, n_items, n_days, n_tickers, rejected, reject_pct) of items (provider, day, ticker, reason)."""
+    g = items.groupBy("provider").agg(F.count("*").alias("n_items"), F.countDistinct("day").alias("n_days"), F.countDistinct("ticker").alias("n_tickers"), F.count("reason").alias("rejected"))
+    return g.withColumn("reject_pct", pct(c("rejected"), c("n_items")))
+
+
+def templates(rows: DataFrame, newest: int) -> DataFrame:
+    """(ticker, file, metric, period, scope, value): of each ticker's newest files the first row of each (metric, period, scope)."""
+    f = rows.select("ticker", "file", "day").distinct()
+    f = f.withColumn("_n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("day"), F.desc("file")))).where(c("_n") <= newest).select("ticker", "file")
+    first = rows.groupBy("ticker", "file", "metric", "period", "scope").agg(F.min_by("value", "line_no").alias("value"))
+    return first.join(f, ["ticker", "file"])
+
+
+def label_summary(labels: DataFrame) -> DataFrame:
+    """(verdict, metric, n, assisted) of review labels, and the totals of both."""
+    return labels.rollup("verdict", "metric").agg(F.count("*").alias("n"), F.count_if("assisted").alias("assisted"))
+
+
+def eval_baseline(cases: DataFrame, k: int) -> DataFrame:
+    """(case_id, rank, hit, reciprocal) of evaluated cases, as later runs are compared with."""
+    hit = F.coalesce(c("rank") <= k, F.lit(False))
+    return cases.select("case_id", "rank", hit.alias("hit"), F.when(hit, 1.0 / c("rank")).otherwise(0.0).alias("reciprocal"))
+
+
+def health_gate(sections: DataFrame, allowed: tuple[str, ...] = ("healthy",)) -> DataFrame:
+    """One row: the worst status of the sections and whether it is one of the allowed."""
+    rank = F.when(c("status") == "healthy", 0).when(c("status") == "degraded", 1).otherwise(2)
+    return sections.agg(F.max_by("status", F.struct(rank, "status")).alias("status"), F.count("*").alias("n_sections")).withColumn("passed", c("status").isin(*allowed))

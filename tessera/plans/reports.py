@@ -216,6 +216,33 @@ def historical_prices(spark, d):
     return p.groupBy("ticker").agg(at.alias("close"), F.count("*").alias("points"), F.min("close").alias("low"), F.max("close").alias("high"))
 
 
+def provider_probe(spark, d):
+    e = table(spark, d, "events")
+    return reports.provider_probe(e.select(c("event_type").alias("provider"), c("ts").cast("date").alias("day"), (c("user_id") % 997).alias("ticker"), F.when(c("value").isNull(), "missing_value").alias("reason")))
+
+
+def gold_templates(spark, d):
+    l = table(spark, d, "lineitem").join(table(spark, d, "orders"), c("l_orderkey") == c("o_orderkey"))
+    rows = l.select((c("o_custkey") % 400).alias("ticker"), c("o_orderkey").alias("file"), c("o_orderdate").alias("day"), c("l_returnflag").alias("metric"), F.year("l_shipdate").alias("period"), c("l_linestatus").alias("scope"), (c("l_partkey") * 100 + c("l_linenumber")).alias("line_no"), c("l_quantity").alias("value"))
+    return reports.templates(rows, 3).groupBy("ticker", "file").agg(F.count("*").alias("n_fields"))
+
+
+def label_summary(spark, d):
+    o = table(spark, d, "orders")
+    return reports.label_summary(o.select(F.when(c("o_orderstatus") == "F", "correct").otherwise("incorrect").alias("verdict"), c("o_orderpriority").alias("metric"), (c("o_orderkey") % 6 == 0).alias("assisted")))
+
+
+def eval_baseline(spark, d):
+    o = table(spark, d, "orders").select(c("o_orderkey").alias("case_id"), F.when(c("o_custkey") % 9 != 0, c("o_custkey") % 8 + 1).alias("rank"))
+    return reports.eval_baseline(o, 5).select("case_id", "rank", "hit", F.round("reciprocal", 6).alias("reciprocal"))
+
+
+def health_gate(spark, d):
+    """A section a language: degraded where a tenth of its texts are short."""
+    t = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("text") < 200).alias("short"))
+    return reports.health_gate(t.select(F.when(c("short") > 0.1 * c("n"), "degraded").otherwise("healthy").alias("status")))
+
+
 # contracts
 
 _GOOD = {"doc_id": "d", "pdf_path": "p", "page": 1, "pass_name": "ocr", "statement_type": "income", "period_end": "2024-06-30", "scope": "s", "metric": "revenue", "metric_candidate": "", "source_type": "ocr_page", "table_id": ""}
@@ -473,5 +500,12 @@ def _derived_sql():
     }
 
 
+SQL |= {
+    "provider_probe": "select event_type as provider, count(*) as n_items, count(distinct cast(ts as date)) as n_days, count(distinct user_id % 997) as n_tickers, count(*) - count(value) as rejected, round((count(*) - count(value)) * 100.0 / count(*), 4) as reject_pct from events group by 1",
+    "gold_templates": "with r as (select o_custkey % 400 as ticker, o_orderkey as file, o_orderdate as day, l_returnflag as metric, year(l_shipdate) as period, l_linestatus as scope from lineitem join orders on l_orderkey = o_orderkey), f as (select ticker, file from (select distinct ticker, file, day from r) qualify row_number() over (partition by ticker order by day desc, file desc) <= 3) select ticker, file, count(*) as n_fields from (select distinct ticker, file, metric, period, scope from r) join f using (ticker, file) group by 1, 2",
+    "label_summary": "select case when o_orderstatus = 'F' then 'correct' else 'incorrect' end as verdict, o_orderpriority as metric, count(*) as n, count(*) filter (where o_orderkey % 6 = 0) as assisted from orders group by rollup (1, 2)",
+    "eval_baseline": "with o as (select o_orderkey as case_id, case when o_custkey % 9 <> 0 then o_custkey % 8 + 1 end as rank from orders) select case_id, rank, coalesce(rank <= 5, false) as hit, round(case when rank <= 5 then 1.0 / rank else 0.0 end, 6) as reciprocal from o",
+    "health_gate": "with s as (select case when count(*) filter (where length(text) < 200) > 0.1 * count(*) then 'degraded' else 'healthy' end as status from documents group by lang) select case when bool_or(status = 'degraded') then 'degraded' else 'healthy' end as status, count(*) as n_sections, not bool_or(status = 'degraded') as passed from s",
+}
 SQL |= _derived_sql()
 QUERIES = {k: globals()[k] for k in SQL}
