@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import articles as fa
 from ..functions import dates, numeric
 from ..functions import filings as ff
-from ..operators import contracts, layout, prices, reports, stores
+from ..operators import contracts, layout, reports, stores
 from .common import FACTS_SQL, expected_sql, facts, scenarios, table
 
 c = F.col
