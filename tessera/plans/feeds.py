@@ -30,7 +30,7 @@ def chart_prices(spark, d):
     quote = F.struct(part(lambda v: v["value"]).alias("open"), part(lambda v: v["value"]).alias("close"))
     chart = F.struct(F.struct(F.array(F.struct(F.struct(c("user_id").cast("string").alias("symbol"), F.lit("AUD").alias("currency")).alias("meta"), part(lambda v: F.unix_timestamp(v["ts"])).alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))).alias("result")).alias("chart"))
     rows = feeds.chart_prices(e.select(F.to_json(chart).alias("body")))
-    return rows.groupBy("symbol", "currency").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("close").alias("high"), F.count("volume").alias("n_volume"))
+    return rows.groupBy("symbol", "currency").agg(F.count("*").alias("n"), F.min("ts").cast("timestamp_ntz").alias("first_ts"), F.max("ts").cast("timestamp_ntz").alias("last_ts"), F.max("close").alias("high"), F.count("volume").alias("n_volume"))
 
 
 def announcement_rows(spark, d):
