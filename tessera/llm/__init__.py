@@ -1,5 +1,5 @@
 """Operators for preparing language-model training data.
 
-Nothing else in the library imports this subpackage; ``queries`` and ``oracle``
-hold what the entry module registers.
+Nothing else in the library imports this subpackage; ``queries`` holds what the entry
+module registers, queries and SQL.
 """

@@ -128,6 +128,7 @@ def predict(docs: DataFrame, model: Centroids, name: str = "found") -> DataFrame
 
 
 def remainder(docs: DataFrame, by: int):
+    """crc32 of doc_id as text, modulo ``by``; null for a null doc_id."""
     return F.crc32(docs["doc_id"].cast("string").cast("binary")) % by
 
 

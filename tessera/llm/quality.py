@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
 
 
 def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Learns from rows whose crc32(doc_id) mod 5 isn't 0 and scores every row."""
+    """Learns from rows whose crc32(doc_id) mod 5 isn't 0 and scores every row, repeated ones alike; of an empty table none. Without labels all scores are a half or the labels' share."""
     model = fit(docs, labels.where(F.coalesce(remainder(labels, 5) != 0, F.lit(False))))
     scored = score(docs.select("doc_id", "text"), model)
     held = F.coalesce(remainder(scored, 5) == 0, F.lit(False)).alias("held_out")

@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage, each over its whole table."""
+"""The registered queries of this subpackage, each over its whole table.
+
+What each gives for null and empty texts, repeated rows and ids, ties and empty tables is
+said where its operator is defined; columns besides those named there are passed over.
+"""
 
 from __future__ import annotations
 
