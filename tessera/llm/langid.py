@@ -73,7 +73,9 @@ def fit(labelled: DataFrame, per_language: int = 600, most_languages: int = 1000
     text. An empty table gives no centroids.
     """
     rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("dice"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    # texts are counted once however often they are repeated, so that a common one doesn't crowd its language out
+    counted = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("dice").alias("n"))
+    sizes = {r.lang: r.n for r in counted.orderBy(F.desc("rows"), "lang").limit(most_languages).collect()}
 
     @F.pandas_udf("binary")
     def vectors(texts: pd.Series) -> pd.Series:
