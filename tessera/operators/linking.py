@@ -33,8 +33,13 @@ def named(aliases: DataFrame, tickers: DataFrame) -> DataFrame:
     return names.unionByName(own.select(F.col("alias").alias("gram"), "ticker", F.lit("ticker_token").alias("method"))).distinct()
 
 
-def grams(articles: DataFrame, most_words: int, firsts: frozenset[str] | None) -> DataFrame:
-    """(article_id, kind, gram, span_start, span_end) of the runs of up to ``most_words`` words, in lower case, that begin with one of ``firsts``, and of symbols after an exchange or before its suffix."""
+def mentions(articles: DataFrame, most_words: int, known: dict[str, str] | None) -> DataFrame:
+    """(article_id, key, span_start, span_end) of runs of up to ``most_words`` words in lower case, and of symbols after an exchange or before its suffix.
+
+    With ``known`` only runs in it are given, and their number is the key; else all, after
+    n:. Symbols stand after s:.
+    """
+    longer = None if known is None else frozenset(g.split(" ")[0] for g in known if " " in g)
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -42,40 +47,54 @@ def grams(articles: DataFrame, most_words: int, firsts: frozenset[str] | None) -
             for article, text in zip(part["article_id"], part["text"], strict=True):
                 if not text:
                     continue
-                words = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+                words = [(m[0], m.start(), m.end()) for m in WORD.finditer(text.lower() if text.isascii() else "".join(x.lower() if x.isascii() else x for x in text))]
                 for n, (word, start, end) in enumerate(words):
-                    if firsts is not None and word not in firsts:
-                        continue
+                    if known is not None:
+                        if word in known:
+                            rows.append((article, known[word], start, end))
+                        if word not in longer:
+                            continue
+                    else:
+                        rows.append((article, f"n:{word}", start, end))
                     gram = word
-                    rows.append((article, "name", gram, start, end))
                     for more, a, b in words[n + 1 : n + most_words]:
                         if not text[end:a].isspace():
                             break
                         gram, end = f"{gram} {more}", b
-                        rows.append((article, "name", gram, start, end))
-                rows += [(article, "symbol", (m[1] or m[2]).lower(), m.start(), m.end()) for m in SYMBOLS.finditer(text)]
-            yield pd.DataFrame(rows, columns=["article_id", "kind", "gram", "span_start", "span_end"])
+                        if known is None:
+                            rows.append((article, f"n:{gram}", start, end))
+                        elif gram in known:
+                            rows.append((article, known[gram], start, end))
+                rows += [(article, f"s:{(m[1] or m[2]).lower()}", m.start(), m.end()) for m in SYMBOLS.finditer(text)]
+            yield pd.DataFrame(rows, columns=["article_id", "key", "span_start", "span_end"])
 
-    return articles.select(F.col("article_id").cast("long"), "text").mapInPandas(scan, "article_id long, kind string, gram string, span_start long, span_end long")
+    return articles.select(F.col("article_id").cast("long"), "text").mapInPandas(scan, "article_id long, key string, span_start long, span_end long")
 
 
-def links(articles: DataFrame, aliases: DataFrame, tickers: DataFrame, held: int = 200_000) -> DataFrame:
-    """(article_id, ticker, gram, method, span_start, span_end, precise, broad) of every mention.
+def links(articles: DataFrame, aliases: DataFrame, tickers: DataFrame, held: int = 200_000, each: bool = True) -> DataFrame:
+    """(article_id, ticker, gram, method, span_start, span_end, precise, broad) of every mention; with ``each`` false n_hits and the sums starts and ends of an article's mentions by one name instead of spans.
 
     articles: article_id, text; aliases: ticker, alias of one or several words; tickers:
     ticker. Runs of words meet names by equality, so no pattern is tried on every article.
-    Where the names' first words are at most ``held``, tasks leave out all other runs
-    before they are shuffled; beyond that the join does.
+    Where there are at most ``held`` names, tasks look their runs up in them and give
+    numbers only; beyond that all runs are shuffled to the names. Sums are made before
+    names meet tickers, which are many where a name is ambiguous.
     """
     names = named(aliases, tickers)
-    first = names.select(F.split("gram", " ")[0].alias("w")).distinct()
-    few = [r.w for r in first.limit(held + 1).collect()]
+    some = sorted(r.gram for r in names.select("gram").distinct().limit(held + 1).collect())
     longest = names.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
-    found = grams(articles, longest, frozenset(few) if len(few) <= held else None)
-    symbols = tickers.select(F.lower("ticker").alias("gram"), "ticker", F.lit("explicit_symbol").alias("method"), F.lit("symbol").alias("kind")).distinct()
-    both = found.join(names.withColumn("kind", F.lit("name")).unionByName(symbols), ["kind", "gram"])
+    known = {g: str(n) for n, g in enumerate(some)} if len(some) <= held else None
+    found = mentions(articles, longest, known)
+    if not each:
+        found = found.groupBy("article_id", "key").agg(F.count("*").alias("n_hits"), F.sum("span_start").alias("starts"), F.sum("span_end").alias("ends"))
+    if known is None:
+        numbered = names.withColumn("key", F.concat(F.lit("n:"), "gram"))
+    else:
+        numbered = names.join(names.sparkSession.createDataFrame(list(known.items()), "gram string, key string"), "gram")
+    symbols = tickers.select(F.lower("ticker").alias("gram"), "ticker", F.lit("explicit_symbol").alias("method")).distinct()
+    keyed = numbered.unionByName(symbols.withColumn("key", F.concat(F.lit("s:"), "gram")))
     lane = lambda n: F.create_map(*[x for k, v in CONFIDENCE.items() for x in (F.lit(k), F.lit(v[n]).cast("double"))])[F.col("method")]
-    return both.select("article_id", "ticker", "gram", "method", "span_start", "span_end", lane(0).alias("precise"), lane(1).alias("broad"))
+    return found.join(keyed, "key").drop("key").withColumns({"precise": lane(0), "broad": lane(1)})
 
 
 def tickers_of(found: DataFrame, articles: DataFrame, least: float) -> DataFrame:

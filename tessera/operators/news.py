@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import written
 
 # Terms and weights of the lexicons.
 POSITIVE = {
@@ -62,11 +63,11 @@ def staged_duplicates(articles: DataFrame) -> DataFrame:
     A row that reaches a stage registers its key there even if a later stage drops it: at
     each stage the least ord of every key among the rows left is found by a partial
     aggregation and joined back. Rows without a url pass that stage by; texts don't travel,
-    only their hashes.
+    only their hashes, which are worked out once and written.
     """
     url = F.nullif(F.lower(F.coalesce("url", F.lit(""))), F.lit(""))
     keys = articles.select("ord", url.alias("url"), F.sha1(text.normalize_text(F.concat_ws("\n", "title", "body"))).alias("exact"), text.near_key(F.col("title"), F.col("body")).alias("near"))
-    out = keys.withColumn("reason", F.lit(None).cast("string"))
+    out = written(keys, "article-keys").withColumn("reason", F.lit(None).cast("string"))
     for key in ("url", "exact", "near"):
         first = out.where(F.col("reason").isNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("ord").alias("first"))
         out = out.join(first, key, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("ord") > F.col("first"), f"duplicate_{key}"))).drop("first")

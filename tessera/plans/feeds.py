@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import session
 from ..sources import feeds, files
-from ..streaming import news as streams
 from .common import table
 
 c = F.col
@@ -66,7 +66,7 @@ def identity_rows(spark, d):
 
 def stream_dedupe_windows(spark, d):
     """The events as a stream: the first of each user, kind and day is kept, and days are counted from what was written."""
-    folder = f"{streams.scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{session.scratch_root(spark)}/stream-{uuid.uuid4().hex}"
     batch = table(spark, d, "events")
     rows = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     seen = rows.select("event_type", "user_id", c("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("day")).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id", "event_type", "day"])
@@ -75,7 +75,7 @@ def stream_dedupe_windows(spark, d):
         part.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
     seen.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    streams.keep_until_exit(spark, folder)
+    session.keep_until_exit(spark, folder)
     kept = spark.read.parquet(f"{folder}/rows")
     return kept.groupBy("day", "event_type").agg(F.count("*").alias("n_users"))
 

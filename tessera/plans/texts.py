@@ -150,7 +150,7 @@ def _names(spark, d):
 
 def _linked(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text")
-    return linking.links(docs, _names(spark, d), table(spark, d, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("ticker")))
+    return linking.links(docs, _names(spark, d), table(spark, d, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("ticker")), each=False)
 
 
 def alias_ambiguity(spark, d):
@@ -159,7 +159,7 @@ def alias_ambiguity(spark, d):
 
 def entity_links(spark, d):
     links = _linked(spark, d)
-    return links.groupBy("ticker", "method").agg(F.count("*").alias("n_hits"), F.countDistinct("article_id").alias("n_articles"), F.sum("span_start").alias("starts"), F.sum("span_end").alias("ends"), F.max("precise").alias("precise"), F.max("broad").alias("broad"))
+    return links.groupBy("ticker", "method").agg(F.sum("n_hits").alias("n_hits"), F.countDistinct("article_id").alias("n_articles"), F.sum("starts").alias("starts"), F.sum("ends").alias("ends"), F.max("precise").alias("precise"), F.max("broad").alias("broad"))
 
 
 def articles_by_ticker(spark, d):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(name: str = "tessera", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -19,3 +21,23 @@ def local_session(cores: int, conf: dict[str, str] | None = None) -> SparkSessio
     spark = build(master=f"local[{cores}]", conf=quiet | (conf or {}))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+
+
+def keep_until_exit(spark: SparkSession, folder: str) -> None:
+    """Has a folder removed when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """rows written to the shared folder and read back, so that what is used several times is worked out once and a lost task finds it there."""
+    spark = rows.sparkSession
+    folder = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    keep_until_exit(spark, folder)
+    return spark.read.schema(rows.schema).parquet(folder)

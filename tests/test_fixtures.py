@@ -112,18 +112,20 @@ def test_asof_reaction(spark):
     assert math.isclose(r[0].ret_1, (104 / 102 - 1) * 100) and math.isclose(r[0].ret_5, (110 / 102 - 1) * 100) and r[0].ret_20 is None
 
 
-def test_links_by_method(spark):
+@pytest.mark.parametrize("held", [200_000, 2])
+def test_links_by_method(spark, held):
     articles = spark.createDataFrame([(1, "BHP Group rose; ASX: BHP and (RIO.AX). Rio  Tinto fell. The Group said: shared name."), (2, None)], "article_id long, text string")
     aliases = spark.createDataFrame([("BHP", "BHP Group"), ("RIO", "Rio Tinto"), ("BHP", "shared name"), ("RIO", "Shared Name"), ("RIO", "Ab")], "ticker string, alias string")
     tickers = spark.createDataFrame([("BHP",), ("RIO",)], "ticker string")
-    got = sorted((r.ticker, r.method, r.gram, r.span_start, r.span_end, r.precise, r.broad) for r in linking.links(articles, aliases, tickers).collect())
+    got = sorted((r.ticker, r.method, r.gram, r.span_start, r.span_end, r.precise, r.broad) for r in linking.links(articles, aliases, tickers, held).collect())
     text_of = articles.first().text
     assert {(t, m) for t, m, *_ in got} == {("BHP", "alias_strict"), ("BHP", "explicit_symbol"), ("BHP", "ticker_token"), ("BHP", "alias_ambiguous"), ("RIO", "alias_strict"), ("RIO", "explicit_symbol"), ("RIO", "ticker_token"), ("RIO", "alias_ambiguous")}
+    assert got
     for _, method, gram, a, b, precise, broad in got:
         assert (precise, broad) == linking.CONFIDENCE[method]
         if method != "explicit_symbol":
             assert " ".join(text_of[a:b].lower().split()) == gram
-    assert sorted(r.n_tickers for r in linking.tickers_of(linking.links(articles, aliases, tickers), articles, 0.7).collect()) == [0, 2]
+    assert sorted(r.n_tickers for r in linking.tickers_of(linking.links(articles, aliases, tickers, held), articles, 0.7).collect()) == [0, 2]
 
 
 def slow_chunks(words, most, overlap):
