@@ -33,27 +33,40 @@ def entries(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[at], term[at], weight[at]
 
 
-def postings(row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By term: the rows that have it and their weights."""
+def postings(row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int) -> dict[int, tuple[np.ndarray | None, np.ndarray]]:
+    """By term: the rows that have it and their weights; where most rows have it, None and a weight for every row."""
     terms, starts = np.unique(term, return_index=True)
-    return {int(t): (row[a:b], weight[a:b]) for t, a, b in zip(terms, starts, [*starts[1:], len(term)], strict=True)}
+    out: dict[int, tuple[np.ndarray | None, np.ndarray]] = {}
+    for t, a, b in zip(terms, starts, [*starts[1:], len(term)], strict=True):
+        if 2 * (b - a) > rows:
+            every = np.zeros(rows, dtype=np.int64)
+            every[row[a:b]] = weight[a:b]
+            out[int(t)] = (None, every)
+        else:
+            out[int(t)] = (row[a:b], weight[a:b])
+    return out
 
 
 def scored(index: dict, rows: int, queries: dict, width: int) -> np.ndarray:
-    """The scores of every (row, query): term by term, each posting's weight times each query's. Short integers where they can't overflow."""
+    """The scores of every (query, row): term by term, each query's weight times each posting's. Short integers where they can't overflow."""
     most = lambda x: np.abs(x.astype(np.float64)).max()
     peak = sum(most(index[t][1]) * most(queries[t][1]) for t in queries if t in index)
     kind = np.int32 if peak < 2**31 else np.int64
-    score = np.zeros((rows, width), dtype=kind)
+    score, products = np.zeros((width, rows), dtype=kind), np.empty((width, rows), dtype=kind)
     for t, (asked, w) in queries.items():
         if t not in index:
             continue
         held, x = index[t]
-        products = x.astype(kind)[:, None] * w.astype(kind)[None, :]
-        if len(asked) == width:
-            score[held] += products
+        w, x = w.astype(kind)[:, None], x.astype(kind)[None, :]
+        if asked is None and held is None:
+            np.multiply(w, x, out=products)
+            score += products
+        elif held is None:
+            score[asked] += w * x
+        elif asked is None:
+            score[:, held] += w * x
         else:
-            score[np.ix_(held, asked)] += products
+            score[np.ix_(asked, held)] += w * x
     return score
 
 
@@ -67,21 +80,23 @@ class Best:
         self.groups = []
         for at in range(0, self.size, together):
             part = block.slice(at, together).combine_chunks().to_batches()[0]
-            self.groups.append((at, part.num_rows, postings(*entries(part))))
+            self.groups.append((at, part.num_rows, postings(*entries(part), part.num_rows)))
         self.low = np.full(self.size, np.iinfo(np.int64).min)
         self.held = [np.empty(0, dtype=np.int64) for _ in range(4)]  # query, score, vec_id, copies
 
     def add(self, part: pa.RecordBatch) -> None:
-        index, n = postings(*entries(part)), part.num_rows
+        n = part.num_rows
+        index = postings(*entries(part), n)
         ids, copies = part.column("vec_id").to_numpy(), part.column("n").to_numpy()
         found = []
         for at, width, queries in self.groups:
             score = scored(index, n, queries, width)
             low = self.low[at : at + width]
-            if n > self.k:
-                low = np.maximum(low, np.partition(score, n - self.k - 1, axis=0)[n - self.k - 1])
-            hit, q = np.nonzero(score >= low[None, :])
-            found.append((q + at, score[hit, q].astype(np.int64), hit))
+            above = score >= low[:, None]
+            if n > self.k and np.count_nonzero(above) > 2 * self.k * width:
+                above = score >= np.maximum(low, np.partition(score, n - self.k - 1)[:, n - self.k - 1])[:, None]
+            q, hit = np.nonzero(above)
+            found.append((q + at, score[q, hit].astype(np.int64), hit))
         q, s, hit = (np.concatenate(x) for x in zip(*found, strict=True))
         c = copies[hit].copy()
         for k in np.flatnonzero((self.query[q] == ids[hit]) & (ids[hit] != NONE)):  # a query's own row is left out once
@@ -154,8 +169,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, bl
                 if best is None and waiting:
                     best, waiting = Best(pa.Table.from_batches(waiting).combine_chunks(), k), []
                 if best:
-                    for at in range(a, b, 2048):
-                        best.add(part.slice(at, min(2048, b - at)))
+                    for at in range(a, b, 1024):
+                        best.add(part.slice(at, min(1024, b - at)))
         if best:
             yield best.rows()
 
