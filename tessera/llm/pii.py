@@ -224,7 +224,7 @@ def windows(text: str) -> list[tuple[int, int]]:
 def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """(plain spans, all spans) by kind, ascending; a disguised identifier is left out where a plain one of its kind is or holds the same span; one that only overlaps is added to it."""
     base = plain(text)
-    every = {k: list(v) for k, v in base.items()}
+    every = {k: set(v) for k, v in base.items()}
     for a, b in windows(text):
         t = deobfuscate(text[a:b])
         if t.text == text[a:b]:
@@ -236,8 +236,8 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
                 at = bisect_right(base[kind], (span[0], len(text)))  # plain spans don't overlap: only the last that begins by then may hold it
                 if kind == "email" and not TOP_LABEL.search(t.text[x:y]):
                     continue
-                if (not at or base[kind][at - 1][1] < span[1]) and span not in every[kind]:
-                    every[kind].append(span)
+                if not at or base[kind][at - 1][1] < span[1]:
+                    every[kind].add(span)
     return base, {k: sorted(v) for k, v in every.items()}
 
 
