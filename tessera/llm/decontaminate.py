@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spare
+from .common import Workspace, spare
 
 TOKEN = re.compile(r"\w+")
 MATCH = "array<struct<item_id: long, cosine: double, lcs: double, answer: double>>"
@@ -202,6 +202,7 @@ def sketch(docs: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray, int,
 
     kinds = "term long, df long, " + ", ".join(f"z{k} double" for k in range(rank))
     rows = docs.select("text").mapInPandas(scan, kinds).groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(f"z{k}").alias(f"z{k}") for k in range(rank)]).toArrow()  # a row for each term of the index, as columns of numbers
+    shared.destroy()
     term, count = rows.column("term").to_numpy(), rows.column("df").to_numpy()
     of_term = term >= 0
     df, z = np.zeros(size), np.zeros((size, rank))
@@ -363,24 +364,44 @@ def matches(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None, s
     """docs with a column ``name`` (one of that name is replaced): the items found in each text, an empty array where there are none.
 
     The benchmark is searched in slices of at most about ``slice_chars`` characters (by
-    item_id), which bounds what the driver gathers and broadcasts; each adds two passes
-    over the texts, so time grows with documents times benchmark.
+    item_id), one after the other, which bounds what the driver gathers and what a task and
+    its one Python worker hold; each slice adds two passes over the texts, so time grows with
+    documents times benchmark. What is found in a slice is written by the texts' digests,
+    and met by them again after the last; where one slice is all, nothing need be written.
     Null and empty texts match nothing, nor does anything match a null item or one without
     a word. Repeated rows are matched alike; items of equal text are all found, and rows
     that repeat an item_id give it once for each. Of places alike the first counts.
     """
     rules = rules or Rules()
+    spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-size // slice_chars))
-    found = []
+    none = F.array().cast(MATCH)
+    work, found = Workspace(spark, "decontamination"), []
+    digests = {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
     for k in range(slices):
         mine = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) if slices > 1 else benchmark
         index = start_index(mine.select("item_id", "text").collect(), rules)
         if index.ids:
             index = finish_index(index, *sketch(docs, index))
-        if index.ids or index.lines:
-            found.append(_search_udf(docs.sparkSession.sparkContext.broadcast(index))("text"))
-    return docs.withColumn(name, F.concat(*found) if found else F.array().cast(MATCH))
+        if not index.ids and not index.lines:
+            continue
+        shared = spark.sparkContext.broadcast(index)
+        if slices == 1:
+            return docs.withColumn(name, _search_udf(shared)("text"))
+        seen = docs.where("text is not null").select(*[v.alias(c) for c, v in digests.items()], _search_udf(shared)("text").alias("m")).where(F.size("m") > 0)
+        found.append(work.save(seen.groupBy("h1", "h2").agg(F.first("m").alias("m")), f"slice-{k}"))
+        shared.destroy()
+    if not found:
+        return docs.withColumn(name, none)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    every = work.save(every.groupBy("h1", "h2").agg(F.sort_array(F.flatten(F.collect_list("m"))).alias("m")), "found")
+    keys = {c: spare(docs, c) for c in (*digests, "m")}
+    named = every.withColumnsRenamed(keys)
+    both = docs.join(named, (F.xxhash64(docs["text"]) == named[keys["h1"]]) & (F.xxhash64(F.lit(1), docs["text"]) == named[keys["h2"]]), "left")
+    return both.withColumn(name, F.coalesce(keys["m"], none)).select(*[c for c in docs.columns if c != name], name)
 
 
 def _search_udf(shared):
