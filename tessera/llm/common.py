@@ -17,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+DICE = 1 << 63  # numbers that ``dice`` gives lie below it
+
+
+def dice(*columns) -> F.Column:
+    """63 bits of a hash of columns, the same for equal rows."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit(DICE - 1))
+
+
+def below(most: float, count: int) -> int:
+    """The number below which ``dice`` falls for about ``most`` of ``count`` rows, all of them if there are no more; never 0, however many there are."""
+    return DICE - 1 if most >= count else max(1, int(most / count * DICE))
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spare
+from .common import below, dice, spare
 
 #: Each text is a vector of this many hashed counts: two- and three-byte n-grams of its lower-cased letters.
 FEATURES = 1 << 13
@@ -72,7 +72,7 @@ def fit(labelled: DataFrame, per_language: int = 600, most_languages: int = 1000
     median cosine of the sample to its own centroid is the least cosine of an accepted
     text. An empty table gives no centroids.
     """
-    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("dice"))
+    rows = labelled.where("text is not null and lang is not null").select("lang", "text", dice("doc_id", "text").alias("dice"))
     # texts are counted once however often they are repeated, so that a common one doesn't crowd its language out
     counted = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("dice").alias("n"))
     sizes = {r.lang: r.n for r in counted.orderBy(F.desc("rows"), "lang").limit(most_languages).collect()}
@@ -81,12 +81,12 @@ def fit(labelled: DataFrame, per_language: int = 600, most_languages: int = 1000
     def vectors(texts: pd.Series) -> pd.Series:
         return pd.Series([None if (n := counts(t)) is None else zlib.compress(n.astype("<f4").tobytes(), 1) for t in texts], dtype=object)
 
-    # rows that can't be among the least by far are left out before the ranking
-    share = F.lit(-1)
+    # rows that can't be among the least by far are left out before the ranking, and of rows that repeat another one stays
+    least = F.lit(-1).cast("long")
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2 * per_language / n) * 1_000_000))).otherwise(share)
-    some = rows.where(F.pmod("dice", F.lit(1_000_000)) < share)
-    first = Window.partitionBy("lang").orderBy(F.pmod("dice", F.lit(1_000_000)), "dice", "text")
+        least = F.when(F.col("lang") == lang, F.lit(below(2 * per_language, n))).otherwise(least)
+    some = rows.where(F.col("dice") <= least).distinct()
+    first = Window.partitionBy("lang").orderBy("dice", "text")
     some = some.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
     found = some.select("lang", vectors("text").alias("v")).where("v is not null").collect()
     if not found:

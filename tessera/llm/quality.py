@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import below, dice
 from .langid import remainder
 
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
@@ -151,12 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, lines: int = 400,
             out.append(stretch(np.concatenate((own, lengths[:, None]), axis=1), lines, k).ravel())
         return pd.Series(out)
 
-    dice = F.pmod(F.xxhash64("doc_id", "quality"), F.lit(1_000_000))
-    share = F.lit(-1)
+    drawn = dice("doc_id", "quality")
+    least = F.lit(-1).cast("long")
     for label, n in sizes.items():
-        share = F.when(F.col("quality") == label, F.lit(int(min(1.0, most / n) * 1_000_000))).otherwise(share)
-    first = Window.partitionBy("quality").orderBy(dice, "doc_id")
-    sample = rows.where(dice < share).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most // 2)
+        least = F.when(F.col("quality") == label, F.lit(below(most, n))).otherwise(least)
+    first = Window.partitionBy("quality").orderBy(drawn, "doc_id")
+    sample = rows.where(drawn <= least).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most // 2)
     sample = sample.select(F.col("doc_id").alias("_id"), "quality")  # at most ``most`` rows, so they may be broadcast
     texts = docs.where("text is not null").select("doc_id", "text")
     some = texts.join(F.broadcast(sample), texts["doc_id"] == sample["_id"])

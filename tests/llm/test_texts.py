@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, chat, decontaminate, langid, pii, quality, queries, records
+from tessera.llm import bpe, chat, common, decontaminate, langid, pii, quality, queries, records
 from tests.oracle import differences
 
 ODD_TEXTS = [
@@ -590,3 +590,33 @@ def test_pipeline(spark, medium):
 def test_no_tokenizer_file_in_the_repository():
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not [f for d, _, names in os.walk(top) if ".git" not in d for f in names if f.endswith((".tiktoken", ".model")) or "bpe_" in f and f.endswith(".json")]
+
+
+def test_samples_of_very_many_rows():
+    assert common.below(1200, 10**10) > 0
+    assert abs(common.below(1200, 10**10) / common.DICE * 10**10 - 1200) < 1e-3
+    assert common.below(1200, 10**40) == 1
+    assert common.below(1200, 1200) == common.below(1200, 0) == common.DICE - 1
+
+
+def test_langid_sample_holds_a_repeated_row_once(spark):
+    texts = [(k, f"ein satz nummer {k} und mehr worte dazu", "de") for k in range(40)] + [(99, "immer gleich", "de")] * 3000 + [(k, f"one sentence {k} with other words", "en") for k in range(100, 140)]
+    model = langid.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"), per_language=30, reject=0.0)
+    assert model.nearest("noch ein satz und worte")[0] == "de" and model.nearest("another sentence with words")[0] == "en"
+
+
+def test_decontamination_in_slices(spark, medium):
+    bench = spark.read.parquet(f"{medium}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()] + [(901, "Short row of six tokens here."), (902, "two words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rng = np.random.default_rng(3)
+    filler = [" ".join(f"w{x}" for x in rng.integers(0, 300, 60)) for _ in range(40)]
+    docs = [(k, f"{filler[k]} {items[k][1]} {filler[k + 1]}", "x") for k in range(30)] + [(100, None, "x"), (101, "", "x"), (102, "two words", "x"), (103, filler[0], "x"), (None, f"{filler[5]} {items[1][1]}", "x")]
+    docs += [docs[3]] * 3
+    d = spark.createDataFrame(docs, "doc_id long, text string, h1 string")
+    whole = decontaminate.matches(d, bench)
+    parts = decontaminate.matches(d, bench, slice_chars=600)
+    found = lambda r: sorted(((x.doc_id, x.text, x.h1, tuple(sorted({m.item_id for m in x.matches}))) for x in r.collect()), key=str)
+    assert found(parts) == found(whole)
+    assert parts.columns == whole.columns == ["doc_id", "text", "h1", "matches"]
+    assert parts._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0
