@@ -128,6 +128,23 @@ def period_labels(line: Column) -> Column:
     return F.transform(F.array_sort(F.when(F.size(named) > 0, named).otherwise(found(YEAR))), lambda m: m["label"])
 
 
+def label_rank(label: Column) -> Column:
+    """How specific a period label is, 0 the most: phrase, fiscal with date, date, fiscal, relative, a word of periods, other, with a year, a year alone."""
+    date, fiscal = label.rlike(DATE), label.rlike(FISCAL)
+    word = F.lower(label).rlike("quarter|half|year")
+    return (
+        F.when(label.rlike(PHRASE), 0).when(label.rlike(RELATIVE), 4).when(date & fiscal, 1).when(date, 2).when(fiscal, 3)
+        .when(label.rlike("^20[0-9]{2}$"), 8).when(label.rlike(YEAR), 7).when(word, 5).otherwise(6)
+    )
+
+
+def anchored(label: Column, end: Column) -> Column:
+    """An ISO date, or the day and month that a label names ("at 30 June") in that date's year."""
+    own = rf"(?i)\b(?:as\s+at|at)\s+(\d{{1,2}})\s+({MONTH})\b"
+    said = F.concat_ws(" ", F.regexp_extract(label, own, 1), F.initcap(F.substring(F.regexp_extract(label, own, 2), 1, 3)), F.substring(end, 1, 4))
+    return F.when(label.rlike(own), F.coalesce(F.date_format(F.to_date(F.try_to_timestamp(said, F.lit("d MMM yyyy"))), "yyyy-MM-dd"), end)).otherwise(end)
+
+
 def year_of_hint(text: Column) -> Column:
     """The year of a period hint: of its date, quarter, fiscal year or bare year, in this order."""
     fy = F.regexp_extract(text, FY, 1)

@@ -299,8 +299,9 @@ def spans(x: Column, pattern: str | Column) -> Column:
     """array<struct<at, found>> of the matches of a pattern in order; at counts from 0.
 
     The text before each match is what is left once the pieces up to it are taken away, so
-    equal matches keep their own places.
+    equal matches keep their own places. The sign that marks them is a blank where a text has it itself.
     """
+    x = F.translate(x, "\u0001", " ")
     inner = F.lit(pattern.removeprefix("(?i)")) if isinstance(pattern, str) else pattern
     marked = F.split(F.regexp_replace(x, F.concat(F.lit("(?i)("), inner, F.lit(")")), F.lit("\u0001$1\u0001")), "\u0001")
     sized = F.transform(marked, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
