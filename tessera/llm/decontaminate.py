@@ -411,7 +411,7 @@ def _search_udf(shared):
         for texts in parts:
             yield pd.Series([[dict(zip(("item_id", "cosine", "lcs", "answer"), m, strict=True)) for m in ms] for ms in search(index, texts.to_list())], dtype=object)
 
-    return of
+    return of.asNondeterministic()  # or else Spark would search once more for the condition that it infers from explode
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
