@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import articles, text, urls
 from ..operators import linking, stores
@@ -149,40 +149,27 @@ def _touched(commit: Commit, table: str, keys: DataFrame) -> DataFrame:
     return commit.store._rows(commit.new[table], None).join(keys, "article_id", "left_semi")
 
 
-class _FirstSeen(StatefulProcessor):
-    """Of each key the row that had it first, as long as the state lives."""
+def seen_first(rows: DataFrame, hours: float = 24 * 30, late: str = "2 days") -> DataFrame:
+    """(ord, kind, first) for each of the three keys of every row (ord, at, url_key, exact_key, near_key): the row that had the key first, itself or another.
 
-    def __init__(self, hours: float):
-        self.hours = hours
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "ord string", ttlDurationMs=int(self.hours * 3_600_000))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.first.get()[0] if self.first.exists() else None
-        parts = list(rows)  # rows of one key in one batch
-        least = min(part["ord"].min() for part in parts)
-        if held is None:
-            held = least
-            self.first.update((held,))
-        for part in parts:
-            yield pd.DataFrame({"ord": part["ord"], "kind": part["kind"], "first": held})
-
-    def close(self) -> None:
-        pass
-
-
-def seen_first(rows: DataFrame, hours: float = 24 * 30) -> DataFrame:
-    """(ord, kind, first) for each of the three keys of every row (ord, url_key, exact_key, near_key): the row that had the key first, itself or another.
-
-    A stream; each key is state of its own, which expires after some hours. A batch's
-    answers of one row are put together by ``verdicts``.
+    A stream; each key is state of its own, which expires once the watermark is some hours
+    past the last row that had it. A batch's answers of one row are put together by ``verdicts``.
     """
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), c(f"{k}_key").alias("value")) for k in KINDS])
-    keyed = rows.select("ord", F.explode(pairs).alias("k")).select("ord", "k.kind", "k.value").where("value is not null")
-    return keyed.groupBy("kind", "value").transformWithStateInPandas(_FirstSeen(hours), "ord string, kind string, first string", "Update", "ProcessingTime")
+    keyed = rows.withWatermark("at", late).select("ord", "at", F.explode(pairs).alias("k")).select("ord", "at", "k.kind", "k.value").where("value is not null")
+
+    def remember(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        found = pd.concat(list(parts))
+        held = state.get[0] if state.exists else found["ord"].min()
+        state.update((held,))
+        last = int(found["at"].max().timestamp() * 1000 + hours * 3_600_000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"ord": found["ord"], "kind": key[0], "first": held})
+
+    return keyed.groupBy("kind", "value").applyInPandasWithState(remember, "ord string, kind string, first string", "first string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def verdicts(seen: DataFrame) -> DataFrame:

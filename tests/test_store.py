@@ -141,22 +141,26 @@ def test_stream_of_batches_is_ingested(spark, tmp_path, names):
     assert store.read("windows").count() == 2
 
 
-def test_three_keys_are_remembered(spark, tmp_path):
-    kinds = "ord string, url_key string, exact_key string, near_key string"
-    folder = f"file://{tmp_path}/in"
-    batches = [[("a", "u1", "x1", "n1"), ("b", "u1", "x2", "n2"), ("c", None, "x3", "n1")], [("d", "u9", "x2", "n9"), ("e", "u8", "x8", "n8"), ("f", None, "x8", "n7")]]
-    for b in batches:
-        spark.createDataFrame(b, kinds).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(folder)
-    found = {}
+def test_three_keys_are_remembered_until_they_expire(spark, tmp_path):
+    kinds = "ord string, at timestamp, url_key string, exact_key string, near_key string"
+    folder, found = f"file://{tmp_path}/in", {}
+    batches = [
+        [("a", "2024-01-01", "u1", "x1", "n1"), ("b", "2024-01-01", "u1", "x2", "n2"), ("c", "2024-01-02", None, "x3", "n1")],
+        [("d", "2024-01-03", "u9", "x2", "n9"), ("e", "2024-01-03", "u8", "x8", "n8"), ("f", "2024-01-03", None, "x8", "n7")],
+        [("g", "2024-06-01", "u7", "x7", "n6")],
+        [("h", "2024-06-02", "u1", "x9", "n5")],
+    ]
 
     def take(batch, _):
         found.update({r.ord: (r.reason, r.first) for r in ingest.verdicts(batch).collect()})
 
-    ingest.seen_first(stream).writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
-    assert {k: v[0] for k, v in found.items()} in (
-        {"a": None, "b": "duplicate_url", "c": "duplicate_near", "d": "duplicate_exact", "e": None, "f": "duplicate_exact"},
-    )
+    for b in batches:
+        spark.createDataFrame(b, "ord string, at string, url_key string, exact_key string, near_key string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(kinds).parquet(folder)
+        ingest.seen_first(stream).writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
+    assert found == {
+        "a": (None, None), "b": ("duplicate_url", "a"), "c": ("duplicate_near", "a"), "d": ("duplicate_exact", "b"), "e": (None, None), "f": ("duplicate_exact", "e"), "g": (None, None), "h": (None, None),
+    }
 
 
 def test_late_rows_open_their_day_alone(spark, tmp_path):
