@@ -99,6 +99,11 @@ MOST_QUERY_CHARS, MOST_QUERY_ROWS = 4000, 500
 
 
 def read_only(query: Column) -> Column:
-    """Whether a query is a single select: short enough, one statement, no word that changes anything."""
-    q = F.trim(F.regexp_replace(F.coalesce(query, F.lit("")), r";\s*$", ""))
-    return (q != "") & (F.length(q) <= MOST_QUERY_CHARS) & F.lower(q).rlike(r"^(select|with)\b") & ~q.contains(";") & ~q.rlike(FORBIDDEN)
+    """Whether a query is a single select: short enough, no semicolon or comment anywhere, no word that changes anything."""
+    q = F.trim(F.coalesce(query, F.lit("")))
+    return (q != "") & (F.length(q) <= MOST_QUERY_CHARS) & F.lower(q).rlike(r"^(select|with)\b") & ~q.rlike(r";|--|/\*") & ~q.rlike(FORBIDDEN)
+
+
+def bounded_rows(rows: DataFrame) -> DataFrame:
+    """What a diagnostic query may show: ``MOST_QUERY_ROWS`` rows at most."""
+    return rows.limit(MOST_QUERY_ROWS)

@@ -38,6 +38,24 @@ def repaired_period(rows: DataFrame) -> Column:
     return F.when(broken & found.isNotNull(), found.cast("string")).otherwise(_said("statement_period_end"))
 
 
+# Words of titles and headers that tell statements apart, and the titles that rows get which stand under another statement's.
+OTHER_THAN_INCOME, CASH_TITLE = r"(?i)\b(financial\s+position|balance\s+sheet|cash\s+flows?)\b", r"(?i)\bcash\s+flows?\b"
+SAYS_INCOME = r"(?i)\b(profit\s+or\s+loss|comprehensive\s+income|income\s+statement|loss\s+after\s+income\s+tax|profit\s+after\s+tax|\brevenue\b|\bgross\s+profit\b|\bebitda?\b|\bnpat\b|operating\s+profit)\b"
+SAYS_BALANCE = r"(?i)\b(financial\s+position|balance\s+sheet|total\s+assets?|total\s+liabilities?|net\s+assets?|equity)\b"
+INCOME_TITLE, BALANCE_TITLE = "Consolidated statement of comprehensive income", "Consolidated statement of financial position"
+
+
+def rewritten_title(rows: DataFrame) -> Column:
+    """The statement's title, or the one its family calls for where the title names another statement and the headers this one."""
+    given = F.lower(F.trim(_said("statement_family")))
+    title = F.coalesce(F.nullif(F.trim(_said("statement_title")), F.lit("")), _said("statement_scope_header"))
+    family = F.when(given != "", given).otherwise(ff.statement_family(title, c("statement_scope"), _said("line")))
+    around = F.concat_ws(" ", _said("table_header_text"), _said("statement_scope_header"))
+    income = (family == "income_statement") & title.rlike(OTHER_THAN_INCOME) & around.rlike(SAYS_INCOME)
+    balance = (family == "balance_sheet") & title.rlike(CASH_TITLE) & around.rlike(SAYS_BALANCE)
+    return F.when(income, INCOME_TITLE).when(balance, BALANCE_TITLE).otherwise(c("statement_title"))
+
+
 def route(rows: DataFrame) -> DataFrame:
     """rows with family, repaired period, confidence, the first reason that applies (``canonical`` where none does) and the route it gives.
 
@@ -46,6 +64,7 @@ def route(rows: DataFrame) -> DataFrame:
     pro_forma, label_hits. One expression a row: no shuffle.
     """
     r = rows.withColumns({"metric": F.lower(F.trim(_said("metric"))), "statement_scope": F.lower(F.trim(_said("statement_scope")))})
+    r = r.withColumn("statement_title", rewritten_title(r))
     r = r.withColumn("statement_family", recovered_family(r)).withColumn("statement_period_end", repaired_period(r))
     r = r.withColumn("canonical_confidence", ff.canonical_confidence(c("metric"), c("statement_scope"), c("statement_family"), c("period"), c("row_label"), c("line"), c("table_header_text"), c("statement_title")))
     label = F.lower(text.normalize_space(c("row_label")))

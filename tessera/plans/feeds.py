@@ -35,7 +35,7 @@ def chart_prices(spark, d):
 
 def announcement_rows(spark, d):
     """A table of announcements a customer and year."""
-    o = table(spark, d, "orders").where("o_custkey % 3 = 0")
+    o = table(spark, d, "orders")
     row = F.concat(F.lit("<tr class='x'><td>ABC</td><td>"), F.date_format("o_orderdate", "d/M/yyyy"), F.lit("</td><td><a href='/doc?asxCode=XYZ&amp;id="), c("o_orderkey").cast("string"), F.lit("'>Appendix 4E &amp; Report\n 12 pages 3KB</a></td></tr>"))
     pages = o.groupBy("o_custkey").agg(F.concat(F.lit("<table><tr><th>No link</th></tr>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
     r = feeds.announcement_rows(pages)
@@ -83,7 +83,7 @@ def stream_dedupe_windows(spark, d):
 SQL = {
     "feed_items": "select page_id, 'Page & ' || cast(page_id as varchar) as title, 'http://x.com/p/' || cast(page_id as varchar) as url, '2024-01-02 03:04:05' as published, 'Bold text ' || cast(page_id as varchar) as summary from pages",
     "chart_prices": "select cast(user_id as varchar) as symbol, 'AUD' as currency, count(*) as n, min(date_trunc('second', ts)) as first_ts, max(date_trunc('second', ts)) as last_ts, max(value) as high, 0 as n_volume from events where value is not null group by 1",
-    "announcement_rows": "select o_orderkey, 'XYZ' as ticker, 'Appendix 4E & Report' as title, strftime(o_orderdate, '%Y-%m-%d') as day, 'annual' as doc_class, '4E' as doc_subtype from orders where o_custkey % 3 = 0",
+    "announcement_rows": "select o_orderkey, 'XYZ' as ticker, 'Appendix 4E & Report' as title, strftime(o_orderdate, '%Y-%m-%d') as day, 'annual' as doc_class, '4E' as doc_subtype from orders",
     "market_announcements": "select 'C' || cast(o_custkey as varchar) as ticker, 'A title' as title, 'u' || cast(o_orderkey as varchar) as url, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_custkey % 2 = 0 and o_custkey in (select c_custkey from customer) and year(o_orderdate) = 1995",
     "universe_lines": "select distinct 'C' || cast(c_custkey % 700 as varchar) as ticker from customer",
     "identity_rows": "select 'N' || cast(n_nationkey as varchar) as ticker, 'canonical_names' as kind, n_name as name from nation union all select 'N' || cast(n_nationkey as varchar), 'aliases', 'A' || cast(n_nationkey as varchar) from nation",

@@ -112,3 +112,21 @@ def test_daily_counts_and_recent(spark, tmp_path):
     q.awaitTermination()
     assert sorted(set(rows)) == [("2024-01-01", 2), ("2024-01-02", 2)]
     assert streaming.recent(article_rows(spark), "2024-01-02 12:00:00", 2).count() == 2
+
+
+def test_captures_are_a_partition_a_day(spark, put, tmp_path):
+    put("cap/eodhd_2024-01-01.json", json.dumps([{"id": 1, "headline": " One ", "link": "u"}, {"id": 1, "title": "one", "url": "u"}, "no object", {"news_id": "2", "published_at": 5}]))
+    put("cap/day=2024-01-02/a.jsonl", '{"id": 3, "content": "x"}\nnot json\n[1]\n{"uid": "4"}\n')
+    put("cap/day=2024-01-02/b.json", json.dumps({"items": [{"guid": "5"}]}))
+    put("cap/day=2024-01-03/c.json", "")
+    put("cap/day=2024-01-04/d.json", json.dumps({"id": "6"}))
+    put("cap/day=2024-01-05/_temporary.json", json.dumps({"id": "7"}))
+    put("cap/notes.json", json.dumps({"id": "8"}))
+    folder = f"file://{tmp_path}/cap"
+    every = sources.captured_items(spark, folder)
+    assert sorted((r.day, r.id, r.title, r.url, r.published) for r in every.collect()) == [("2024-01-01", "1", "One", "u", None), ("2024-01-01", "2", None, None, "5"), ("2024-01-02", "3", None, None, None), ("2024-01-02", "4", None, None, None), ("2024-01-02", "5", None, None, None), ("2024-01-04", "6", None, None, None)]
+    assert every.rdd.getNumPartitions() == 4
+    some = every.where("day >= '2024-01-02' and day < '2024-01-04' and id <> '4'")
+    assert sorted(r.id for r in some.collect()) == ["3", "5"] and some.rdd.getNumPartitions() == 2
+    assert sources.captured_items(spark, folder, "2024-01-04", "2024-01-09").rdd.getNumPartitions() == 1
+    assert sources.captured_items(spark, f"file://{tmp_path}/none").count() == 0
