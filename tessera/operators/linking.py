@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import string
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +18,9 @@ CONFIDENCE = {"explicit_symbol": (0.99, 0.85), "alias_strict": (0.91, 0.72), "ti
 MOST_WORDS, MOST_CHARS = 10, 80
 SYMBOLS = re.compile(r"\bASX\s*[:\-]\s*([A-Za-z0-9]+)\b|(?<![A-Za-z0-9])([A-Za-z0-9]+)\.AX(?![A-Za-z0-9])", re.I)
 WORD = re.compile("[A-Za-z0-9]+")
+PLAIN = re.compile("[a-z0-9]+(?: [a-z0-9]+)*")
+BLANKS, LONG_BLANK = re.compile(r"\s+"), re.compile(r"\s\s|[^\S ]")
+LETTERS = frozenset(string.ascii_letters + string.digits)
 
 
 def ambiguous_aliases(aliases: DataFrame) -> DataFrame:
@@ -33,38 +39,63 @@ def named(aliases: DataFrame, tickers: DataFrame) -> DataFrame:
     return names.unionByName(own.select(F.col("alias").alias("gram"), "ticker", F.lit("ticker_token").alias("method"))).distinct()
 
 
+def spoken(text: str, names: ahocorasick.Automaton) -> Iterator[tuple[str, int, int]]:
+    """(key, start, end) of the names in a text, between other than letters and digits; whatever blanks stand between a name's words."""
+    low = text.lower() if text.isascii() else "".join(x.lower() if x.isascii() else x for x in text)
+    flat, ends, gone = low, [], []
+    if LONG_BLANK.search(low):
+        # of each run of blanks one stays; where it stands, and how many have gone by then
+        parts, at, lost = [], 0, 0
+        for m in BLANKS.finditer(low):
+            parts += [low[at : m.start()], " "]
+            lost += m.end() - m.start() - 1
+            at = m.end()
+            ends.append(at - lost)
+            gone.append(lost)
+        flat = "".join(parts) + low[at:]
+    for last, (key, size) in names.iter(flat):
+        first = last - size + 1
+        if (first and flat[first - 1] in LETTERS) or (last + 1 < len(flat) and flat[last + 1] in LETTERS):
+            continue
+        back = lambda k: k + (gone[n - 1] if (n := bisect_right(ends, k)) else 0)  # noqa: B023, E731
+        yield key, back(first), back(last) + 1
+
+
 def mentions(articles: DataFrame, most_words: int, known: dict[str, str] | None) -> DataFrame:
     """(article_id, key, span_start, span_end) of runs of up to ``most_words`` words in lower case, and of symbols after an exchange or before its suffix.
 
-    With ``known`` only runs in it are given, and their number is the key; else all, after
-    n:. Symbols stand after s:.
+    With ``known`` only runs in it are given, and their number is the key: a task makes one
+    automaton of them and walks each text once. Else all runs are given, after n:. Symbols
+    stand after s:.
     """
-    longer = None if known is None else frozenset(g.split(" ")[0] for g in known if " " in g)
+
+    def runs(text: str) -> Iterator[tuple[str, int, int]]:
+        words = [(m[0], m.start(), m.end()) for m in WORD.finditer(text.lower() if text.isascii() else "".join(x.lower() if x.isascii() else x for x in text))]
+        for n, (gram, start, end) in enumerate(words):
+            yield f"n:{gram}", start, end
+            for more, a, b in words[n + 1 : n + most_words]:
+                if not text[end:a].isspace():
+                    break
+                gram, end = f"{gram} {more}", b
+                yield f"n:{gram}", start, end
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = None
+        if known is not None:
+            names = ahocorasick.Automaton()
+            for gram, key in known.items():
+                if PLAIN.fullmatch(gram):  # others are no runs of words
+                    names.add_word(gram, (key, len(gram)))
+            names.make_automaton()
         for part in parts:
             rows = []
             for article, text in zip(part["article_id"], part["text"], strict=True):
                 if not text:
                     continue
-                words = [(m[0], m.start(), m.end()) for m in WORD.finditer(text.lower() if text.isascii() else "".join(x.lower() if x.isascii() else x for x in text))]
-                for n, (word, start, end) in enumerate(words):
-                    if known is not None:
-                        if word in known:
-                            rows.append((article, known[word], start, end))
-                        if word not in longer:
-                            continue
-                    else:
-                        rows.append((article, f"n:{word}", start, end))
-                    gram = word
-                    for more, a, b in words[n + 1 : n + most_words]:
-                        if not text[end:a].isspace():
-                            break
-                        gram, end = f"{gram} {more}", b
-                        if known is None:
-                            rows.append((article, f"n:{gram}", start, end))
-                        elif gram in known:
-                            rows.append((article, known[gram], start, end))
+                if names is None:
+                    rows += [(article, *r) for r in runs(text)]
+                elif len(names):
+                    rows += [(article, *r) for r in spoken(text, names)]
                 rows += [(article, f"s:{(m[1] or m[2]).lower()}", m.start(), m.end()) for m in SYMBOLS.finditer(text)]
             yield pd.DataFrame(rows, columns=["article_id", "key", "span_start", "span_end"])
 
@@ -75,9 +106,9 @@ def links(articles: DataFrame, aliases: DataFrame, tickers: DataFrame, held: int
     """(article_id, ticker, gram, method, span_start, span_end, precise, broad) of every mention; with ``each`` false n_hits and the sums starts and ends of an article's mentions by one name instead of spans.
 
     articles: article_id, text; aliases: ticker, alias of one or several words; tickers:
-    ticker. Runs of words meet names by equality, so no pattern is tried on every article.
-    Where there are at most ``held`` names, tasks look their runs up in them and give
-    numbers only; beyond that all runs are shuffled to the names. Sums are made before
+    ticker. Where there are at most ``held`` names, tasks walk each text once through an
+    automaton of them and give numbers only; beyond that, which no executor need hold, all
+    runs are shuffled and meet the names by equality. Both give the same. Sums are made before
     names meet tickers, which are many where a name is ambiguous.
     """
     names = named(aliases, tickers)

@@ -190,3 +190,15 @@ def test_windows_that_are_done(spark):
     w = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "start string, run string")
     done = spark.createDataFrame([("a", "completed"), ("b", "failed")], "start string, status string")
     assert sorted(r.start for r in stores.pending_windows(w, done, ["start"]).collect()) == ["b", "c"]
+
+
+def test_links_by_automaton_are_those_of_equality(spark, small):
+    from tessera.operators import linking
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id as article_id", "text")
+    odd = spark.createDataFrame([(-1, "Acme\n\n  Corp and ACME corp; xacme corp, acme  corp9 acme-corp KKacme"), (-2, "acme"), (-3, None), (-4, "éacme corpé acme corp ASX: ACM"), (-5, "a b a b a b c")], "article_id long, text string")
+    words = ["the", "of the", "and the on", "la", "de la", "der", "acme corp", "acme", "a b", "a b a", "b a b", "o'brien", "x y"]
+    names = spark.createDataFrame([(f"T{k % 7}", w) for k, w in enumerate(words)], "ticker string, alias string")
+    both = [linking.links(docs.unionByName(odd), names, names.select("ticker").distinct(), held=h) for h in (200_000, 1)]
+    got, want = (sorted(map(tuple, r.collect()), key=str) for r in both)
+    assert got == want and len([r for r in got if r[0] == -1]) > 4
