@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .. import session
-from ..operators import sections
+from ..operators import cashflow, identity, sections
 from ..sources.captures import captured_items
 from ..sources.store import Store
 from ..streaming import ingest
@@ -136,3 +136,76 @@ SQL = {
     "section_index": _SECTIONS,
     "cash_stops": _STOPS,
 }
+
+
+CASH_TEXTS = ("Purchases of property, plant and equipment", "Net operating cash flow", "Impairment of property, plant and equipment, capital expenditure", "Capex", "Capital expenditure on mines", "Cash at the end", "Other")
+CASH_METRICS = ("", "cash_and_equivalents", "revenue", "cashflow_unmapped", "cash_and_equivalents_closing")
+DOC_TYPES = ("statutory_annual", "half_year", "quarterly")
+
+
+def _cash(spark, d):
+    pick = lambda xs, k: F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int"))
+    rows = table(spark, d, "lineitem").select(c("l_suppkey").alias("file"), (c("l_orderkey") % 40).alias("page"), pick(DOC_TYPES, c("l_suppkey")).alias("doc_type"), pick(CASH_TEXTS, c("l_partkey")).alias("row_text"), pick(CASH_METRICS, c("l_orderkey")).alias("metric"), (c("l_quantity") > 25).alias("has_number"), F.when(c("l_linenumber") != 7, c("l_linenumber").cast("double")).alias("confidence"))
+    pages = table(spark, d, "supplier").select(c("s_suppkey").alias("file"), F.explode(F.expr("sequence(0L, 39L, 3L)")).alias("page"))
+    return cashflow.cash_rows(rows, pages)
+
+
+def cash_counters(spark, d):
+    """Counters of line items as rows of cash flow pages, taken while the rows are written."""
+    rows, seen = cashflow.counted(_cash(spark, d))
+    session.written(rows, "cash")
+    return spark.createDataFrame([(k, int(v)) for k, v in seen.get.items()], "name string, n long")
+
+
+def cash_blocks(spark, d):
+    """Rows that name capital expenditure by file's kind and page: how many can be looked for, and why others can't."""
+    return _cash(spark, d).groupBy("doc_type", "page", "block_reason").agg(F.count("*").alias("n_rows"), F.count_if("eligible").alias("n_eligible"))
+
+
+def _texts(xs) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+
+
+_CASH = f"""with r as (select l_suppkey as file, l_orderkey % 40 as page, {_texts(DOC_TYPES)}[l_suppkey % 3 + 1] as doc_type, l_partkey % 7 as t, {_texts(CASH_METRICS)}[l_orderkey % 5 + 1] as was, l_quantity > 25 as num, case when l_linenumber <> 7 then cast(l_linenumber as double) end as conf from lineitem),
+f as (select *, page % 3 = 0 as pg, t in (0, 4) as cx,
+  case when num and t in (0, 4) and was in ('', 'cashflow_unmapped', 'cash_and_equivalents', 'cash_and_equivalents_closing') then 'capital_expenditure' when num and t = 1 and was in ('', 'cashflow_unmapped', 'cash_and_equivalents', 'cash_and_equivalents_closing') then 'operating_cash_flow'
+    when was in ('cash_and_equivalents', 'cash_and_equivalents_closing') then case when t = 1 then 'operating_cash_flow' when t in (2, 3, 4) then 'capex' end end as new from r),
+g as (select *, coalesce(new, was) as metric, case when new is not null then greatest(coalesce(conf, 0), 3) else conf end as c, case when not cx then 'phrase_not_matched' when num then 'numeric_not_failed' when not pg then 'not_cashflow_page' when doc_type = 'quarterly' then 'statutory_mismatch' else '' end as block from f)
+"""
+_COUNTS = {
+    "rows": "true", "rows_on_page": "pg", "rows_off_page": "not pg", "numeric_rows": "num", "label_rows": "not num", "capex_phrase_match": "cx", "capex_numeric_failed": "cx and not num", "capex_on_page": "cx and pg", "capex_off_page": "cx and not pg", "capex_eligible": "block = ''",
+    "coerced": "metric <> was", "coerced_on_page": "metric <> was and pg", "unmapped": "metric in ('', 'cashflow_unmapped')", "confident": "c >= 3", "without_confidence": "c is null",
+    **{f"metric_{m}": f"metric = '{m}'" for m in ("capital_expenditure", "operating_cash_flow", "capex", "cash_and_equivalents", "cash_and_equivalents_opening", "cash_and_equivalents_closing")},
+    **{k: v for t in DOC_TYPES for k, v in ((f"doc_{t}", f"doc_type = '{t}'"), (f"capex_{t}", f"cx and doc_type = '{t}'"))},
+    "block_phrase_not_matched": "not cx", **{f"block_{b}": f"block = '{b}'" for b in ("numeric_not_failed", "not_cashflow_page", "statutory_mismatch")},
+}
+
+
+def identity_names(spark, d):
+    """Names of nations as companies: said in full, in short and bare by their customers, and one that all of a region claim."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    e = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(n, c("c_nationkey") == c("n_nationkey"))
+    k = c("c_custkey") % 4
+    name = F.when(k == 0, F.concat("n_name", F.lit("  Resources Limited"))).when(k == 1, F.concat(F.lit(" "), "n_name", F.lit(" Resources"))).when(k == 2, c("n_name")).otherwise(F.concat(F.lit("Shared Zone "), c("n_regionkey").cast("string")))
+    weight = F.when(k == 0, 30).when(k == 1, 20).when(k == 2, 10).otherwise(5)
+    return identity.identity_map(e.select(F.concat(F.lit("N"), c("n_nationkey").cast("string")).alias("ticker"), name.alias("name"), weight.alias("weight")))
+
+
+_IDENTITY = """with e as (select 'N' || cast(n_nationkey as varchar) as ticker, c_custkey % 4 as k, n_name as nn, case c_custkey % 4 when 0 then n_name || ' Resources Limited' when 1 then n_name || ' Resources' when 2 then n_name else 'Shared Zone ' || cast(n_regionkey as varchar) end as name, [30, 20, 10, 5][c_custkey % 4 + 1] as w
+  from customer join nation on c_nationkey = n_nationkey),
+s as (select ticker, k, nn, name, w + case when regexp_matches(lower(name), 'group limited|limited|ltd|group|holdings|corporation|bank|resources|mining') then 40 else 0 end + least(20, length(name) // 6) as score from e),
+g as (select ticker, k, nn, any_value(name) as name, sum(score) as score from s group by 1, 2, 3),
+f as (select *, case when k = 3 then 3 else min(case when k < 3 then k end) over (partition by ticker) end as root from g),
+t as (select *, case when k = root then sum(score) over (partition by ticker, root) else score end as total from f),
+m as (select *, max(total) over (partition by lower(name)) as most, count(*) over (partition by lower(name)) as claims from t),
+a as (select *, count(*) over (partition by lower(name)) as n_left from m where claims = 1 or total = most),
+r as (select *, row_number() over (partition by ticker order by (k <> root)::int, total desc, lower(name)) as rn from a where n_left = 1)
+select ticker, case when rn = 1 then 'canonical' else 'alias' end as kind, name, cast(total as bigint) as score from r"""
+
+MORE = {
+    "cash_counters": _CASH + " union all ".join(f"select '{k}' as name, count(*) filter (where {v}) as n from g" for k, v in _COUNTS.items()),
+    "cash_blocks": _CASH + "select doc_type, page, block as block_reason, count(*) as n_rows, count(*) filter (where block = '') as n_eligible from g group by 1, 2, 3",
+    "identity_names": _IDENTITY,
+}
+SQL |= MORE
+QUERIES |= {k: globals()[k] for k in MORE}
