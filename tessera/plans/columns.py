@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import articles as fa
 from ..functions import dates, numeric, text
 from ..functions import filings as ff
-from ..operators import filings, linking
+from ..operators import extract, filings, linking
 from .common import FACTS_SQL, facts, table
 from .texts import SQL as TEXTS_SQL
 
@@ -256,3 +256,74 @@ SQL = {
     "issue_multilabel": _ISSUES + "select metric, issue, count(*) as n_rows from (select metric, unnest(string_split(expected, ',')) as issue from iq) where issue <> '' group by 1, 2",
 }
 QUERIES = {k: globals()[k] for k in SQL}
+
+
+def column_period(spark, d):
+    """The columns of two dates' header, every third row with a day of its own."""
+    o = _orders(spark, d).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    before = F.date_format(F.last_day(F.add_months("day", -12)), "d MMMM yyyy")
+    cells = o.select("o_orderkey", "column", F.lit(2).alias("n_columns"), F.concat("said", F.lit(" "), before).alias("header"), F.lit("").alias("context"), F.lit("").alias("document_hint"), F.when(c("o_orderkey") % 3 == 0, "Cash at 30 June").otherwise("Cash").alias("label"))
+    return filings.column_periods(cells).select("o_orderkey", "column", c("period").alias("expected"))
+
+
+def repaired_ends(spark, d):
+    o = _orders(spark, d)
+    end = F.when(c("o_orderkey") % 3 == 0, c("day").cast("string")).otherwise(" ")
+    a = F.when(c("o_orderkey") % 3 == 1, F.concat(F.lit("Year ended "), "said")).otherwise("")
+    return o.select("o_orderkey", ff.repaired_end(end, a, F.concat(F.lit("FY"), F.date_format("day", "yy"))).alias("expected"))
+
+
+def feed_candidates(spark, d):
+    """The documents as items, some without address, title or time; ids made of address, title and time are given as a star."""
+    n = c("doc_id").cast("string")
+    url = F.when(c("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("https://www.x.com/p/"), n, F.lit("?utm_source=1")))
+    title = F.when(c("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit("T  "), n))
+    published = _pick("doc_id", F.lit("2024-01-02"), F.lit(""), F.lit("soon"), F.lit("1704164645"), F.lit("20240102030405"), F.lit("2024/01/02 03:04:05"), F.lit("2024-01-02T03:04:05Z"))
+    item = {"id": F.when(c("doc_id") % 2 == 0, n).otherwise(""), "title": title, "url": url, "body": c("text"), "description": c("lang"), "published": published, "source": c("source")}
+    r = table(spark, d, "documents").select("doc_id", fa.candidate("gdelt", item, F.lit("2024-01-03T00:00:00Z")).alias("x"))
+    made = F.concat(F.lit("gdelt_"), F.substring(F.sha1(F.concat_ws("|", "x.canonical_url", "x.title", "x.published_at")), 1, 24))
+    return r.select("doc_id", "x.reject_reason", F.when(c("x.provider_item_id") == made, "*").otherwise(c("x.provider_item_id")).alias("item_id"), "x.canonical_url", "x.title", "x.published_at")
+
+
+def linked_bodies(spark, d):
+    p = table(spark, d, "pages")
+    n = c("page_id").cast("string")
+    html = F.concat(F.lit('<script>{"articleBody": "short"} {"@id": 1, "articleBody" : "Body '), n, F.lit(' says \\"'), F.regexp_extract("url", r"//([^/?#:]+)", 1), F.lit('\\"\\nand more"}</script>'), "html")
+    return p.select("page_id", fa.jsonld_body(html).alias("expected"))
+
+
+def page_descriptions(spark, d):
+    p = table(spark, d, "pages")
+    said = F.concat(F.lit("Page "), c("page_id").cast("string"), F.lit(" &amp; "), F.repeat(F.lit("more "), 60), F.lit("words"))
+    return p.select("page_id", fa.meta_description(F.concat(F.lit('<META property="og:description" content="'), said, F.lit('">'), "html")).alias("expected"))
+
+
+def parsed_lines(spark, d):
+    o = _orders(spark, d)
+    line = _pick("o_orderkey", F.concat(F.lit("Total revenue $"), "figure", F.lit(" in the year ended "), "said"), F.concat(F.lit("Statutory EBITDA of $"), "figure", F.lit(" for FY"), F.date_format("day", "yy")), F.concat(F.lit("Gross margin was "), (c("price") % 90 + 10).cast("string"), F.lit(".5% in "), F.year("day").cast("string")))
+    return extract.parsed_lines(o.withColumn("line", line)).select("o_orderkey", "metric", "variant", "value_type", "value", "period")
+
+
+def title_split(spark, d):
+    """Whole documents behind a title that is given as well."""
+    t = table(spark, d, "documents").where("text is not null")
+    title = F.concat(F.lit("Heading of number "), c("doc_id").cast("string"))
+    r = t.select("doc_id", fa.title_and_body(F.concat(title, F.lit(" "), "text"), title).alias("t"))
+    return r.select("doc_id", "t.title", F.sha1("t.body").alias("body_sha1"))
+
+
+_PREVIOUS = "last_day(day - interval 1 year)"
+MORE = {
+    "column_period": _O + f"select o_orderkey, cast(col as int) as \"column\", case when o_orderkey % 3 = 0 then cast(year(case col when 0 then day else {_PREVIOUS} end) as varchar) || '-06-30' else strftime(case col when 0 then day else {_PREVIOUS} end, '%Y-%m-%d') end as expected from x, (values (0), (1)) as v(col)",
+    "repaired_ends": _O + "select o_orderkey, case when o_orderkey % 3 < 2 then cast(day as varchar) else cast(year(day) as varchar) || '-12-31' end as expected from x",
+    "feed_candidates": """with i as (select doc_id, case when doc_id % 3 = 0 then '' else 'https://x.com/p/' || cast(doc_id as varchar) end as canonical_url, case when doc_id % 5 = 0 then '' else 'T ' || cast(doc_id as varchar) end as title,
+  case doc_id % 7 when 0 then '2024-01-02T00:00:00Z' when 1 then null when 2 then null else '2024-01-02T03:04:05Z' end as published_at from documents),
+r as (select *, case when canonical_url = '' and title = '' then 'missing_identity' when doc_id % 7 = 1 then 'missing_published_at' when doc_id % 7 = 2 then 'invalid_published_at' end as reject_reason from i)
+select doc_id, reject_reason, case when reject_reason is null then case when doc_id % 2 = 0 then cast(doc_id as varchar) else '*' end end as item_id, canonical_url, title, published_at from r""",
+    "linked_bodies": "select page_id, 'Body ' || cast(page_id as varchar) || ' says \"' || regexp_extract(url, '//([^/?#:]+)', 1) || '\" and more' as expected from pages",
+    "page_descriptions": "select page_id, 'Page ' || cast(page_id as varchar) || ' & ' || repeat('more ', 60) || 'words' as expected from pages",
+    "parsed_lines": _O + "select o_orderkey, " + _by("o_orderkey", "'revenue'", "'ebitda'", "'gross_margin_pct'") + " as metric, " + _by("o_orderkey", "''", "'statutory'", "''") + " as variant, " + _by("o_orderkey", "'amount'", "'amount'", "'percent'") + " as value_type, " + _by("o_orderkey", "cast(price as double)", "cast(price as double)", "price % 90 + 10.5") + " as value, " + _by("o_orderkey", "'year ended ' || said", "'FY' || strftime(day, '%y')", "cast(year(day) as varchar)") + " as period from x",
+    "title_split": r"select doc_id, 'Heading of number ' || cast(doc_id as varchar) as title, sha1(trim(regexp_replace(text, '\s+', ' ', 'g'))) as body_sha1 from documents where text is not null",
+}
+SQL |= MORE
+QUERIES |= {k: globals()[k] for k in MORE}
