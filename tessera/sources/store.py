@@ -122,6 +122,7 @@ class Commit:
         for p in staged:
             held["parts"].pop(p, None)
         held["parts"].update({p: [folder] for p, folder in made.items()})
+        self.store.fs.delete(self.store.path(f"{root}/{next(iter(staged.values())).rpartition('/')[0]}"), True)  # what was aside is in the rows by now
         return sorted(staged)
 
     def merge(self, table: str, incoming: DataFrame, by: Column, key: list[str], ordinal: str, kept: tuple[str, ...] = ()) -> list[str]:

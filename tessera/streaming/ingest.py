@@ -106,19 +106,21 @@ def ingest_window(store: Store, items: DataFrame, provider: str, window: tuple[s
     commit = store.begin(token or f"{run_id}|{provider}|{window[0]}|{window[1]}")
     if commit is None:
         return False
-    p = written(parsed(items, provider), "window")
+    whole = parsed(items, provider)
+    p = written(whole.drop("title", "body"), "window")  # texts are read again where they are needed, not written twice
     rejects, good = p.where("reject_reason is not null"), p.where("reject_reason is null")
     known = store.read("article_keys")
     at = written(resolved(good, known), "window")
-    rows = good.join(at, "ord").dropDuplicates(["ord"])
+    rows = whole.where("reject_reason is null").join(at.dropDuplicates(["ord"]), "ord").dropDuplicates(["ord"])
+    thin = good.join(at, "ord").dropDuplicates(["ord"])
     fresh = rows.select("article_id", "ord", "provider_item_id", "canonical_url", "title", "body", "source_name", F.lit(provider).alias("provider"), F.lit(rank).alias("provider_rank"), "fetched_at", c("published_at").alias("first_published"), "published_at", "exact_key", F.lit(1).cast("long").alias("n_seen"))
     fresh = enrich(fresh) if enrich else fresh
     commit.change("articles", fresh, bucket("article_id", of=of), _survivors)
-    keys = rows.select("article_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c(f"{k}_key").alias("value")) for k in KINDS])).alias("k")).select("k.kind", "k.value", "article_id").where("value is not null").distinct()
+    keys = thin.select("article_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c(f"{k}_key").alias("value")) for k in KINDS])).alias("k")).select("k.kind", "k.value", "article_id").where("value is not null").distinct()
     commit.merge("article_keys", keys, bucket("kind", "value", of=of), ["kind", "value"], "article_id", ("article_id",))
-    versions = rows.select("article_id", "exact_key", "ord", F.lit(0).alias("version"))
+    versions = thin.select("article_id", "exact_key", "ord", F.lit(0).alias("version"))
     commit.change("versions", versions, bucket("article_id", of=of), lambda old, new: old.unionByName(stores.next_versions(old, new.drop("version"), "article_id", "exact_key", "ord").select(*old.columns)))
-    touched = rows.select("article_id").distinct()
+    touched = thin.select("article_id").distinct()
     now = _touched(commit, "articles", touched)
     said = now.select("article_id", F.concat_ws("\n", "title", "body").alias("text"))
     numbered = said.withColumn("number", F.xxhash64("article_id"))
