@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .. import session
+from .. import session, streaming
 from ..sources import feeds, files
 from .common import table
 
@@ -80,6 +80,34 @@ def stream_dedupe_windows(spark, d):
     return kept.groupBy("day", "event_type").agg(F.count("*").alias("n_users"))
 
 
+def _streamed(spark, rows, name, change, mode="append"):
+    """What a stream of rows, changed, writes batch by batch; the rows are a file of the shared folder."""
+    folder = f"{session.scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    session.keep_until_exit(spark, folder)
+    out = change(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+
+    def write(part, number):
+        part.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def stream_first_seen(spark, d):
+    """The documents as a stream of articles without addresses: the texts of those that are let through, each once."""
+    t = table(spark, d, "documents")
+    rows = t.select(F.lit(None).cast("string").alias("url"), c("lang").alias("title"), c("text").alias("body"), F.timestamp_seconds(F.lit(1_700_000_000) + c("doc_id") % 86_400).alias("published"))
+    return _streamed(spark, rows, "seen", streaming.first_seen).select("exact_key")
+
+
+def stream_daily_counts(spark, d):
+    """The events as a stream of articles, counted by day and kind as they come; the last count of each stands."""
+    rows = table(spark, d, "events").select(c("ts").cast("timestamp").alias("published"), c("event_type").alias("source"))
+    out = _streamed(spark, rows, "days", streaming.daily_counts, "update")
+    return out.groupBy(c("day").cast("date").alias("day"), "source").agg(F.max("n_articles").alias("n_articles"))
+
+
 SQL = {
     "feed_items": "select page_id, 'Page & ' || cast(page_id as varchar) as title, 'http://x.com/p/' || cast(page_id as varchar) as url, '2024-01-02 03:04:05' as published, 'Bold text ' || cast(page_id as varchar) as summary from pages",
     "chart_prices": "select cast(user_id as varchar) as symbol, 'AUD' as currency, count(*) as n, min(date_trunc('second', ts)) as first_ts, max(date_trunc('second', ts)) as last_ts, max(value) as high, 0 as n_volume from events where value is not null group by 1",
@@ -87,6 +115,8 @@ SQL = {
     "market_announcements": "select 'C' || cast(o_custkey as varchar) as ticker, 'A title' as title, 'u' || cast(o_orderkey as varchar) as url, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_custkey % 2 = 0 and o_custkey in (select c_custkey from customer) and year(o_orderdate) = 1995",
     "universe_lines": "select distinct 'C' || cast(c_custkey % 700 as varchar) as ticker from customer",
     "identity_rows": "select 'N' || cast(n_nationkey as varchar) as ticker, 'canonical_names' as kind, n_name as name from nation union all select 'N' || cast(n_nationkey as varchar), 'aliases', 'A' || cast(n_nationkey as varchar) from nation",
+    "stream_first_seen": "select distinct sha256(trim(regexp_replace(regexp_replace(lower(concat_ws(chr(10), lang, text)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) as exact_key from documents",
+    "stream_daily_counts": "select cast(ts as date) as day, event_type as source, count(*) as n_articles from events group by 1, 2",
     "stream_dedupe_windows": "select cast(ts as date) as day, event_type, count(distinct user_id) as n_users from events group by 1, 2",
 }
 QUERIES = {k: globals()[k] for k in SQL}
