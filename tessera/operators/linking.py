@@ -166,6 +166,20 @@ def identity_strength(symbol: Column, title: Column, body: Column, names: Column
     )
 
 
+def competing(candidates: DataFrame) -> DataFrame:
+    """(item_id, kept, ambiguous, strong, medium, n_ambiguous, weak, none) of the symbols that an item may be about.
+
+    candidates: item_id, ticker, title, body, names, source_is_au. Symbols of strong or
+    medium identity are kept, in order; ambiguous ones are named apart; all are counted by
+    strength. Counts are made before symbols are gathered, a few an item.
+    """
+    c = F.col
+    s = candidates.select("item_id", "ticker", identity_strength(c("ticker"), c("title"), c("body"), c("names"), c("source_is_au")).alias("s")).distinct()
+    of = lambda *kinds: F.array_sort(F.collect_set(F.when(c("s").isin(*kinds), c("ticker"))))
+    counts = {"strong": "strong", "medium": "medium", "n_ambiguous": "ambiguous", "weak": "weak", "none": "none"}
+    return s.groupBy("item_id").agg(of("strong", "medium").alias("kept"), of("ambiguous").alias("ambiguous"), *[F.count_if(c("s") == kind).alias(name) for name, kind in counts.items()])
+
+
 def match_rank(blob: Column, title: Column, body: Column, symbol: Column) -> Column:
     """1 if the article's own tickers hold the symbol, 2 with the exchange's mark, 3 between other signs, else 0."""
     payload = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.substring(F.coalesce(body, F.lit("")), 1, 2500))
