@@ -213,6 +213,33 @@ def write_index(spark: SparkSession, folder: str) -> None:
     scan_files(spark, folder).write.parquet(f"{folder}/index")
 
 
+def read_at(wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of rows of the index (file, offset, bytes): each record alone is read from its place and its checksums verified.
+
+    A file's records are read by one task in order of place, so it's opened once; files may
+    lie in any store that pyarrow's file systems reach. No rows give none.
+    """
+
+    def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        name, stream = None, None
+        for part in parts:
+            keys, rows = [], []
+            for file, offset, size in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                if file != name:
+                    if stream:
+                        stream.close()
+                    system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
+                    name, stream = file, system.open_input_file(path)
+                doc_id, ids = unpack(unframe(stream.read_at(size, offset), 0)[0])
+                keys.append(doc_id)
+                rows.append(ids.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(rows, type=pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return wanted.select("file", "offset", "bytes").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(scan, "doc_id long, ids array<int>")
+
+
 def starts(index: DataFrame, block: int = 4096) -> DataFrame:
     """(shard, base): tokens of all shards before each. Sums run within blocks of shards, then over the blocks, so no task sees all shards."""
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))

@@ -620,3 +620,13 @@ def test_decontamination_in_slices(spark, medium):
     assert found(parts) == found(whole)
     assert parts.columns == whole.columns == ["doc_id", "text", "h1", "matches"]
     assert parts._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0
+
+
+def test_records_are_read_at_their_places(spark, medium, tmp_path):
+    docs = spark.read.parquet(f"{medium}/documents.parquet").where("doc_id % 3 = 0").withColumn("offset", F.lit("x"))
+    folder = records.write(docs, f"file://{tmp_path}/r", shard_chars=100_000)
+    index = spark.read.schema(records.INDEX).parquet(f"{folder}/index")
+    some = index.where("doc_id % 7 = 0")
+    got = {r.doc_id: zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) for r in records.read_at(some).collect()}
+    assert got == {r.doc_id: r.ids_crc32 for r in some.collect()} and len(got) > 40
+    assert records.read_at(index.where("false")).count() == 0
