@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filings import forensic_summary, period_classes
+
 c = F.col
 
 # Headings of statements, what leaves a page out, what a cash flow statement goes on with, and headings of notes.
@@ -72,3 +74,19 @@ def cash_stops(marked: DataFrame) -> DataFrame:
     for here, stop in reversed(list(zip(there, stops, strict=True))):
         reason = F.when(~here, "max_pages").when(stop.isNotNull(), stop).otherwise(reason)
     return marked.withColumn("reason", reason).where("h_cash_flow").select("file", "page", "reason")
+
+
+def layer_comparison(before: DataFrame, more: DataFrame) -> DataFrame:
+    """(name, before, after, delta) of the forensic counts of metric rows (period, metric, conf) without and with those that a section layer adds.
+
+    Rows of a metric and period that are there already add nothing. A structural pattern counts as one.
+    """
+    new = more.join(before.select("period", "metric").distinct(), ["period", "metric"], "left_anti")
+
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        s = forensic_summary(period_classes(rows))
+        every = F.array(*[F.struct(F.lit(k).alias("name"), c(k).cast("long").alias(name)) for k in s.columns])
+        return s.select(F.explode(every).alias("x")).select("x.*")
+
+    both = counts(before, "before").join(counts(before.unionByName(new), "after"), "name")
+    return both.withColumn("delta", c("after") - c("before"))
