@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, connected_components
+from .common import Workspace, connected_components, shuffled
 
 
 def plan(rows: int, threshold: float, recall: float = 0.995, bucket: int = 1024) -> tuple[int, int]:
@@ -128,7 +128,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, crowded: int = 4
     coded = work.save(classes.select("id", F.col("copies").alias("w"), "v", coded_as("v").alias("c")).select("id", "w", "v", "c.codes", "c.signs"), "coded")
     spots = coded.select("id", F.size("v").alias("size"), F.posexplode("codes").alias("table", "code"))
     full = spots.groupBy("size", "table", "code").agg(F.count("*").alias("m")).where("m > 1")
-    held = spots.join(full, ["size", "table", "code"]).select("id", "table", "code", "size", F.ceil(F.col("m") / crowded).cast("int").alias("g"))
+    held = spots.join(shuffled(full), ["size", "table", "code"]).select("id", "table", "code", "size", F.ceil(F.col("m") / crowded).cast("int").alias("g"))
     mine = F.pmod(F.col("id"), F.col("g").cast("long")).cast("int")
     dealt = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = dealt.select("id", "table", "code", "size", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))

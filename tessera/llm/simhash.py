@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, spare
+from .common import Workspace, connected_components, shuffled, spare
 
 SEED = 42
 
@@ -150,7 +150,7 @@ def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None,
         coded.append(F.struct(F.lit(n).alias("n"), code.alias("code")))
     keyed = prints.select("fp", F.explode(F.array(*coded)).alias("k")).select("fp", "k.n", "k.code")
     shared = keyed.groupBy("n", "code").agg(F.count("*").alias("m")).where("m > 1")
-    held = keyed.join(shared, ["n", "code"]).withColumn("g", F.ceil(F.col("m") / together).cast("int"))
+    held = keyed.join(shuffled(shared), ["n", "code"]).withColumn("g", F.ceil(F.col("m") / together).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("g").cast("long")).cast("int")
     dealt = held.select("fp", "n", "code", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
     dealt = dealt.select("fp", "n", "code", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
@@ -190,11 +190,11 @@ def components(docs: DataFrame, distance: int = 4) -> DataFrame:
     prints = work.save(fingerprints(docs), "prints")
     classes = work.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     linked = connected_components(near_links(classes.select("fp"), distance))
-    roots = classes.join(linked, classes.fp == linked.id, "left").select("fp", F.coalesce("component", "fp").alias("root"), "first")
+    roots = classes.join(shuffled(linked), classes.fp == linked.id, "left").select("fp", F.coalesce("component", "fp").alias("root"), "first")
     roots = work.save(roots, "roots")
     firsts = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(firsts, "root").select("fp", "component_id", "root")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+    named = roots.join(shuffled(firsts), "root").select("fp", "component_id", "root")
+    return prints.join(shuffled(named), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -215,10 +215,10 @@ def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
     lone = found.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(key), F.col("fp").alias(mine), F.col("root").alias(first)).distinct()
     several = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.bool_or(F.expr("doc_id = component_id")).alias("stays")).where("stays")
     # documents with one fingerprint need no second look at it
-    plain = docs.join(several.where("low = high").select(key), docs["doc_id"] == F.col(key))
+    plain = docs.join(shuffled(several.where("low = high").select(key)), docs["doc_id"] == F.col(key))
     named = plain.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy("text"))).where(F.col(rank) == 1).select(*docs.columns)
-    mixed = docs.join(several.where("low < high").select(key), docs["doc_id"] == F.col(key), "left_semi")
+    mixed = docs.join(shuffled(several.where("low < high").select(key)), docs["doc_id"] == F.col(key), "left_semi")
     mixed = mixed.unionByName(docs.where("doc_id is null")).withColumn(mine, _fingerprint_udf()("text"))
-    mixed = mixed.join(lone, [mixed[mine] == lone[mine], mixed["doc_id"].eqNullSafe(lone[key])]).drop(lone[mine])
+    mixed = mixed.join(shuffled(lone), [mixed[mine] == lone[mine], mixed["doc_id"].eqNullSafe(lone[key])]).drop(lone[mine])
     best = Window.partitionBy("doc_id", first).orderBy(mine, "text")
     return named.unionByName(mixed.withColumn(rank, F.row_number().over(best)).where(F.col(rank) == 1).select(*docs.columns))

@@ -284,3 +284,10 @@ def test_fingerprint_is_stable_over_partitions(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     one = simhash.fingerprints(docs.coalesce(1)).agg(F.sum(F.col("fp").cast("decimal(38,0)"))).first()[0]
     assert one == simhash.fingerprints(docs.repartition(7)).agg(F.sum(F.col("fp").cast("decimal(38,0)"))).first()[0]
+
+
+def test_groups_of_keys_are_not_broadcast(spark, tmp_path):
+    # the table's size says little of its keys: each fingerprint has 35 of them or more
+    spark.range(5000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    links = simhash.near_links(spark.read.parquet(str(tmp_path / "fps")))
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
