@@ -2,6 +2,8 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tessera.operators import tables
 
 
@@ -84,3 +86,12 @@ def test_pairs_are_those_of_brute_force(spark):
         df = spark.createDataFrame(rows, "sheet long, idx long, y double, x0 double, is_label boolean, is_number boolean").repartition(5)
         assert {tuple(r) for r in tables.paired_rows(df, tolerance).collect()} == slow_pairs(rows, tolerance, 0.6)
     assert tables.paired_rows(df.where("false"), 1.0).count() == 0
+
+
+def test_texts_are_searched_once(spark):
+    from tessera.functions import dates, numeric
+
+    words = spark.range(1).select(F.concat(F.lit("$"), F.col("id").cast("string")).alias("x"))
+    plan = lambda column: words.select(column)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(numeric.numeric_word(F.col("x"))).count("regexp_extract(") <= 6
+    assert plan(dates.period_end(F.col("x"))).count("regexp_extract_all(") <= 4
