@@ -74,8 +74,8 @@ def rejections(items: DataFrame, reasons: tuple[str, ...] = (), samples: int = 5
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """The last run of every document, by time and then id."""
-    return runs.withColumn("_rn", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("created_at"), F.desc("run_id")))).where("_rn = 1").drop("_rn")
+    """The last run of every document, by time and then id; of equal ones that of the least status, so that every run of the query gives the same."""
+    return runs.withColumn("_rn", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("created_at"), F.desc("run_id"), "status"))).where("_rn = 1").drop("_rn")
 
 
 def structured_coverage(documents: DataFrame, runs: DataFrame) -> DataFrame:

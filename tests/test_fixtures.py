@@ -202,3 +202,13 @@ def test_links_by_automaton_are_those_of_equality(spark, small):
     both = [linking.links(docs.unionByName(odd), names, names.select("ticker").distinct(), held=h) for h in (200_000, 1)]
     got, want = (sorted(map(tuple, r.collect()), key=str) for r in both)
     assert got == want and len([r for r in got if r[0] == -1]) > 4
+
+
+def test_runs_of_one_time_and_id_give_one_answer(spark):
+    from tessera.operators import reports
+
+    docs = spark.createDataFrame([(1, "sha"), (2, "sha")], "document_id long, pdf_sha256 string")
+    rows = [(1, 11, P, "ok"), (1, 11, P, "Failed"), (2, 21, P, "Failed"), (2, 21, P, "ok")]
+    for order in (rows, rows[::-1]):
+        runs = spark.createDataFrame(order, "document_id long, run_id long, created_at string, status string").coalesce(1)
+        assert reports.structured_coverage(docs, runs).first()["latest_failed"] == 2
