@@ -204,6 +204,33 @@ def test_links_by_automaton_are_those_of_equality(spark, small):
     assert got == want and len([r for r in got if r[0] == -1]) > 4
 
 
+@pytest.mark.parametrize("held", [200_000, 1])
+def test_counted_links_are_those_of_single_mentions(spark, small, held):
+    from tessera.operators import linking
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id as article_id", "text")
+    odd = spark.createDataFrame([(-1, "the of the ASX: T1"), (-1, "the  of\n the der"), (-1, "the"), (None, "the (T2.AX)"), (None, "der"), (-2, None)], "article_id long, text string")
+    words = ["the", "of the", "and the on", "la", "de la", "der", "o'brien"]
+    names = spark.createDataFrame([(f"T{k % 3}", w) for k, w in enumerate([*words, *words[1:]])], "ticker string, alias string")
+    given = docs.unionByName(odd), names, names.select("ticker").distinct()
+    seen = [(r.ticker, r.method, r.article_id, r.span_start, r.span_end) for r in linking.links(*given).collect()]
+    want = {g: (len(of := [x for x in seen if x[:2] == g]), len({x[2] for x in of} - {None}), sum(x[3] for x in of), sum(x[4] for x in of)) for g in {x[:2] for x in seen}}
+    got = linking.counted_links(*given, held=held).collect()
+    assert {(r.ticker, r.method): (r.n_hits, r.n_articles, r.starts, r.ends) for r in got} == want and len(got) == len(want) > 4
+    assert {r.method: (r.precise, r.broad) for r in got}.items() <= linking.CONFIDENCE.items()
+
+
+def test_only_links_sure_enough_are_looked_for(spark):
+    from tessera.operators import linking
+
+    articles = spark.createDataFrame([(1, "acme and shared of T1, ASX: T2")], "article_id long, text string")
+    names = spark.createDataFrame([("T1", "acme"), ("T1", "shared"), ("T2", "shared")], "ticker string, alias string")
+    for held in (200_000, 1):
+        found = [linking.links(articles, names, names.select("ticker").distinct(), held, least=k) for k in (0.0, 0.7)]
+        every, sure = (sorted(map(tuple, f.collect()), key=str) for f in found)
+        assert sure == [r for r in every if r[-1] >= 0.7] and len(sure) == 2 < len(every)
+
+
 def test_runs_of_one_time_and_id_give_one_answer(spark):
     from tessera.operators import reports
 
