@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 c = F.col
 
 
@@ -222,10 +224,19 @@ def provider_probe(items: DataFrame) -> DataFrame:
 
 
 def templates(rows: DataFrame, newest: int) -> DataFrame:
-    """(ticker, file, metric, period, scope, value): of each ticker's newest files the first row of each (metric, period, scope)."""
-    f = rows.select("ticker", "file", "day").distinct()
-    f = f.withColumn("_n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("day"), F.desc("file")))).where(c("_n") <= newest).select("ticker", "file")
-    first = rows.groupBy("ticker", "file", "metric", "period", "scope").agg(F.min_by("value", "line_no").alias("value"))
+    """(ticker, file, metric, period, scope, value): of each ticker's newest files the first row of each (metric, period, scope).
+
+    A ticker's newest files lie on its newest days, so files are ranked of those days alone
+    and rows are grouped of the files found; both are few beside the rows.
+    """
+
+    def first_of(keys: DataFrame, *order) -> DataFrame:
+        return keys.distinct().withColumn("_n", F.row_number().over(Window.partitionBy("ticker").orderBy(*order))).where(c("_n") <= newest).drop("_n")
+
+    days = written(first_of(rows.select("ticker", "day"), F.desc("day")), "days").select(c("ticker").alias("_ticker"), c("day").alias("_day"))
+    late = rows.select("ticker", "file", "day").join(days, (c("ticker") == c("_ticker")) & c("day").eqNullSafe(c("_day")), "left_semi")
+    f = written(first_of(late, F.desc("day"), F.desc("file")).select("ticker", "file"), "files")
+    first = rows.join(f, ["ticker", "file"], "left_semi").groupBy("ticker", "file", "metric", "period", "scope").agg(F.min_by("value", "line_no").alias("value"))
     return first.join(f, ["ticker", "file"])
 
 
