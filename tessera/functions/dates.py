@@ -57,19 +57,23 @@ def _parts(label: Column) -> Column:
     return _date(F.regexp_extract(label, words, 1), F.regexp_extract(label, words, 2), F.regexp_extract(label, words, 3))
 
 
+def _dates_by_form(s: Column) -> list[Column]:
+    """Dates written out in a text as an array for each form, nulls where there's no such day."""
+    part = lambda n: F.regexp_extract(s, TWO_DATES, n)
+    pair = F.when(s.rlike(TWO_DATES), F.array(_date(part(1), part(2), part(5)), _date(part(3), part(4), part(6)))).otherwise(F.array().cast("array<date>"))
+    return [F.transform(F.regexp_extract_all(s, F.lit(DATE), 0), _parts), F.transform(F.regexp_extract_all(s, F.lit(LOOSE_DATE), 0), _parts), pair]
+
+
 def explicit_dates(text: Column) -> Column:
     """Distinct dates written out in a text: plain ones first, then those with blanks in the month, then the four of "31 March 31 December 2025 2024"."""
     s, none = F.coalesce(text, F.lit("")), F.array().cast("array<date>")
-    plain = F.transform(F.regexp_extract_all(s, F.lit(DATE), 0), _parts)
-    loose = F.transform(F.regexp_extract_all(s, F.lit(LOOSE_DATE), 0), _parts)
-    part = lambda n: F.regexp_extract(s, TWO_DATES, n)
-    pair = F.when(s.rlike(TWO_DATES), F.array(_date(part(1), part(2), part(5)), _date(part(3), part(4), part(6)))).otherwise(none)
-    return F.when(s.rlike("20[0-9]{2}"), F.array_distinct(F.array_compact(F.concat(plain, loose, pair)))).otherwise(none)
+    return F.when(s.rlike("20[0-9]{2}"), F.array_distinct(F.array_compact(F.concat(*_dates_by_form(s))))).otherwise(none)
 
 
 def named_date(text: Column) -> Column:
-    """The first date written out in a text, or null."""
-    return F.try_element_at(explicit_dates(text), F.lit(1))
+    """The first date written out in a text, or null; rarer forms are looked for only where the plain one isn't there."""
+    s = F.coalesce(text, F.lit(""))
+    return F.when(s.rlike("20[0-9]{2}"), F.coalesce(*[F.try_element_at(F.array_compact(d), F.lit(1)) for d in _dates_by_form(s)]))
 
 
 def quarter_label(text: Column) -> Column:

@@ -11,6 +11,7 @@ from ..functions import articles as fa
 from ..functions import dates, numeric, text
 from ..functions import filings as ff
 from ..operators import extract, filings, linking
+from ..session import spread
 from .common import FACTS_SQL, facts, table
 from .texts import SQL as TEXTS_SQL
 
@@ -19,7 +20,7 @@ c = F.col
 
 def _orders(spark, d):
     """Orders with a day of this century, a whole price and the price with separators."""
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_totalprice"), "o_orderkey")
     return o.select("o_orderkey", "o_custkey", c("o_orderpriority").alias("prio"), F.add_months("o_orderdate", 120).alias("day"), F.round("o_totalprice").cast("long").alias("price")).withColumns({"said": F.date_format("day", "d MMMM yyyy"), "figure": F.format_number("price", 0)})
 
 
