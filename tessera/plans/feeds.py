@@ -98,7 +98,7 @@ def stream_first_seen(spark, d):
     """The documents as a stream of articles without addresses: the texts of those that are let through, each once."""
     t = table(spark, d, "documents")
     rows = t.select(F.lit(None).cast("string").alias("url"), c("lang").alias("title"), c("text").alias("body"), F.timestamp_seconds(F.lit(1_700_000_000) + c("doc_id") % 86_400).alias("published"))
-    return _streamed(spark, rows, "seen", streaming.first_seen).select("exact_key")
+    return _streamed(spark, rows, "seen", lambda stream: streaming.first_seen(stream).select("exact_key")).select("exact_key")  # texts stay behind where their keys are made
 
 
 def stream_daily_counts(spark, d):
