@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import short_batches
+
 TOKEN = "[a-z0-9_]+"
 
 
@@ -67,6 +69,7 @@ def in_blocks(docs: DataFrame, queries: DataFrame, key: str, query_key: str, col
 
     Each block of queries is one pass over docs, from which a few rows a query and task are shuffled.
     """
+    short_batches(docs.sparkSession)
     found = None
     for block in query_blocks(queries, query_key, *columns):
         one = best_of_task(docs, key, block["query"].to_numpy(), make(block), k, digits, group)

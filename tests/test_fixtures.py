@@ -239,3 +239,53 @@ def test_runs_of_one_time_and_id_give_one_answer(spark):
     for order in (rows, rows[::-1]):
         runs = spark.createDataFrame(order, "document_id long, run_id long, created_at string, status string").coalesce(1)
         assert reports.structured_coverage(docs, runs).first()["latest_failed"] == 2
+
+
+def test_templates_group_rows_of_the_newest_files_alone(spark, tmp_path):
+    from tessera.operators import reports
+
+    rows = [("A", 1, 5, "m", 9, 1.0), ("A", 1, 5, "m", 2, 2.0), ("A", 2, 5, "m", 1, 3.0), ("A", 3, 7, "m", 1, 4.0), ("A", 3, 4, "n", 1, 5.0), ("A", 4, 1, "m", 1, 6.0), ("B", 5, None, "m", 1, 7.0), ("B", 6, 2, "m", 1, 8.0)]
+    r = spark.createDataFrame(rows, "ticker string, file long, day int, metric string, line_no long, value double").selectExpr("*", "2024 as period", "'s' as scope")
+    t = reports.templates(r, 2)
+    assert sorted((x.ticker, x.file, x.metric, x.value) for x in t.collect()) == [("A", 2, "m", 3.0), ("A", 3, "m", 4.0), ("A", 3, "n", 5.0), ("B", 5, "m", 7.0), ("B", 6, "m", 8.0)]
+    assert "LeftSemi" in t._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_go_to_searches_in_short_batches(spark):
+    from tessera.operators import retrieval
+
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "10000")
+        docs = spark.createDataFrame([(k, f"w{k} x") for k in range(9)], "doc_id long, text string")
+        asked = spark.createDataFrame([(1, "w3 x")], "item_id long, text string")
+        assert retrieval.tfidf_top(docs, asked, "doc_id", "item_id", "text", 1).first().doc_id == 3
+        assert int(spark.conf.get(size)) <= 1000
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_orders_of_line_rules_are_spread_over_the_cores(spark, small):
+    from tessera.plans import columns
+
+    assert columns._orders(spark, small).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_first_seen_stream_writes_no_texts(spark, small, monkeypatch):
+    from tessera.plans import feeds
+
+    made = []
+    monkeypatch.setattr(feeds, "_streamed", lambda spark, rows, name, change, mode="append": made.append(change(spark.readStream.format("rate").load().selectExpr("cast(null as string) as url", "'t' as title", "'b' as body", "timestamp as published"))) or made[0])
+    assert feeds.stream_first_seen(spark, small).columns == ["exact_key"] == made[0].columns
+    assert made[0].isStreaming
+
+
+def test_first_named_date_is_that_of_all_dates(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import dates
+
+    said = ["Year ended 31 March 2024", "1 Ma rch 2024 and 2 April 2023", "31 March 31 December 2025 2024", "31 February 2024, 5 M a y 2021", "40 May 2020", "FY24", "", None]
+    r = spark.createDataFrame([(x,) for x in said], "x string").select(dates.named_date(F.col("x")).alias("a"), F.try_element_at(dates.explicit_dates(F.col("x")), F.lit(1)).alias("b")).collect()
+    assert [x.a for x in r] == [x.b for x in r] and sum(x.a is not None for x in r) == 4
