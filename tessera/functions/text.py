@@ -24,7 +24,7 @@ def normalize_space(x: Column) -> Column:
 
 def normalize_text(x: Column) -> Column:
     """Lower case, letters a-z, digits and single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9 ]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\P{Alnum}+", " "))  # several times as fast as [^a-z0-9]
 
 
 def words(x: Column) -> Column:
@@ -37,9 +37,18 @@ def exact_hash(*parts: Column) -> Column:
 
 def near_key(title: Column, body: Column) -> Column:
     """Near-duplicate key: openings of title and body and the first tokens."""
-    t, b = normalize_text(title), normalize_text(body)
-    first = F.array_join(F.slice(F.split(b, " "), 1, 80), " ")
-    return F.sha1(F.concat_ws("|", F.substring(t, 1, 220), F.substring(b, 1, 320), first))
+    return near_of(normalize_text(title), normalize_text(body))
+
+
+def exact_of(title: Column, body: Column) -> Column:
+    """``exact_hash`` of a title and a body that are normalised."""
+    return F.sha2(F.trim(F.concat_ws(" ", title, body)), 256)
+
+
+def near_of(title: Column, body: Column) -> Column:
+    """``near_key`` of a title and a body that are normalised."""
+    first = F.substring_index(body, " ", 80)
+    return F.sha1(F.concat_ws("|", F.substring(title, 1, 220), F.substring(body, 1, 320), first))
 
 
 def ascii_ratio(x: Column) -> Column:

@@ -31,11 +31,12 @@ ITEM = ("id", "title", "description", "body", "url", "published", "source")
 def parsed(items: DataFrame, provider: str) -> DataFrame:
     """items (of ``ITEM``, fetched_at) with ``ord``, the candidate's fields, its keys and ``reject_reason``; ord follows time, id and address."""
     p = items.withColumn("p", articles.candidate(provider, {k: c(k) for k in ITEM}, c("fetched_at"))).select("id", "url", "fetched_at", "p.*")
+    p = p.withColumns({"_t": text.normalize_text(c("title")), "_b": text.normalize_text(c("body"))})
     p = p.withColumns({
-        "url_key": F.nullif("canonical_url", F.lit("")), "exact_key": text.exact_hash(c("title"), c("body")), "near_key": text.near_key(c("title"), c("body")),
+        "url_key": F.nullif("canonical_url", F.lit("")), "exact_key": text.exact_of(c("_t"), c("_b")), "near_key": text.near_of(c("_t"), c("_b")),
         "ord": F.concat_ws("|", F.coalesce("published_at", F.lit("")), F.coalesce("provider_item_id", "id", F.lit("")), F.coalesce("url", F.lit(""))),
     })
-    return p.withColumn("own_id", F.sha1(F.concat_ws("|", F.lit(provider), "provider_item_id")))
+    return p.drop("_t", "_b").withColumn("own_id", F.sha1(F.concat_ws("|", F.lit(provider), "provider_item_id")))
 
 
 def resolved(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
@@ -69,13 +70,18 @@ def resolved(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
     return out.select("ord", F.coalesce("stored", "_owner", "own_id").alias("article_id"), "reason")
 
 
-def _survivors(old: DataFrame, new: DataFrame) -> DataFrame:
+def _best(rows: DataFrame, size: Column, *more: str) -> DataFrame:
     """An article's row: the better provider's, then the longer body, then the later fetch; seen first at the least time."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     w = Window.partitionBy("article_id")
-    best = F.row_number().over(w.orderBy(F.desc("provider_rank"), F.desc(F.length("body")), F.desc("fetched_at"), "_new", "ord"))
-    r = both.withColumns({"_n": best, "first_published": F.min("first_published").over(w), "n_seen": F.sum("n_seen").over(w)})
-    return r.where("_n = 1").drop("_n", "_new")
+    best = F.row_number().over(w.orderBy(F.desc("provider_rank"), size.desc(), F.desc("fetched_at"), *more, "ord"))
+    r = rows.withColumns({"_n": best, "first_published": F.min("first_published").over(w), "n_seen": F.sum("n_seen").over(w)})
+    return r.where("_n = 1").drop("_n")
+
+
+def _survivors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Of each article's rows the best; stored ones come before new ones as good."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return _best(both, F.length("body"), "_new").drop("_new")
 
 
 def sampled(failures: DataFrame, most: int = 5) -> DataFrame:
@@ -106,14 +112,18 @@ def ingest_window(store: Store, items: DataFrame, provider: str, window: tuple[s
     commit = store.begin(token or f"{run_id}|{provider}|{window[0]}|{window[1]}")
     if commit is None:
         return False
+    mark = F.xxhash64("title", "body")  # tells texts of one ord apart
     whole = parsed(items, provider)
-    p = written(whole.drop("title", "body"), "window")  # texts are read again where they are needed, not written twice
+    p = written(whole.withColumns({"mark": mark, "n_body": F.length("body")}).drop("title", "body"), "window")  # texts are read again where they are needed, not written twice
     rejects, good = p.where("reject_reason is not null"), p.where("reject_reason is null")
     known = store.read("article_keys")
     at = written(resolved(good, known), "window")
-    rows = whole.where("reject_reason is null").join(at.dropDuplicates(["ord"]), "ord").dropDuplicates(["ord"])
     thin = good.join(at, "ord").dropDuplicates(["ord"])
-    fresh = rows.select("article_id", "ord", "provider_item_id", "canonical_url", "title", "body", "source_name", F.lit(provider).alias("provider"), F.lit(rank).alias("provider_rank"), "fetched_at", c("published_at").alias("first_published"), "published_at", "exact_key", F.lit(1).cast("long").alias("n_seen"))
+    rows = thin.withColumns({"provider": F.lit(provider), "provider_rank": F.lit(rank), "first_published": c("published_at"), "n_seen": F.lit(1).cast("long")})
+    rows = rows if enrich else _best(rows, c("n_body"))  # before texts are carried along; what enriches may change them
+    texts = whole.where("reject_reason is null").select("ord", mark.alias("mark"), "title", "body")
+    rows = rows.join(texts, ["ord", "mark"]).dropDuplicates(["ord", "mark"])
+    fresh = rows.select("article_id", "ord", "provider_item_id", "canonical_url", "title", "body", "source_name", "provider", "provider_rank", "fetched_at", "first_published", "published_at", "exact_key", "n_seen")
     fresh = enrich(fresh) if enrich else fresh
     commit.change("articles", fresh, bucket("article_id", of=of), _survivors)
     keys = thin.select("article_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c(f"{k}_key").alias("value")) for k in KINDS])).alias("k")).select("k.kind", "k.value", "article_id").where("value is not null").distinct()

@@ -220,6 +220,14 @@ def test_counted_links_are_those_of_single_mentions(spark, small, held):
     assert {r.method: (r.precise, r.broad) for r in got}.items() <= linking.CONFIDENCE.items()
 
 
+def test_symbols_and_blanks_however_written():
+    from tessera.operators import linking
+
+    assert list(linking.symbols_of("A\u017fx: Bhp, (Rio.aX) asx x")) == [("bhp", 0, 8), ("rio", 11, 17)] and not list(linking.symbols_of("no symbol"))
+    names = linking.automaton({"acme corp": "1", "a k": "2"})
+    assert list(linking.spoken("x y\n\n ACME \t Corp\u00e9\na K a \u212a", names)) == [("1", 6, 17), ("2", 19, 22)]
+
+
 def test_only_links_sure_enough_are_looked_for(spark):
     from tessera.operators import linking
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.sources import store as st
 from tessera.sources.store import Store, bucket
 from tessera.streaming import ingest
@@ -95,6 +96,38 @@ def both_windows(spark, store, names):
     return first, ingest.ingest_window(store, window(spark, True), "eodhd", ("2024-01-02", "2024-01-03"), "run", *names, precise=True, of=4)
 
 
+def test_texts_of_articles_alone_are_carried_along(spark, tmp_path, names, monkeypatch):
+    """Of items that are one article only the best one's text is put aside and dealt; enriched texts may change, so all of theirs are."""
+    seen, real = {}, ingest.Commit.change
+
+    def counted(self, table, incoming, *more):
+        if table == "articles":
+            seen[self.store.folder] = incoming.count()
+        return real(self, table, incoming, *more)
+
+    monkeypatch.setattr(ingest.Commit, "change", counted)
+    kept = []
+    for name, enrich in (("a", None), ("b", lambda rows: rows)):
+        store = Store(spark, f"file://{tmp_path}/{name}")
+        same = window(spark).unionByName(window(spark).where("id = '2'").withColumn("body", F.lit("another text of one time, id and address")))
+        ingest.ingest_window(store, same, "eodhd", ("2024-01-01", "2024-01-02"), "run", *names, enrich=enrich, of=4)
+        kept.append(sorted((r.title, r.n_seen, r.first_published) for r in store.read("articles").collect()))
+        for r in store.read("articles").collect():
+            assert spark.range(1).select(text.exact_hash(F.lit(r.title), F.lit(r.body))).first()[0] == r.exact_key
+    assert kept[0] == kept[1] and len(kept[0]) == 2
+    assert list(seen.values()) == [2, 4]
+
+
+def test_keys_of_normalised_texts(spark):
+    rows = spark.createDataFrame([("A  b\n", "\u00c9t\u00e9 K\u212a \u0130 \U0001f600, x-Y\t"), ("", "!"), (None, None), (".", "one"), ("t", " ".join(f"w{k}" for k in range(100)))], "t string, b string")
+    old = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9 ]", " "), " +", " "))
+    t, b = F.col("t"), F.col("b")
+    first = F.array_join(F.slice(F.split(old(b), " "), 1, 80), " ")
+    near = F.sha1(F.concat_ws("|", F.substring(old(t), 1, 220), F.substring(old(b), 1, 320), first))
+    got = rows.select(text.exact_of(text.normalize_text(t), text.normalize_text(b)), text.near_key(t, b), F.sha2(old(F.concat_ws("\n", t, b)), 256), near).collect()
+    assert [r[:2] for r in got] == [r[2:] for r in got]
+
+
 def test_windows_are_ingested_once(spark, tmp_path, names, monkeypatch):
     store = Store(spark, f"file://{tmp_path}/a")
     assert both_windows(spark, store, names) == (True, True)
