@@ -220,6 +220,19 @@ def test_counted_links_are_those_of_single_mentions(spark, small, held):
     assert {r.method: (r.precise, r.broad) for r in got}.items() <= linking.CONFIDENCE.items()
 
 
+def test_names_of_many_characters_are_not_held(spark, monkeypatch):
+    from tessera.operators import linking
+
+    articles = spark.createDataFrame([(1, "acme  corp and t1"), (2, "none")], "article_id long, text string")
+    names = spark.createDataFrame([("T1", "acme corp")], "ticker string, alias string")
+    given = names, names.select("ticker")
+    held = linking._sought(*given, 9, 0.0)[1]
+    want = sorted(map(tuple, linking.links(articles, *given, held=9).collect()))
+    monkeypatch.setattr(linking, "HELD_CHARS", 10)
+    assert held and linking._sought(*given, 9, 0.0)[1] is None
+    assert sorted(map(tuple, linking.links(articles, *given, held=9).collect())) == want and len(want) == 2
+
+
 def test_symbols_and_blanks_however_written():
     from tessera.operators import linking
 
