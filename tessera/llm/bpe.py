@@ -14,7 +14,9 @@ import gc
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -35,7 +37,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class TrieBpe:
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 300_000, remember_chars: int = 3_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, model = byte_letters(), spec["model"]
@@ -49,19 +51,23 @@ class TrieBpe:
         self.ends = {t[n:]: self.ids.get(t[n:], -1) for t in self.ids for n in range(len(t))}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.text_of = {i: str(i) for i in self.bytes_of}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         # the same words by the faster module, for texts of Latin letters, where both know the same classes
         self.plain_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         self.odd = re.compile("[\x1c-\x1f\x85\xaa\xb2\xb3\xb9\xba\xbc-\xbe]|[^\x00-\u024f]").search
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.remember = remember
+        self.apart: dict[int, bool] = {}  # by left << 32 | right: pairs of numbers would take twice the memory
+        self.known: dict[str, bytes] = {}  # ids as int32, which take half the memory of a tuple
+        self.chars = 0  # of the words known
+        self.remember, self.remember_chars = remember, remember_chars
+
+    @cached_property
+    def text_of(self) -> dict[int, str]:
+        return {i: str(i) for i in self.bytes_of}
 
     def forget(self) -> None:
         """Drops what was remembered of words and pairs; the vocabulary stays."""
-        self.known, self.apart, self.spines = {}, {}, ({}, {})
+        self.known, self.chars, self.apart, self.spines = {}, 0, {}, ({}, {})
 
     def merge(self, ids: list[int]) -> list[int]:
         """Plain BPE: apply the lowest-ranked merge, leftmost first, until none applies."""
@@ -80,7 +86,7 @@ class TrieBpe:
         at the left end of ``right`` grow at known ranks; the pair is broken if at some
         time the two that meet have a merge that comes before both grow on.
         """
-        pair = (left, right)
+        pair = left << 32 | right
         if (known := self.apart.get(pair)) is None:
             if len(self.apart) > 500_000:
                 self.apart.clear()
@@ -112,11 +118,15 @@ class TrieBpe:
         return found
 
     def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Encodings of distinct words by one depth-first walk over their trie."""
+        """Encodings of distinct words."""
+        return dict(self.walk(words))
+
+    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
+        """Each of distinct words with its encoding, by one depth-first walk over their trie."""
         raws = sorted((w.encode("utf-8"), w) for w in words)
         apart, ends, known = self.stays_apart, self.ends, self.apart
         made_of = self.made_of
-        out, last, before = {}, [-1], b""  # last[n]: the last token of the first n bytes of the path
+        last, before = [-1], b""  # last[n]: the last token of the first n bytes of the path
         for raw, word in raws:
             most = min(len(raw), len(before))
             shared = 0
@@ -142,7 +152,7 @@ class TrieBpe:
                         continue
                     if start == 0:
                         fits = end == 1 or token in made_of
-                    elif (fits := known.get((last[start], token))) is None:
+                    elif (fits := known.get(last[start] << 32 | token)) is None:
                         fits = apart(last[start], token)
                     if fits:
                         last.append(token)
@@ -153,9 +163,8 @@ class TrieBpe:
             while at:
                 found.append(last[at])
                 at -= len(self.bytes_of[last[at]])
-            out[word] = tuple(reversed(found))
+            yield word, tuple(reversed(found))
             before = raw
-        return out
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text, with special strings on their own."""
@@ -163,24 +172,29 @@ class TrieBpe:
             return list(chain.from_iterable([p] if p in self.special else self.words(p) for p in self.split_special.split(text)))
         return self.words(text) if self.odd(text) else self.plain_words(text)
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        """Token ids of each text; special strings in a text are their own tokens."""
-        if len(self.known) > self.remember:
-            self.known.clear()
+    def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Token ids of each text, int32; special strings in a text are their own tokens.
+
+        Words are remembered until there are too many or too long ones of them, then anew.
+        """
         known = self.known
-        known.update((s, (i,)) for s, i in self.special.items())
         parts, new = [], set()
         for text in texts:
             words = self.pieces(text)
             found = list(map(known.get, words))
             if None in found:
                 new.update(w for w, f in zip(words, found, strict=True) if f is None)
-            parts.append((words, found))
-        known.update(self.encode_words(list(new)))
+                parts.append((words, found))
+            else:
+                parts.append((None, found))
+        for s in new & self.special.keys():
+            known[s] = array("i", (self.special[s],)).tobytes()
+        known.update((w, array("i", ids).tobytes()) for w, ids in self.walk(new - self.special.keys()))
+        self.chars += sum(map(len, new))
         for words, found in parts:
-            if None in found:
-                found = map(known.__getitem__, words)
-            yield list(chain.from_iterable(found))
+            yield np.frombuffer(b"".join(map(known.__getitem__, words) if words is not None else found), dtype=np.int32)
+        if len(known) > self.remember or self.chars > self.remember_chars:
+            self.known, self.chars = {}, 0
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -227,7 +241,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for part in parts:
             first = 0
             for some in bounded((x.as_py() or "" for x in part.column(at))):
-                made = [np.array(ids, dtype=np.int32) for ids in c.encode_batch(some)]
+                made = list(c.encode_batch(some))
                 offsets = np.concatenate(([0], np.cumsum([len(m) for m in made]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))
                 yield pa.RecordBatch.from_arrays([*part.slice(first, len(some)).columns, ids], names=names)
@@ -260,7 +274,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         for texts in parts:
             rows = []
             for some in bounded([t or "" for t in texts]):
-                for ids in c.encode_batch(some):
+                for ids in map(np.ndarray.tolist, c.encode_batch(some)):
                     line = ",".join(map(c.text_of.__getitem__, ids)).encode()
                     back = c.decode(ids).encode("utf-8")
                     rows.append((len(ids), hashlib.sha256(line).hexdigest(), hashlib.sha256(back).hexdigest()))

@@ -88,7 +88,8 @@ def fit(labelled: DataFrame, per_language: int = 600, most_languages: int = 1000
     some = rows.where(F.col("dice") <= least).distinct()
     first = Window.partitionBy("lang").orderBy("dice", "text")
     some = some.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
-    found = some.select("lang", vectors("text").alias("v")).where("v is not null").collect()
+    # or else Spark would work the vectors out twice, once for the condition, and a task take two Python workers
+    found = some.select("lang", vectors.asNondeterministic()("text").alias("v")).where("v is not null").collect()
     if not found:
         return Centroids(np.ones(FEATURES), [], np.zeros((0, FEATURES)), 0.0)
     packed: dict[str, list[bytes]] = {}  # kept packed; one language at a time is laid out

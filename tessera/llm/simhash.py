@@ -48,7 +48,7 @@ def _fingerprint_udf():
         for part in texts:
             yield pd.Series(np.fromiter(map(fingerprint, part), dtype=np.int64, count=len(part)))
 
-    return of
+    return of.asNondeterministic()  # or else a join by it would work it out twice, and a task take two Python workers
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, chat, common, decontaminate, langid, pii, quality, queries, records
+from tessera.llm import bpe, chat, common, decontaminate, langid, pii, quality, queries, records, simhash
 from tests.oracle import differences
 
 ODD_TEXTS = [
@@ -262,6 +262,36 @@ def test_trie_is_plain_bpe(byte_library):
         assert list(ids) == coder.merge([coder.ids[bytes([b])] for b in word.encode()])
 
 
+def test_coder_remembers_words_by_characters(byte_library):
+    coder = bpe.TrieBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(40):
+        list(coder.encode_batch([f"{chr(97 + k % 26) * (1 + k)}{'ab' * 50_000}"]))
+        assert sum(map(len, coder.known)) <= 3_000_000
+    coder.remember = 10  # so that words are forgotten again and again
+    for text in [t or "" for t in ODD_TEXTS] * 2:
+        (ids,) = coder.encode_batch([text])
+        assert list(ids) == byte_library.encode(text, add_special_tokens=False).ids
+
+
+def python_steps(spark, run):
+    """How many steps of Python each query that ``run`` makes has in its last plan."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    run()
+    bus.waitUntilEmpty(30_000)
+    each = store.executionsList(before, store.executionsCount() - before)
+    graphs = [store.planGraph(each.apply(k).executionId()).allNodes() for k in range(each.size())]
+    return [sum(any(x in nodes.apply(k).name() for x in ("EvalPython", "MapIn")) for k in range(nodes.size())) for nodes in graphs]
+
+
+def test_texts_go_through_one_python_worker_a_task(spark, small):
+    docs = common.table(spark, small, "documents")
+    for keep in (langid.keep_accepted, simhash.keep_one):
+        steps = python_steps(spark, lambda keep=keep: keep(docs).collect())
+        assert max(steps) == 1, steps
+
+
 def want_records(rows):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     t.no_truncation()
