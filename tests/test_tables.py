@@ -1,5 +1,7 @@
 """Tables on pages: whole pages written out with the rows they are to give, and pairs of rows against brute force."""
 
+import re
+
 import numpy as np
 
 from pyspark.sql import functions as F
@@ -62,6 +64,46 @@ def test_two_tables_of_a_sheet_and_none(spark):
     assert tables.table_metrics(words.where("false")).count() == 0
 
 
+def test_tables_of_a_long_sheet(spark):
+    lines = []
+    for k in range(40):  # a table every 60 lines, the last words of each too far from the next one's header
+        lines += [(600 * k, [(300, f"30 June {2001 + k}"), (400, f"30 June {2000 + k}")]), (600 * k + 10, [*spread("Total revenue"), (300, "1,500"), (400, f"1,{k:03d}")]), (600 * k + 20, [(300, "300"), (400, "410")]), (600 * k + 30, [(20, "EBITDA"), (300, "-")])]
+        lines += [(600 * k + 40 + 10 * n, [(20, "some"), (60, "other"), (100, "line")]) for n in range(56)]
+    words = spark.createDataFrame(words_of("a:1", lines), KINDS)
+    got = {(r.rid, r.metric, r.col): (r.line_no, r.value, r.period_end) for r in tables.table_metrics(words).collect()}
+    want = {}
+    for k in range(40):
+        for col, value in enumerate((1500.0, 1000.0 + k)):
+            want[(f"a:1:{k}", "revenue", col)] = (60 * k + 1, value, f"{2001 + k - col}-06-30")
+    assert {x: v for x, v in got.items() if v[0] % 60 == 1} == want
+    assert [r.first_line for r in tables.table_regions(tables.page_lines(words)).orderBy("first_line").collect()] == [60 * k + 1 for k in range(40)]
+
+
+def test_centres_are_those_of_clusters(spark):
+    from tessera.operators import layout
+
+    rng = np.random.default_rng(5)
+    rows = [(k, float(x)) for k in range(30) for x in rng.integers(0, 900, int(rng.integers(1, 60)))]
+    df = spark.createDataFrame(rows, "page long, x double")
+    want = {k: [round(x, 6) for x in xs] for k, xs in layout.position_clusters(df, "page", "x").groupBy("page").agg(F.sort_array(F.collect_list("centre"))).collect()}
+    got = {k: [round(x, 6) for x in xs] for k, xs in df.groupBy("page").agg(F.sort_array(F.collect_list("x")).alias("x")).select("page", layout.centres(F.col("x"))).collect()}
+    assert got == want
+    assert spark.range(1).select(layout.centres(F.array().cast("array<double>")).alias("x")).first().x == []
+
+
+def _dealt_by(query, spark, small):
+    """By what rows are dealt once the line items are read."""
+    plan = query(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "lines-" not in plan and "regions-" not in plan and "rows-" not in plan  # nothing is written on the way
+    return set(re.findall(r"[^t]Exchange hashpartitioning\((\w+)#", plan))
+
+
+def test_table_columns_ships_items_once(spark, small):
+    from tessera.plans.tables import table_columns
+
+    assert _dealt_by(table_columns, spark, small) == {"l_orderkey"}
+
+
 def slow_pairs(rows, tolerance, share):
     out = set()
     for sheet in {r[0] for r in rows}:
