@@ -104,6 +104,12 @@ def test_table_columns_ships_items_once(spark, small):
     assert _dealt_by(table_columns, spark, small) == {"l_orderkey"}
 
 
+def test_table_metrics_ships_items_once(spark, small):
+    from tessera.plans.tables import table_metrics
+
+    assert _dealt_by(table_metrics, spark, small) == {"l_orderkey"}
+
+
 def slow_pairs(rows, tolerance, share):
     out = set()
     for sheet in {r[0] for r in rows}:
